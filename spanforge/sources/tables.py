@@ -55,3 +55,14 @@ def ship_file(spark: SparkSession, label: str, content: bytes) -> str:
         out.close()
     spark.sparkContext.addFile(fs.makeQualified(path).toString())
     return name
+
+
+def stream_parquet(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """A streaming read of a parquet folder, or of a single file (which the file source takes only by way of its folder)."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
