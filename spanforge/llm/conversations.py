@@ -1,10 +1,11 @@
 """Conversations put together again from message rows.
 
-Method: keyed streaming state with event-time watermarks. The journal is read as a stream; its rows are keyed by session and by
-block of ``BLOCK`` consecutive ``seq`` values, so that no session, however long, is held by one task or one state. A key's state
-buffers its rows, first copy of each ``seq``, in whatever order they come. It emits on *closure* (every ``seq`` of the block is
-there, or the rows are dense from the block's start to a session_end) and else on *timeout*, when the watermark passes the last
-arrival by ``timeout``. What comes later makes a further piece of the same key.
+Method: keyed streaming state with event-time watermarks. The journal is read as a stream; its rows are keyed by a shard of the
+sessions and by block of ``BLOCK`` consecutive ``seq`` values, so that no session, however long, is held by one task or one state,
+and a call of Python serves several short sessions (the shards of a replay follow its rows). The state buffers each open session's
+rows, first copy of each ``seq``, in whatever order they come. A session's block is emitted on *closure* (every ``seq`` of the block
+is there, or the rows are dense from the block's start to a session_end) and else on *timeout*, when the watermark passes its last
+arrival by ``timeout``. What comes later makes a further piece of the same block.
 
 Validation: the pieces of a block become one row with what later blocks need to know of it (range, turns, open prompt, calls);
 sessions are judged from those rows, and calls are matched by (session, call_id). A session of a third of all rows adds rows/BLOCK
@@ -29,7 +30,7 @@ from pyspark.sql.window import Window
 
 from spanforge.sources.tables import materialise, scratch, stream_parquet
 
-BLOCK = 512
+BLOCK, SHARDS, ROWS_PER_SHARD = 512, 4096, 600
 LATENESS = "7 days"
 TIMEOUT_MS = 24 * 3600 * 1000
 FLUSH, FLUSH_AT = "\0flush", "2250-01-01"
@@ -40,12 +41,13 @@ PIECE = "session string, block long, seq long, received long, delivery_id long,
 LAST = (1 << 63) - 1
 
 
-def message_rows(journal: DataFrame, block: int = BLOCK) -> DataFrame:
+def message_rows(journal: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """What the stateful step needs of each journal row, the rest packed into one string."""
     event = F.lower(F.trim(F.col("event")))
     code = F.coalesce(*(F.when(event == name, letter) for name, letter in CODES.items()), F.lit("o"))
     return journal.where("session is not null and seq is not null").select(
         F.when(F.col("received_at").between("1700-01-01", FLUSH_AT), F.col("received_at").cast("timestamp")).alias("arrived"),  # Python holds nanoseconds
+        F.when(F.col("session") == FLUSH, -1).otherwise(F.pmod(F.xxhash64("session"), F.lit(shards))).cast("int").alias("shard"),
         "session",
         F.floor((F.col("seq") - 1) / block).cast("long").alias("block"),
         "seq",
@@ -64,55 +66,61 @@ def is_closed(seqs: list[int], last_is_end: bool, block: int, width: int) -> boo
 
 
 def buffer_block(width: int, timeout_ms: int):
-    """The stateful step: (session, block), arriving rows, state to the rows of a piece."""
+    """The stateful step: (shard, block), arriving rows, state to the rows of pieces. The state has of each open session its deadline and rows."""
     end_mark = f'"e":"{CODES["session_end"]}"'
 
-    def piece(key, rows):
-        seqs = sorted(rows)
-        n = len(seqs)
-        return pd.DataFrame({"session": [key[0]] * n, "block": [key[1]] * n, "seq": seqs, "received": [rows[s][0] for s in seqs], "delivery_id": [rows[s][1] for s in seqs], "packed": [rows[s][2] for s in seqs]})
-
     def step(key, frames, state):
-        if key[0] == FLUSH:
+        shard, block = key
+        if shard < 0:
             return
-        rows = pickle.loads(state.get[0]) if state.exists else {}
+        held = pickle.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            state.remove()
-            yield piece(key, rows)
-            return
-        latest = 0
-        for pdf in frames:
-            for seq, received, delivery, packed in zip(pdf["seq"].tolist(), pdf["received"].tolist(), pdf["delivery_id"].tolist(), pdf["packed"].tolist()):
-                held = rows.get(seq)
-                if held is None or (received, delivery) < held[:2]:
-                    rows[seq] = (received, delivery, packed)
-                if latest < received < LAST:
-                    latest = received
-        seqs = sorted(rows)
-        if is_closed(seqs, end_mark in rows[seqs[-1]][2], key[1], width):
-            if state.exists:
-                state.remove()
-            yield piece(key, rows)
+            done = [s for s, (deadline, _) in held.items() if deadline <= now]
         else:
-            state.update((pickle.dumps(rows),))
-            state.setTimeoutTimestamp(max(latest // 1000, state.getCurrentWatermarkMs()) + timeout_ms)
+            touched = {}
+            for pdf in frames:
+                for session, seq, received, delivery, packed in zip(*(pdf[c].tolist() for c in ("session", "seq", "received", "delivery_id", "packed"))):
+                    rows = touched.get(session)
+                    if rows is None:
+                        rows = touched[session] = held[session][1] if session in held else {}
+                    old = rows.get(seq)
+                    if old is None or (received, delivery) < old[:2]:
+                        rows[seq] = (received, delivery, packed)
+            done = []
+            for session, rows in touched.items():
+                latest = max((r for r, _, _ in rows.values() if r < LAST), default=0)
+                held[session] = (max(latest // 1000, now) + timeout_ms, rows)
+                seqs = sorted(rows)
+                if is_closed(seqs, end_mark in rows[seqs[-1]][2], block, width):
+                    done.append(session)
+        out = [(s, q, *row) for s in done for q, row in sorted(held.pop(s)[1].items())]
+        if held:
+            state.update((pickle.dumps(held),))
+            state.setTimeoutTimestamp(max(min(deadline for deadline, _ in held.values()), now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            session, seq, received, delivery, packed = zip(*out)
+            yield pd.DataFrame({"session": session, "block": block, "seq": seq, "received": received, "delivery_id": delivery, "packed": packed})
 
     return step
 
 
-def conversation_pieces(stream: DataFrame, block: int = BLOCK, lateness: str = LATENESS, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
+def conversation_pieces(stream: DataFrame, block: int = BLOCK, shards: int = SHARDS, lateness: str = LATENESS, timeout_ms: int = TIMEOUT_MS) -> DataFrame:
     """Streaming: the journal as rows of pieces (PIECE). Use on any source; ``replay`` drains a table through it."""
     return (
-        message_rows(stream, block)
+        message_rows(stream, block, shards)
         .withWatermark("arrived", lateness)
-        .groupBy("session", "block")
+        .groupBy("shard", "block")
         .applyInPandasWithState(buffer_block(block, timeout_ms), PIECE, "buffer binary", "append", "EventTimeTimeout")
     )
 
 
 def replay(spark: SparkSession, path: str, block: int = BLOCK, files_per_trigger: int | None = None) -> DataFrame:
     """The pieces of a stored journal, drained through the stream; a last row of the far future lets every open key time out."""
-    schema = spark.read.parquet(path).schema
+    journal = spark.read.parquet(path)
+    schema, shards = journal.schema, max(64, journal.count() // ROWS_PER_SHARD)
     base = scratch(spark, "conversations")
     flush = spark.range(1).select(F.lit(FLUSH).alias("session"), F.lit(0).cast("long").alias("seq"), F.lit(FLUSH_AT).cast("timestamp").alias("received_at"))
     flush = flush.select(*(F.col(f.name).cast(f.dataType).alias(f.name) if f.name in flush.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema))
@@ -122,7 +130,7 @@ def replay(spark: SparkSession, path: str, block: int = BLOCK, files_per_trigger
     else:
         flush.limit(0).write.parquet(end)
     rows = stream_parquet(spark, path, schema, files_per_trigger).unionByName(stream_parquet(spark, end, schema))
-    pieces = conversation_pieces(rows, block)
+    pieces = conversation_pieces(rows, block, shards)
     query = pieces.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").start()
     try:
         query.processAllAvailable()
