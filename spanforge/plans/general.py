@@ -4,8 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spanforge.operators import exactly_once, shred
-from spanforge.sources.tables import table
+from spanforge.operators import drift, exactly_once, shred
+from spanforge.sources.tables import materialise, table
+
+
+def p2_found(spark, sf_dir):
+    return drift.changes(table(spark, sf_dir, "capture_lines")).select("file_name", "msg_type", "old_path", "new_path")
+
+
+def p2_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "capture_lines")
+    return drift.consistent_lines(lines, materialise(drift.changes(lines), "drift"))
+
+
+def p2_failed_casts(spark, sf_dir):
+    failed = p2_lines(spark, sf_dir).select("stream", "file_no", "msg_type", F.explode("failed").alias("column"))
+    return failed.groupBy("stream", "file_no", "msg_type", "column").agg(F.count("*").alias("lines"))
 
 
 def p3_found(spark, sf_dir):
@@ -46,7 +60,7 @@ _IDENTIFIED = "session IS NOT NULL AND (effect_id IS NOT NULL OR seq IS NOT NULL
 _NTH_COPY = f"""row_number() OVER (PARTITION BY {_IDENTIFIED}, session, effect_id, CASE WHEN effect_id IS NULL THEN seq END, CASE WHEN NOT ({_IDENTIFIED}) THEN delivery_id END
 ORDER BY received_at, delivery_id)"""
 
-QUERIES = {"p3_found": p3_found, "p3_wire_frames": p3_wire_frames, "p3_wire_links": p3_wire_links, "p5_found": p5_found, "p5_once": p5_once}
+QUERIES = {"p2_found": p2_found, "p2_lines": p2_lines, "p2_failed_casts": p2_failed_casts, "p3_found": p3_found, "p3_wire_frames": p3_wire_frames, "p3_wire_links": p3_wire_links, "p5_found": p5_found, "p5_once": p5_once}
 
 SQL = {
     "p3_found": f"""WITH {_ENVELOPES}, {_FRAMES}, {_LINKS},
