@@ -93,7 +93,8 @@ def representation_choice(spark, d):
 def embedding_dimension_check(spark, d):
     p = _providers(spark, d).select("provider_id", X.fingerprint_dimensions("embeddings_fingerprint").alias("dim")).where("dim IS NOT NULL")
     sizes = table(spark, d, "embeddings").groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("vectors"))
-    return p.groupBy("dim").agg(F.count("*").alias("providers")).join(sizes, F.lit(True)).select("dim", "providers", F.col("size").cast("int").alias("size"), "vectors", (F.col("dim") == F.col("size")).alias("fits"))
+    dims = p.groupBy("dim").agg(F.count("*").alias("providers"))
+    return dims.join(sizes, dims.dim == sizes.size, "full").select(F.coalesce("dim", "size").alias("dim"), "providers", "vectors")
 
 
 # retrieval
@@ -330,7 +331,7 @@ WHEN representation = 'reference' AND content_digest IS NOT NULL THEN 'reference
     "provider_scopes": f"WITH {_P} SELECT provider_id, array_to_string({_OFF}, ',') AS off_machine, len(list_filter(coalesce(egress_scopes, []), lambda s: NOT coalesce(s IN ('local-only', 'org-tenant', 'third-party-model', 'public-internet') OR regexp_matches(s, '^[^:]+:.+$'), false))) = 0 AND (len({_OFF}) = 0 OR coalesce(egress, false)) AS consistent, coalesce(egress, false) OR len({_OFF}) > 0 AS needs_consent FROM p",
     "provider_fingerprints": f"WITH {_P} SELECT provider_id, try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dimensions, coalesce(embeddings_fingerprint, '') <> '' AS declared, string_split(version, '.')[1] = '1' AS same_family FROM p",
     "representation_choice": f"WITH {_F}, {_P}, {_Q}, x AS (SELECT DISTINCT query_id, provider_id FROM f) SELECT query_id, provider_id, list_filter(CASE WHEN coalesce(len(representation_preferences), 0) = 0 THEN ['full'] ELSE representation_preferences END, lambda r: coalesce(list_contains(CASE WHEN coalesce(len(representations), 0) = 0 THEN ['full'] ELSE representations END, r), false))[1] AS chosen FROM x JOIN q USING (query_id) JOIN p USING (provider_id)",
-    "embedding_dimension_check": f"WITH {_P}, a AS (SELECT try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dim, count(*) AS providers FROM p GROUP BY ALL), b AS (SELECT len(embedding)::INT AS size, count(*) AS vectors FROM embeddings GROUP BY ALL) SELECT dim, providers, size, vectors, dim = size AS fits FROM a, b WHERE dim IS NOT NULL",
+    "embedding_dimension_check": f"WITH {_P}, a AS (SELECT try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dim, count(*) AS providers FROM p GROUP BY ALL), b AS (SELECT len(embedding)::INT AS size, count(*) AS vectors FROM embeddings GROUP BY ALL) SELECT coalesce(dim, size) AS dim, providers, vectors FROM (SELECT * FROM a WHERE dim IS NOT NULL) FULL JOIN b ON dim = size",
     "kinds_filter": f"WITH {_O} SELECT query_id, frame_no, kind FROM o WHERE {_KIND}",
     "as_of_filter": f"WITH {_O} SELECT query_id, frame_no, valid_from FROM o WHERE {_AS_OF}",
     "anchor_rank": f"WITH {_O} SELECT query_id, frame_no, anchored, row_number() OVER (PARTITION BY query_id ORDER BY anchored DESC, arrival, frame_no) AS rank FROM o WHERE {_KIND}",
