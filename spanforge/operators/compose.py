@@ -17,7 +17,10 @@ from spanforge.functions import expr as X
 from spanforge.operators.retrieve import UNLIMITED, fold_budget
 from spanforge.sources.tables import materialise
 
-IDENTITY = [F.asc_nulls_first("provider_id"), F.asc_nulls_first("frame_id"), F.asc_nulls_first("content_digest"), F.asc("arrival"), F.asc("frame_no")]
+
+def identity_order() -> list:
+    return [F.asc_nulls_first("provider_id"), F.asc_nulls_first("frame_id"), F.asc_nulls_first("content_digest"), F.asc("arrival"), F.asc("frame_no")]
+
 
 
 def by_identity(offers: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def leaders(offers: DataFrame) -> DataFrame:
     member = offers.join(comp, ["query_id", "frame_no"], "left").withColumn("component", F.coalesce("component", "frame_no"))
     regions = F.expr("transform(filter(coalesce(provenance, array()), p -> p.type = 'file' AND p.uri IS NOT NULL), p -> concat(p.uri, '\\u0001', coalesce(concat('r', p.range), '-')))")
     ready = member.select("query_id", "component", "frame_no", "provider_id", "frame_id", "content_digest", "arrival", F.coalesce("score", F.lit(0)).cast("float").alias("score"), regions.alias("regions"))
-    ready = ready.repartition("query_id", "component").sortWithinPartitions("query_id", "component", *IDENTITY)
+    ready = ready.repartition("query_id", "component").sortWithinPartitions("query_id", "component", *identity_order())
 
     def run(batches):
         group, clusters, queue, by_digest, by_region = None, [], [], {}, {}
@@ -103,14 +106,11 @@ def leaders(offers: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "query_id long, frame_no long, kept long")
 
 
-VALUE = [F.desc_nulls_last("score"), *IDENTITY]
-
-
 def packed(offers: DataFrame) -> DataFrame:
     """(query_id, frame_no, rank, cost, keep, remaining): greedy by score over canonical costs; a reference costs nothing."""
     cost = F.when(F.col("representation") == "reference", 0).otherwise(X.budget_tokens("content"))
     ready = offers.withColumn("canonical", cost).withColumn("q_frames", F.lit(UNLIMITED))
-    return fold_budget(ready, VALUE, "canonical", [])
+    return fold_budget(ready, [F.desc_nulls_last("score"), *identity_order()], "canonical", [])
 
 
 def placed(pack: DataFrame) -> DataFrame:

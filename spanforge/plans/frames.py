@@ -246,17 +246,18 @@ def verify_outcomes(spark, d):
 
 
 def neighbors_two_hops(spark, d):
-    """Frames at most two relations away from each query's anchors, with their least distance; no frame is visited twice."""
+    """Frames at most two relations away from each query's anchors, whoever they were offered to, with their least distance; none is visited twice."""
     f = _frames(spark, d)
-    nodes = f.select("query_id", "frame_no", "uri")
-    edges = f.select("query_id", "frame_no", F.explode("relations.target_uri").alias("to")).where("to IS NOT NULL").distinct()
-    start = table(spark, d, "queries").dropDuplicates(["query_id"]).select("query_id", F.explode(F.array_distinct("anchors")).alias("uri")).where("uri IS NOT NULL")
-    near = nodes.join(start, ["query_id", "uri"], "left_semi").select("query_id", "frame_no")
-    near = near.unionByName(edges.join(start.withColumnRenamed("uri", "to"), ["query_id", "to"], "left_semi").select("query_id", "frame_no")).distinct().withColumn("hops", F.lit(1))
-    reached = near.join(nodes, ["query_id", "frame_no"]).select("query_id", F.col("uri").alias("to")).where("to IS NOT NULL").distinct()
-    out = near.join(edges, ["query_id", "frame_no"]).select("query_id", F.col("to").alias("uri")).distinct()
-    two = edges.join(reached, ["query_id", "to"], "left_semi").select("query_id", "frame_no").unionByName(nodes.join(out, ["query_id", "uri"], "left_semi").select("query_id", "frame_no")).distinct()
-    return near.unionByName(two.join(near, ["query_id", "frame_no"], "left_anti").withColumn("hops", F.lit(2)))
+    nodes = f.where("uri IS NOT NULL").select("frame_no", "uri")
+    edges = f.select("frame_no", F.explode("relations.target_uri").alias("to")).where("to IS NOT NULL").distinct()
+
+    def step(uris):
+        """Frames that are at, or point at, the (query_id, uri) given."""
+        return nodes.join(uris, "uri").select("query_id", "frame_no").unionByName(edges.join(uris.withColumnRenamed("uri", "to"), "to").select("query_id", "frame_no")).distinct()
+
+    near = step(table(spark, d, "queries").dropDuplicates(["query_id"]).select("query_id", F.explode(F.array_distinct("anchors")).alias("uri")).where("uri IS NOT NULL"))
+    ends = near.join(nodes, "frame_no").select("query_id", "uri").unionByName(near.join(edges, "frame_no").select("query_id", F.col("to").alias("uri"))).distinct()
+    return near.withColumn("hops", F.lit(1)).unionByName(step(ends).join(near, ["query_id", "frame_no"], "left_anti").withColumn("hops", F.lit(2)))
 
 
 QUERIES = {
@@ -359,9 +360,9 @@ WINDOW w AS (PARTITION BY query_id ORDER BY anchored DESC, arrival, frame_no)) S
     "served_digests": f"WITH {_F}, {_CUR} SELECT provider_id, frame_id, current FROM cur",
     "verify_verdicts": f"WITH {_F}, {_CUR}, {_HELD}, {_VERDICT} SELECT * FROM v",
     "verify_outcomes": f"WITH {_F}, {_P}, {_CUR}, {_HELD}, {_VERDICT} SELECT v.provider_id, v.frame_id, v.content_digest, CASE WHEN p.provider_id IS NULL THEN 'unknown_provider' WHEN NOT coalesce(p.verify, false) THEN 'verify_unsupported' WHEN v.content_digest IS NULL THEN 'no_digest' WHEN status = 'valid' THEN 'retained' ELSE status END AS outcome FROM v LEFT JOIN p ON v.provider_id = p.provider_id",
-    "neighbors_two_hops": f"""WITH {_F}, {_Q}, s AS (SELECT DISTINCT query_id, unnest(q_anchors) AS uri FROM q), e AS (SELECT DISTINCT query_id, frame_no, unnest(relations).target_uri AS target FROM f),
-a AS (SELECT f.query_id, frame_no FROM f JOIN s ON s.query_id = f.query_id AND s.uri = f.uri UNION SELECT e.query_id, frame_no FROM e JOIN s ON s.query_id = e.query_id AND s.uri = e.target),
-b AS (SELECT e.query_id, e.frame_no FROM e JOIN f g ON g.query_id = e.query_id AND g.uri = e.target JOIN a ON a.query_id = g.query_id AND a.frame_no = g.frame_no
-UNION SELECT f.query_id, f.frame_no FROM f JOIN e ON e.query_id = f.query_id AND e.target = f.uri JOIN a ON a.query_id = e.query_id AND a.frame_no = e.frame_no)
+    "neighbors_two_hops": f"""WITH {_F}, {_Q}, s AS (SELECT DISTINCT query_id, unnest(q_anchors) AS uri FROM q), e AS (SELECT DISTINCT frame_no, unnest(relations).target_uri AS target FROM f),
+a AS (SELECT s.query_id, frame_no FROM f JOIN s USING (uri) UNION SELECT s.query_id, frame_no FROM e JOIN s ON s.uri = e.target),
+ends AS (SELECT a.query_id, uri FROM a JOIN f USING (frame_no) WHERE uri IS NOT NULL UNION SELECT a.query_id, target FROM a JOIN e USING (frame_no)),
+b AS (SELECT ends.query_id, frame_no FROM f JOIN ends USING (uri) UNION SELECT ends.query_id, frame_no FROM e JOIN ends ON ends.uri = e.target)
 SELECT query_id, frame_no, 1::INT AS hops FROM a UNION ALL SELECT query_id, frame_no, 2::INT FROM b WHERE (query_id, frame_no) NOT IN (SELECT (query_id, frame_no) FROM a)""",
 }
