@@ -9,8 +9,8 @@ compared by their sketches: counts of hashed values, of hashed first words, of p
 their elements, objects by their members. Where values repeat, the values themselves must recur. Equal constants of small kinds
 (booleans, single numbers) say nothing, so there the names must be alike too.
 
-Scale: statistics are combined in each Arrow batch before the shuffle and are bounded by the schema, not by the rows; a comparison
-sees two files' statistics, never a stream's; a hot file adds partial sums only.
+Scale: statistics are combined in each Arrow batch into one sketch per file, which is bounded by the schema, not by the rows; the
+sketches of a file, however hot, are added up by salt first; a comparison sees two files' sketches, never a stream's.
 
 Defined cases: lines that are blank, cut off, no object or without a text ``type`` are not valid and have no fields; null members
 are absent; a field with several types in one file has the most frequent (ties: first by name); a file without lines of a type
@@ -20,11 +20,11 @@ has no fields of it; repeated lines change nothing; an empty table has no change
 from __future__ import annotations
 
 import datetime
+import pickle
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,35 +85,49 @@ def features(value) -> list[str]:
     return out
 
 
-def file_statistics(lines: DataFrame) -> DataFrame:
-    """(stream, file_no, file_name, msg_type, path, kind, feature, n): how often each feature of each path and raw type is in each file.
+SKETCH = "stream string, file_no long, msg_type string, salt int, sketch binary"
+
+
+def _add(into: dict, sketch: bytes) -> None:
+    """Add a sketch, path to raw type to counts by feature ('' counts the values), to one in memory."""
+    for path, kinds in pickle.loads(zlib.decompress(sketch)).items():
+        mine = into.setdefault(path, {})
+        for kind, counts in kinds.items():
+            mine.setdefault(kind, Counter()).update(counts)
+
+
+def _packed(sketch: dict) -> bytes:
+    return zlib.compress(pickle.dumps(sketch), 1)
 
-    The feature '' counts the values themselves; the path '' stands for the lines.
-    """
+
+def file_statistics(lines: DataFrame, salts: int = 8) -> DataFrame:
+    """(stream, file_no, msg_type, salt, sketch): the path and type statistics of each file and type, in at most ``salts`` parts."""
 
     def run(batches):
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(4)]
-            seen: Counter = Counter()
-            for stream, no, name, payload in zip(*cols):
+        for k, b in enumerate(batches):
+            seen: dict[tuple, dict] = {}
+            for stream, no, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 node = load_json(payload)
-                if not isinstance(node, dict) or not isinstance(node.get("type"), str):
+                if not isinstance(node, dict) or not isinstance(node.get("type"), str) or stream is None or no is None:
                     continue
-                at = (stream, no, name, node["type"])
-                seen[(*at, "", "", "")] += 1
+                sketch = seen.setdefault((stream, no, _clean(node["type"])), {})
                 for path, kind, value in path_values(node):
-                    seen[(*at, path, kind, "")] += 1
-                    for f in features(value):
-                        seen[(*at, path, kind, f)] += 1
-            keys = list(zip(*seen)) if seen else [[]] * 7
-            kinds = [pa.string(), pa.int64(), *[pa.string()] * 5]
-            yield pa.RecordBatch.from_arrays([*(pa.array([_clean(x) for x in k], t) for k, t in zip(keys, kinds)), pa.array(list(seen.values()), pa.int64())], names=[*STAT_COLUMNS, "n"])
-
-    keyed = lines.select("stream", F.col("file_no").cast("long").alias("file_no"), "file_name", "payload")
-    return keyed.mapInArrow(run, "stream string, file_no long, file_name string, msg_type string, path string, kind string, feature string, n long").groupBy(*STAT_COLUMNS).agg(F.sum("n").alias("n"))
+                    counts = sketch.setdefault(_clean(path), {}).setdefault(kind, Counter())
+                    counts[""] += 1
+                    counts.update(features(value))
+            keys = list(zip(*seen)) if seen else [[]] * 3
+            salt = [zlib.crc32(f"{k} {b.num_rows} {s[1]}".encode()) % salts for s in seen]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*keys, salt, [_packed(x) for x in seen.values()]], kinds)], names=["stream", "file_no", "msg_type", "salt", "sketch"])
 
+    def merge(t: pa.Table) -> pa.Table:
+        total: dict = {}
+        for sketch in t.column("sketch").to_pylist():
+            _add(total, sketch)
+        return t.slice(0, 1).set_column(4, "sketch", pa.array([_packed(total)], pa.binary()))
 
-STAT_COLUMNS = ["stream", "file_no", "file_name", "msg_type", "path", "kind", "feature"]
+    keyed = lines.select("stream", F.col("file_no").cast("long").alias("file_no"), "payload")
+    return keyed.mapInArrow(run, SKETCH).groupBy("stream", "file_no", "msg_type", "salt").applyInArrow(merge, SKETCH)
 
 
 def _clean(x):
@@ -193,28 +207,29 @@ def changes(lines: DataFrame) -> DataFrame:
     stats = file_statistics(lines)
     names = lines.where("stream is not null and file_no is not null").groupBy("stream", F.col("file_no").cast("long").alias("file_no")).agg(F.min("file_name").alias("file_name"))
     in_order = Window.partitionBy("stream").orderBy("file_no")
-    pairs = names.select("stream", "file_no", "file_name", F.lag("file_no").over(in_order).alias("before")).where("before is not null")
-    one = stats.groupBy("stream", "file_no", "msg_type", "path", "kind", "feature").agg(F.sum("n").alias("n"))
-    as_new = one.join(pairs, ["stream", "file_no"]).withColumn("new", F.lit(True))
-    as_old = one.withColumnRenamed("file_no", "before").join(pairs, ["stream", "before"]).withColumn("new", F.lit(False))
-    columns = ["stream", "file_no", "file_name", "msg_type", "path", "kind", "feature", "n", "new"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = {False: defaultdict(Counter), True: defaultdict(Counter)}
-        kinds = {False: defaultdict(Counter), True: defaultdict(Counter)}
-        for path, kind, feature, n, new in zip(*(pdf[c].tolist() for c in ("path", "kind", "feature", "n", "new"))):
-            if path:
-                (kinds if feature == "" else counts)[new][path if feature == "" else (path, kind)][kind if feature == "" else feature] += n
+    after = names.select("stream", "file_no", F.lead("file_no").over(in_order).alias("next_no"), F.lead("file_name").over(in_order).alias("next_name"), "file_name", F.lag("file_no").over(in_order).alias("before"))
+    # each file's statistics serve twice: as the new ones, and as the old ones of the next file
+    role = F.array(
+        F.struct(F.col("file_no").alias("at"), F.col("file_name").alias("name"), F.col("before").isNotNull().alias("wanted"), F.lit(True).alias("new")),
+        F.struct(F.col("next_no").alias("at"), F.col("next_name").alias("name"), F.col("next_no").isNotNull().alias("wanted"), F.lit(False).alias("new")),
+    )
+    both = stats.join(after, ["stream", "file_no"]).select("stream", "msg_type", "sketch", F.explode(role).alias("r")).where("r.wanted").select("stream", F.col("r.at").alias("file_no"), F.col("r.name").alias("file_name"), "msg_type", F.col("r.new").alias("new"), "sketch")
+
+    def run(t: pa.Table) -> pa.Table:
+        sketches: dict[bool, dict] = {False: {}, True: {}}
+        for new, sketch in zip(t.column("new").to_pylist(), t.column("sketch").to_pylist()):
+            _add(sketches[new], sketch)
         fields = {}
-        for new in (False, True):
-            top = {p: min(c, key=lambda k: (-c[k], k)) for p, c in kinds[new].items()}
-            fields[new] = {p: (k, counts[new][p, k]) for p, k in top.items()}
+        for new, sketch in sketches.items():
+            top = {path: min(kinds, key=lambda k: (-kinds[k][""], k)) for path, kinds in sketch.items()}
+            fields[new] = {path: (kind, sketch[path][kind]) for path, kind in top.items()}
         found = compare(fields[False], fields[True])
-        head = pdf.iloc[0]
-        return pd.DataFrame([(head["stream"], head["file_no"], head["file_name"], head["msg_type"], a, b) for a, b in found], columns=["stream", "file_no", "file_name", "msg_type", "old_path", "new_path"])
+        head = t.slice(0, 1).to_pylist()[0]
+        out = {c: [head[c]] * len(found) for c in ("stream", "file_no", "file_name", "msg_type")}
+        out |= {"old_path": [a for a, _ in found], "new_path": [b for _, b in found]}
+        return pa.table({c: pa.array(v, pa.int64() if c == "file_no" else pa.string()) for c, v in out.items()})
 
-    both = as_new.select(columns).unionByName(as_old.select(columns))
-    return both.groupBy("stream", "file_no", "msg_type").applyInPandas(run, "stream string, file_no long, file_name string, msg_type string, old_path string, new_path string")
+    return both.groupBy("stream", "file_no", "msg_type").applyInArrow(run, "stream string, file_no long, file_name string, msg_type string, old_path string, new_path string")
 
 
 #: columns of the consistent table: name, path under the first names, type
