@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from spanforge.operators.shred import load_json
 
-SIMILAR = 0.5
+SIMILAR, FEW = 0.5, 6
 VALUE_SLOTS, WORD_SLOTS = 4096, 256
 
 
@@ -81,7 +81,7 @@ def features(value) -> list[str]:
         return [_slot("m", k, VALUE_SLOTS) for k in value if value[k] is not None]
     out = []
     for item in value:
-        out += [f"e{raw_type(item)}", *(f for f in features(item) if f[0] in "vm")] if item is not None else []
+        out += [f"e{raw_type(item)}", *(f for f in features(item) if f[0] in "vmwul")] if item is not None else []
     return out
 
 
@@ -162,16 +162,18 @@ def carries_on(old: str, new: str, kind: str, a: Counter, b: Counter) -> float:
         if overlap(part(a, "e"), part(b, "e")) < 0.5:
             return 0.0
         members = part(a, "m"), part(b, "m")
-        return max(overlap(*values) if values[0] else 0.0, overlap(*members) if members[0] else 0.0) + bonus
+        few = min(sum(v.values()) for v in values) < FEW  # then the same vocabulary may show other words
+        shape = 0.6 * min(overlap(part(a, k), part(b, k)) for k in "ul") if few and values[0] else 0.0
+        return max(overlap(*values) if values[0] else 0.0, overlap(*members) if members[0] else 0.0, shape) + bonus
     if kind == "boolean":
         return bonus and overlap(*values) + bonus
     shapes = [overlap(part(a, k), part(b, k)) for k in ("u", "l", "w") if part(a, k) or part(b, k)]
     shape = sum(shapes) / len(shapes)
     n = [max(1, sum(v.values())) for v in values]
     repeats = [1 - len(v) / m for v, m in zip(values, n)]
-    if kind == "number" and min(len(v) for v in values) == 1 and not bonus:  # a constant
-        return 0.0
-    if min(repeats) > 0.5 or (min(n) <= 3 and max(repeats) > 0.5):  # few values, often: they must recur
+    if kind == "number" and min(len(v) for v in values) == 1 and not bonus:  # a constant says little, unless it is a fraction and stays
+        return float(values[0].keys() == values[1].keys() and "uFalseFalse" in a)
+    if min(repeats) > 0.5 and min(n) >= FEW:  # few values, often: they must recur
         shape = min(shape, overlap(*values) + 0.15)
     elif abs(repeats[0] - repeats[1]) > 0.75 and min(n) > 3:  # few values against many
         shape *= 0.5
