@@ -162,13 +162,14 @@ def carries_on(old: str, new: str, kind: str, a: Counter, b: Counter) -> float:
         if overlap(part(a, "e"), part(b, "e")) < 0.5:
             return 0.0
         members = part(a, "m"), part(b, "m")
-        few = min(sum(v.values()) for v in values) < FEW  # then the same vocabulary may show other words
-        shape = 0.6 * min(overlap(part(a, k), part(b, k)) for k in "ul") if few and values[0] else 0.0
+        few = min(sum(v.values()) for v in values) < 2 * FEW  # then the same vocabulary may show other words
+        shape = 0.75 * min(overlap(part(a, k), part(b, k)) for k in "ul") if few and values[0] else 0.0
         return max(overlap(*values) if values[0] else 0.0, overlap(*members) if members[0] else 0.0, shape) + bonus
     if kind == "boolean":
         return bonus and overlap(*values) + bonus
-    shapes = [overlap(part(a, k), part(b, k)) for k in ("u", "l", "w") if part(a, k) or part(b, k)]
-    shape = sum(shapes) / len(shapes)
+    telling = ("u", "l", "w") if len(part(a, "w")) * 2 < sum(part(a, "w").values()) else ("u", "l")  # first words that hardly recur tell nothing
+    shapes = [overlap(part(a, k), part(b, k)) for k in telling if part(a, k) or part(b, k)]
+    shape = 0.3 * shapes[0] + 0.7 * shapes[1] if kind == "number" else sum(shapes) / len(shapes)
     n = [max(1, sum(v.values())) for v in values]
     repeats = [1 - len(v) / m for v, m in zip(values, n)]
     if kind == "number" and min(len(v) for v in values) == 1 and not bonus:  # a constant says little, unless it is a fraction and stays
