@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from spanforge.operators.shred import load_json
 
-SIMILAR, FEW = 0.5, 6
+SIMILAR, FEW = 0.4, 6
 VALUE_SLOTS, WORD_SLOTS = 4096, 256
 
 

@@ -224,7 +224,7 @@ def json_elements(df: DataFrame, key: str, column: str, list_path: str, members:
 
 def nested_children(wire: DataFrame, frames: DataFrame, journal: DataFrame) -> DataFrame:
     """(tbl, parent_id, frame_pos, child_pos, ref): every frame and provenance link of the three tables with its parent and place."""
-    w = children(wire.where(F.col("payload").contains("frames")), "msg_id", "payload", {"result.frames[].id": (1, None), "result.frames[].provenance[].uri": (1, 2)}, True)
+    w = children(wire.where("payload IS NOT NULL"), "msg_id", "payload", {"result.frames[].id": (1, None), "result.frames[].provenance[].uri": (1, 2)}, True)
     f = children(frames.select("frame_no", F.col("provenance.uri").alias("uris")).where("size(uris) > 0"), "frame_no", "uris", {"[]": (None, 1)}, False)
     j = children(journal.select("delivery_id", F.col("frames.frame.frame_id").alias("ids")).where("size(ids) > 0"), "delivery_id", "ids", {"[]": (1, None)}, False)
     once = w.withColumn("tbl", F.lit("wire_messages")).unionByName(f.withColumn("tbl", F.lit("frames"))).dropDuplicates()
