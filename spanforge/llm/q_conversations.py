@@ -21,7 +21,7 @@ asked AS (SELECT session, call_id, min(seq) AS seq FROM (SELECT session, seq, un
 called AS (SELECT session, call_id, min(seq) AS seq FROM r WHERE event = 'tool_call' GROUP BY ALL),
 answered AS (SELECT session, call_id, min(seq) AS seq FROM r WHERE event = 'tool_result' GROUP BY ALL),
 broken AS (SELECT session FROM r GROUP BY session HAVING min(seq) <> 1 OR max(seq) <> count(*)
-UNION SELECT session FROM r WHERE seq = 1 AND event <> 'session_start'
+UNION SELECT session FROM r WHERE seq = 1 AND event IS DISTINCT FROM 'session_start'
 UNION SELECT session FROM s WHERE turn < turn_before
 UNION SELECT c.session FROM called c LEFT JOIN asked a ON a.session = c.session AND a.call_id = c.call_id WHERE a.seq IS NULL OR a.seq >= c.seq
 UNION SELECT t.session FROM answered t LEFT JOIN called c ON t.session = c.session AND t.call_id = c.call_id WHERE c.seq IS NULL OR c.seq >= t.seq),
