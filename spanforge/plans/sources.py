@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import expr as X
 from spanforge.operators import audit, compose, ingest, quality, retrieve, symbols
-from spanforge.plans.frames import _F, _O, _frames, _offers, _providers
-from spanforge.plans.texts import _LINES
+from spanforge.plans.frames import _BASE, _F, _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
+from spanforge.plans.streams import _BROKEN
+from spanforge.plans.texts import _DEF, _LINES
 from spanforge.sources import files, ndjson
 from spanforge.sources.tables import materialise, table
 
@@ -145,6 +146,18 @@ SQL = {
     "file_uris": f"WITH {_F} SELECT frame_no, CASE WHEN regexp_matches(uri, '^file://(localhost)?/') THEN url_decode(replace(regexp_extract(uri, '^file://(?:localhost)?(/.*)$', 1), '+', '%2B')) END AS path FROM f",
     "grep_frames": f"""WITH {_LINES}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l WHERE (contains(lower(line), 'digest') OR contains(lower(line), 'anchor')) AND trim(line, ' ') <> '')
 SELECT doc_id, line_no, trim(line, ' ') AS content, least(greatest((0.95::FLOAT - 0.03::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, ((strlen(trim(line, ' ')) + 3) // 4)::BIGINT AS token_cost FROM h""",
+    "prompt_costs": _PACK + " SELECT query_id, sum(cost)::BIGINT AS tokens, count(*) AS frames FROM g WHERE keep GROUP BY query_id",
+    "symbol_frames": f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, line, regexp_extract(line, '{_DEF}', 1) AS keyword, regexp_extract(line, '{_DEF}', 2) AS name, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l WHERE regexp_matches(line, '{_DEF}'))
+SELECT doc_id, line_no, 'sym:' || doc_id || '#' || name AS frame_id, keyword || ' ' || name AS title, trim(line, ' ') AS content, least(greatest((0.9::FLOAT - 0.02::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, 'symbol://' || doc_id || '#' || name AS target_uri FROM s""",
+    "resource_frames": f"""SELECT 'frm_mcp_' || regexp_replace({_BASE}, '[^A-Za-z0-9]', '_', 'g') AS frame_id, uri, CASE WHEN uri LIKE '%.rs' OR uri LIKE '%.json' THEN 'snippet' ELSE 'doc' END AS kind, coalesce(nullif(trim(citation_label, ' '), ''), {_BASE}) AS title,
+'sha256:' || sha256(text) AS content_digest, ((strlen(text) + 3) // 4)::BIGINT AS token_cost, uri || '#overview' AS overview, CASE WHEN starts_with(uri, 'file://') THEN 2 ELSE 1 END AS links FROM documents WHERE uri IS NOT NULL AND text IS NOT NULL""",
+    "provider_checks": f"""{_BROKEN}, {_P}, {_O[len(_F) + 2 :]}, {_LEGS}, i AS (SELECT provider_id, count(*) AS n FROM b WHERE rule <> 'cost' GROUP BY 1), h AS (SELECT provider_id, count(*) AS frames, count(*) FILTER (token_cost <> (strlen(coalesce(content, '')) + 3) // 4) AS dishonest FROM f GROUP BY 1),
+g AS (SELECT provider_id, count(*) FILTER (outcome <> 'frames') AS bad FROM legs GROUP BY 1), r AS (SELECT p.*, h.frames, coalesce(i.n, 0) AS invalid, coalesce(h.dishonest, 0) AS dishonest, coalesce(g.bad, 0) AS bad FROM p LEFT JOIN h USING (provider_id) LEFT JOIN i USING (provider_id) LEFT JOIN g USING (provider_id))
+SELECT provider_id, 'frame_validity' AS "check", CASE WHEN frames IS NULL THEN 'skipped' WHEN invalid > 0 THEN 'fail' ELSE 'pass' END AS status FROM r
+UNION ALL SELECT provider_id, 'cost_honesty', CASE WHEN frames IS NULL THEN 'skipped' WHEN dishonest > 0 THEN 'fail' ELSE 'pass' END FROM r
+UNION ALL SELECT provider_id, 'budget', CASE WHEN frames IS NULL THEN 'skipped' WHEN bad > 0 THEN 'fail' ELSE 'pass' END FROM r
+UNION ALL SELECT provider_id, 'scopes', CASE WHEN len({_OFF}) > 0 AND NOT coalesce(egress, false) THEN 'fail' ELSE 'pass' END FROM r
+UNION ALL SELECT provider_id, 'kinds', CASE WHEN coalesce(len(kinds), 0) = 0 THEN 'skipped' ELSE 'pass' END FROM r""",
     "global_budget": f"""WITH {_O}, l AS (SELECT query_id, provider_id, any_value(q_tokens) AS q_tokens, sum(coalesce(token_cost, 0))::BIGINT AS tokens FROM o WHERE q_tokens < 4611686018427387904 GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY provider_id NULLS FIRST) - 1 AS i FROM l),
 s AS (SELECT query_id, provider_id, tokens, (q_tokens // n + CASE WHEN i < q_tokens % n THEN 1 ELSE 0 END)::BIGINT AS share FROM n) SELECT query_id, provider_id, share, tokens, tokens <= share AS within FROM s""",
     "composition_checks": "SELECT unnest(['budget', 'partition', 'quarantine']) AS \"check\", 0::BIGINT AS failures",
