@@ -9,8 +9,8 @@ compared by their sketches: counts of hashed values, of hashed first words, of p
 their elements, objects by their members. Where values repeat, the values themselves must recur. Equal constants of small kinds
 (booleans, single numbers) say nothing, so there the names must be alike too.
 
-Scale: statistics are combined in each Arrow batch into one sketch per file, which is bounded by the schema, not by the rows; the
-sketches of a file, however hot, are added up by salt first; a comparison sees two files' sketches, never a stream's.
+Scale: statistics are combined in each task into one sketch per file, which is bounded by the schema, not by the rows; the sketches
+of a file, however hot, are added up by salt first, as a sorted stream; a comparison sees two files' sketches, never a stream's.
 
 Defined cases: lines that are blank, cut off, no object or without a text ``type`` are not valid and have no fields; null members
 are absent; a field with several types in one file has the most frequent (ties: first by name); a file without lines of a type
@@ -26,13 +26,14 @@ import zlib
 from collections import Counter
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.operators.shred import load_json
 
-SIMILAR, FEW = 0.4, 6
+SIMILAR, FEW, HELD = 0.4, 6, 2_000
 VALUE_SLOTS, WORD_SLOTS = 4096, 256
 
 
@@ -103,31 +104,47 @@ def _packed(sketch: dict) -> bytes:
 def file_statistics(lines: DataFrame, salts: int = 8) -> DataFrame:
     """(stream, file_no, msg_type, salt, sketch): the path and type statistics of each file and type, in at most ``salts`` parts."""
 
+    def out(seen: dict[tuple, dict]) -> pa.RecordBatch:
+        keys = list(zip(*seen)) if seen else [[]] * 4
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*keys, [_packed(x) for x in seen.values()]], kinds)], names=["stream", "file_no", "msg_type", "salt", "sketch"])
+
     def run(batches):
-        for k, b in enumerate(batches):
-            seen: dict[tuple, dict] = {}
+        seen: dict[tuple, dict] = {}
+        salt = TaskContext.get().partitionId() % salts
+        for b in batches:
             for stream, no, payload in zip(*(b.column(i).to_pylist() for i in range(3))):
                 node = load_json(payload)
                 if not isinstance(node, dict) or not isinstance(node.get("type"), str) or stream is None or no is None:
                     continue
-                sketch = seen.setdefault((stream, no, _clean(node["type"])), {})
+                sketch = seen.setdefault((stream, no, _clean(node["type"]), salt), {})
                 for path, kind, value in path_values(node):
                     counts = sketch.setdefault(_clean(path), {}).setdefault(kind, Counter())
                     counts[""] += 1
                     counts.update(features(value))
-            keys = list(zip(*seen)) if seen else [[]] * 3
-            salt = [zlib.crc32(f"{k} {b.num_rows} {s[1]}".encode()) % salts for s in seen]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*keys, salt, [_packed(x) for x in seen.values()]], kinds)], names=["stream", "file_no", "msg_type", "salt", "sketch"])
-
-    def merge(t: pa.Table) -> pa.Table:
-        total: dict = {}
-        for sketch in t.column("sketch").to_pylist():
-            _add(total, sketch)
-        return t.slice(0, 1).set_column(4, "sketch", pa.array([_packed(total)], pa.binary()))
+            if len(seen) > HELD:
+                yield out(seen)
+                seen = {}
+        yield out(seen)
+
+    def merge(batches):
+        """Sorted sketches to one of each key, as a stream: one sketch is held at a time."""
+        key, total = None, {}
+        for b in batches:
+            done: dict[tuple, dict] = {}
+            for *at, sketch in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if tuple(at) != key:
+                    if key is not None:
+                        done[key] = total
+                    key, total = tuple(at), {}
+                _add(total, sketch)
+            yield out(done)
+        if key is not None:
+            yield out({key: total})
 
     keyed = lines.select("stream", F.col("file_no").cast("long").alias("file_no"), "payload")
-    return keyed.mapInArrow(run, SKETCH).groupBy("stream", "file_no", "msg_type", "salt").applyInArrow(merge, SKETCH)
+    keys = ["stream", "file_no", "msg_type", "salt"]
+    return keyed.mapInArrow(run, SKETCH).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merge, SKETCH)
 
 
 def _clean(x):
