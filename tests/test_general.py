@@ -38,7 +38,7 @@ def test_insert_once_keeps_the_first(rows):
 
 
 def test_surplus_with_nulls_ties_and_long_identifiers(spark):
-    long = "s" * 300
+    long = "s" * 30_000
     rows = [
         (1, "2026-01-01 00:00:00", "a", 1, None), (2, "2026-01-01 00:00:00", "a", 1, None), (3, "2025-01-01 00:00:00", "a", 1, None),
         (4, None, "a", 2, None), (5, "2026-01-01 00:00:00", "a", 2, None), (6, None, None, 1, None), (7, None, None, 1, None), (8, None, "a", None, None), (9, None, "a", None, None),
@@ -51,6 +51,14 @@ def test_surplus_with_nulls_ties_and_long_identifiers(spark):
     assert exactly_once.deliver_once(df).count() == len(rows) - len(got)
 
 
+def test_shards_are_even():
+    ids = [f"s15:sess_0000000{i % 7:03}{i}".encode() for i in range(20_000)]
+    lengths = np.array([len(i) for i in ids], np.int64)
+    words = exactly_once.permute(exactly_once.fixed_width(np.frombuffer(b"".join(ids), np.uint8), np.cumsum(lengths) - lengths, lengths, 4))
+    counts = np.bincount((words[:, 0] >> np.uint64(58)).astype(int), minlength=64)
+    assert counts.min() > 200 and counts.max() < 430
+
+
 def test_hot_identifier(spark):
     df = spark.range(60_000).select(F.col("id").alias("delivery_id"), F.timestamp_seconds(F.lit(0)).alias("received_at"), F.when(F.col("id") % 3 == 0, "hot").otherwise("s").alias("session"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("seq"), F.lit(None).cast("string").alias("effect_id"))
     assert exactly_once.journal_surplus(df).where("surplus").count() == 19_999
