@@ -140,3 +140,15 @@ def edge_position(rank, n) -> Column:
     """Where the frame of value rank 0, 1, 2, … goes in a prompt of n: top, bottom, below the top, …"""
     r, n = _c(rank), _c(n)
     return F.when(r % 2 == 0, F.floor(r / 2)).otherwise(n - F.floor((r + 1) / 2)).cast("long")
+
+
+def refused_transport(url) -> Column:
+    """Plain http to another machine: only localhost, 127/8 and ::1 may do without TLS."""
+    host = F.lower(F.regexp_extract(_c(url), r"^[A-Za-z]+://(?:[^/@]*@)?(\[[^\]]*\]|[^/:]*)", 1))
+    here = host.isin("localhost", "[::1]") | host.rlike(r"^127(\.[0-9]{1,3}){3}$")
+    return F.lower(_c(url)).startswith("http://") & ~here
+
+
+def held_verdict(digest, full, inline) -> Column:
+    """Of a block held with ``digest``: valid for either rendering that is served, else stale, unknown without a digest."""
+    return F.when(_c(digest).isNull(), "unknown").when(F.coalesce((_c(digest) == _c(full)) | (_c(digest) == _c(inline)), F.lit(False)), "valid").otherwise("stale")

@@ -39,3 +39,33 @@ def consent(providers: DataFrame, receipts: DataFrame) -> DataFrame:
     wanted = providers.select("provider_id", F.explode(F.array_distinct(X.off_machine("egress_scopes"))).alias("scope"))
     lacking = wanted.join(receipts.select("provider_id", "scope"), ["provider_id", "scope"], "left_anti").groupBy("provider_id").agg(F.array_sort(F.collect_list("scope")).alias("missing"))
     return providers.select("provider_id").join(lacking, "provider_id", "left").select("provider_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+def live_receipts(receipts: DataFrame, now: str) -> DataFrame:
+    """The first receipt of each (provider, scope) that has not expired at ``now``; instants compare as text, none means never."""
+    live = receipts.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now)))
+    return live.groupBy("provider_id", "scope").agg(F.min_by("receipt_no", "receipt_no").alias("receipt_no"))
+
+
+def latest_records(records: DataFrame) -> DataFrame:
+    """The last consent record of each provider, by ``ord``; a bad ``granted_at`` counts as none."""
+    last = records.groupBy("provider_id").agg(F.max_by(F.struct("granted", "granted_at"), "ord").alias("r"))
+    return last.select("provider_id", "r.granted", F.when(X.is_instant("r.granted_at"), F.col("r.granted_at")).alias("granted_at"))
+
+
+IDENTITY = ["provider_id", "frame_id", "content_digest"]
+
+
+def attribution(uses: DataFrame, served: DataFrame) -> DataFrame:
+    """What a report of uses (identity, selected, rendered, cited) comes to against the served frames (identity, token_cost, arrival).
+
+    One row: whether cited implies rendered implies selected and every use was served, tokens rendered and cited, and the cited share
+    (null where nothing was rendered). A frame served twice costs what it did first.
+    """
+    first = served.groupBy(*IDENTITY).agg(F.min_by(F.coalesce("token_cost", F.lit(0)), "arrival").alias("cost"))
+    same = [uses[c].eqNullSafe(first[c]) for c in IDENTITY]
+    joined = uses.join(first, same[0] & same[1] & same[2], "left").select("selected", "rendered", "cited", "cost")
+    coherent = (~F.col("cited") | F.col("rendered")) & (~F.col("rendered") | F.col("selected"))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("cost"))), F.lit(0)).cast("long")
+    one = joined.agg(F.coalesce(F.bool_and(coherent & F.col("cost").isNotNull()), F.lit(True)).alias("reconcilable"), total("rendered").alias("rendered_tokens"), total("cited").alias("cited_tokens"))
+    return one.withColumn("cited_share", F.col("cited_tokens") / F.nullif(F.col("rendered_tokens"), F.lit(0)))

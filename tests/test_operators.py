@@ -219,3 +219,30 @@ def test_records(spark):
     art = spark.createDataFrame([("a", "d"), ("b", "e")], "uri string, digest string")
     req = spark.createDataFrame([("a", "d", None), ("b", "d", None), ("c", "d", None), ("a", "d", "2025")], "uri string, digest string, expires_at string")
     assert sorted(r.status for r in records.resolve(req, art, "2026").collect()) == ["expired", "mismatch", "not_found", "resolved"]
+
+
+def test_receipts_and_consent_records(spark):
+    r = spark.createDataFrame([(1, "p", "a", "2026-01-01T00:00:00Z"), (2, "p", "a", None), (3, "p", "a", "2027-01-01T00:00:00Z"), (4, "q", "a", "2025-01-01T00:00:00Z")], "receipt_no long, provider_id string, scope string, expires_at string")
+    assert [tuple(x) for x in audit.live_receipts(r, "2026-06-01T00:00:00Z").collect()] == [("p", "a", 2)]
+    c = spark.createDataFrame([("p", True, "2026-01-01T00:00:00Z", 1), ("p", False, "soon", 2)], "provider_id string, granted boolean, granted_at string, ord long")
+    assert [tuple(x) for x in audit.latest_records(c).collect()] == [("p", False, None)]
+
+
+def test_attribution(spark):
+    served = spark.createDataFrame([("p", "a", None, 10, 1), ("p", "a", None, 99, 2), ("p", "b", "d", 30, 1)], "provider_id string, frame_id string, content_digest string, token_cost long, arrival long")
+    schema = "provider_id string, frame_id string, content_digest string, selected boolean, rendered boolean, cited boolean"
+    uses = spark.createDataFrame([("p", "a", None, True, True, True), ("p", "b", "d", True, True, False)], schema)
+    assert tuple(audit.attribution(uses, served).first()) == (True, 40, 10, 0.25)
+    odd = spark.createDataFrame([("p", "a", None, True, False, True)], schema)
+    assert audit.attribution(odd, served).first().reconcilable is False
+    assert tuple(audit.attribution(uses.where("false"), served).first()) == (True, 0, 0, None)
+
+
+@pytest.mark.parametrize("url, refused", [("http://example.org/x", True), ("https://example.org", False), ("http://127.0.0.1:80/x", False), ("http://localhost", False), ("http://[::1]/", False), ("http://127.0.0.1.evil.org/", True), ("http://localhost@evil.org/", True)])
+def test_transport(spark, url, refused):
+    assert one(spark, X.refused_transport(F.lit(url))) is refused
+
+
+def test_held_blocks(spark):
+    got = [one(spark, X.held_verdict(F.lit(d).cast("string"), F.lit("f"), F.lit("i"))) for d in ("f", "i", "x", None)]
+    assert got == ["valid", "valid", "stale", "unknown"]
