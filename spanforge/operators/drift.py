@@ -1,8 +1,8 @@
 """Schemas that drift between the files of a stream: one consistent table, and a report of each change.
 
 Method: every line is loaded as (path, raw type, value); path and type statistics are added up by file, with a bounded sketch of the
-contents; each file is held against the one before it; lines are projected to typed columns, under the names each file uses,
-and casts that fail are reported.
+contents; each file is held against the one before it; lines are projected to typed columns, one for each path of the statistics
+under its first name, and casts that fail are reported.
 
 A renamed field is one that goes while another of the same type comes in the same object and carries on its content. Contents are
 compared by their sketches: counts of hashed values, of hashed first words, of punctuation and of length or magnitude; lists by
@@ -20,6 +20,8 @@ has no fields of it; repeated lines change nothing; an empty table has no change
 from __future__ import annotations
 
 import datetime
+import json
+import math
 import pickle
 import re
 import zlib
@@ -29,9 +31,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanforge.operators.shred import load_json
+from spanforge.operators.shred import as_text, load_json
 
 SIMILAR, FEW, HELD = 0.4, 6, 2_000
 VALUE_SLOTS, WORD_SLOTS = 4096, 256
@@ -222,9 +225,12 @@ def compare(old: dict[str, tuple[str, Counter]], new: dict[str, tuple[str, Count
     return [*renamed, *((p, p) for p in changed), *((p, "") for p in gone), *(("", q) for q in come)]
 
 
-def changes(lines: DataFrame) -> DataFrame:
-    """(stream, file_no, file_name, msg_type, old_path, new_path): every change of a file against the one before it in its stream."""
-    stats = file_statistics(lines)
+def changes(lines: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """(stream, file_no, file_name, msg_type, old_path, new_path): every change of a file against the one before it in its stream.
+
+    ``stats`` is what ``file_statistics`` gives, where it is at hand.
+    """
+    stats = file_statistics(lines) if stats is None else stats
     names = lines.where("stream is not null and file_no is not null").groupBy("stream", F.col("file_no").cast("long").alias("file_no")).agg(F.min("file_name").alias("file_name"))
     in_order = Window.partitionBy("stream").orderBy("file_no")
     after = names.select("stream", "file_no", F.lead("file_no").over(in_order).alias("next_no"), F.lead("file_name").over(in_order).alias("next_name"), "file_name", F.lag("file_no").over(in_order).alias("before"))
@@ -252,7 +258,7 @@ def changes(lines: DataFrame) -> DataFrame:
     return both.groupBy("stream", "file_no", "msg_type").applyInArrow(run, "stream string, file_no long, file_name string, msg_type string, old_path string, new_path string")
 
 
-#: columns of the consistent table: name, path under the first names, type
+#: columns of the consistent table whose name and type are given: name, path under the first names, type; all other paths get theirs from the statistics
 LINE_COLUMNS = [
     ("protocol_version", "protocol_version", "string"),
     ("correlation", "id", "string"),
@@ -271,13 +277,19 @@ LINE_COLUMNS = [
 ]
 
 
-def name_in_file(path: str, renames: list[tuple[int, str, str]], file_no: int) -> str:
-    """What ``path`` is called in file ``file_no``, by the renames (file, old, new) in order of file."""
-    for at, old, new in renames:
+def first_name(path: str, renames: list[tuple[int, str, str]], file_no: int) -> str:
+    """The first name of what file ``file_no`` calls ``path``, by the renames (file, old, new) in order of file.
+
+    A name that comes again after its field was renamed is another field: it gets the number of that file.
+    """
+    under = lambda p, root: p == root or (p.startswith(root) and p[len(root)] in ".[")
+    for at, old, new in reversed(renames):
         if at > file_no:
-            break
-        if path == old or (path.startswith(old) and path[len(old)] in ".["):
-            path = new + path[len(old) :]
+            continue
+        if under(path, new):
+            path = old + path[len(new) :]
+        elif under(path, old):
+            path = f"{old}~{at}{path[len(old) :]}"
     return path
 
 
@@ -293,6 +305,10 @@ def convert(value, kind: str):
         if isinstance(value, (bool, dict, list)) or float(value) != int(float(value)) or abs(int(float(value))) >= 1 << 63:
             raise ValueError(value)
         return int(value) if not isinstance(value, float) else int(value)
+    if kind == "double":
+        if isinstance(value, (bool, dict, list)) or not math.isfinite(float(value)):
+            raise ValueError(value)
+        return float(value)
     if kind == "boolean":
         known = {"true": True, "yes": True, "1": True, "false": False, "no": False, "0": False}
         if isinstance(value, (dict, list)) or str(value).lower() not in known:
@@ -310,48 +326,201 @@ def convert(value, kind: str):
         value = [x for x in value.split(",") if x]
     if not isinstance(value, list):
         raise ValueError(value)
-    return [convert(x, "string") if x is not None else None for x in value]
+    return [convert(x, kind[6:-1]) if x is not None else None for x in value]
 
 
-ARROW = {"string": pa.string(), "bigint": pa.int64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC"), "array<string>": pa.list_(pa.string())}
+ARROW = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "timestamp": pa.timestamp("us", "UTC"), "json": pa.string()}
+ARROW |= {f"array<{k}>": pa.list_(ARROW[k]) for k in ("string", "bigint", "double", "boolean")}
 
 
-def consistent_lines(lines: DataFrame, drift: DataFrame, columns: list[tuple[str, str, str]] = LINE_COLUMNS) -> DataFrame:
-    """Every line as one row of typed columns, whatever its file calls them; ``failed`` has the columns whose value could not be cast.
-
-    ``valid`` is false where the line has no envelope. ``drift`` is what ``changes`` gives.
-    """
-    renames = (
+def _renames(drift: DataFrame) -> DataFrame:
+    """(stream, renames): message type to the renames of the stream in order of file."""
+    return (
         drift.where("old_path <> '' and new_path <> '' and old_path <> new_path")
         .groupBy("stream", "msg_type")
         .agg(F.array_sort(F.collect_list(F.struct("file_no", "old_path", "new_path"))).alias("r"))
         .groupBy("stream")
         .agg(F.map_from_entries(F.collect_list(F.struct("msg_type", "r"))).alias("renames"))
     )
-    keyed = lines.select("line_id", "stream", F.col("file_no").cast("long").alias("file_no"), "line_no", "payload").join(renames, "stream", "left")
+
+
+def _of_type(renames, msg_type: str) -> list[tuple[int, str, str]]:
+    return [(r["file_no"], r["old_path"], r["new_path"]) for r in dict(renames or []).get(msg_type, [])]
+
+
+def path_kinds(stats: DataFrame, drift: DataFrame) -> dict[str, str]:
+    """Each path, under its first name, to the kind of its column by its most frequent type (ties: first by name).
+
+    Objects are entered; lists with more objects or lists than anything else are 'json'.
+    """
+
+    def run(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for no, msg_type, sketch, renames in zip(*(b.column(i).to_pylist() for i in range(4))):
+                known = _of_type(renames, msg_type)
+                for path, kinds in pickle.loads(zlib.decompress(sketch)).items():
+                    first = first_name(path, known, no)
+                    for kind, counts in kinds.items():
+                        seen[first, kind] += counts[""]
+                        for feature, n in counts.items():
+                            if feature[:1] == "e":
+                                seen[first, feature] += n
+                            elif feature.startswith("uFalse"):
+                                seen[first, f"{kind} of fractions"] += n
+        keys = list(zip(*seen)) if seen else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.string()), pa.array(keys[1], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["path", "what", "n"])
+
+    found = stats.join(_renames(drift), "stream", "left").select("file_no", "msg_type", "sketch", "renames").mapInArrow(run, "path string, what string, n long")
+    paths: dict[str, dict[str, int]] = {}
+    for path, what, n in found.groupBy("path", "what").agg(F.sum("n").alias("n")).collect():
+        paths.setdefault(path, {})[what] = n
+    top = lambda n, among: min((k for k in among if k in n), key=lambda k: (-n[k], k), default=None)
+    out = {}
+    for path, n in paths.items():
+        kind = top(n, ("array", "boolean", "number", "object", "string"))
+        item = kind if kind != "array" else (top(n, ("earray", "eboolean", "enumber", "eobject", "estring")) or "estring")[1:]
+        if kind == "array" and item in ("array", "object"):
+            out[path] = "json"
+            continue
+        item = ("double" if n.get(f"{kind} of fractions") else "bigint") if item == "number" else item
+        out[path] = f"array<{item}>" if kind == "array" else item
+    return out
+
+
+def line_columns(kinds: dict[str, str], given: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The columns (name, path, kind) of the consistent table: those given, then every other path that is no object and in none that has a column."""
+    columns, taken = list(given), {"line_id", "stream", "file_no", "line_no", "valid", "msg_type", "failed", "rest", *(c for c, _, _ in given)}
+    scalars = {p for p, k in kinds.items() if k != "object"} | {p for _, p, _ in given}
+    for path in sorted(kinds.keys() - {p for _, p, _ in given}):
+        if kinds[path] == "object" or "[]" in path or any(path[:i] in scalars for i, c in enumerate(path) if c == "."):
+            continue
+        name = base = re.sub(r"\W", "_", path).lower() or "_"
+        n = 1
+        while name in taken:
+            n += 1
+            name = f"{base}_{n}"
+        taken.add(name)
+        columns.append((name, path, kinds[path]))
+    return columns
+
+
+class Projection:
+    """One envelope after another as (column to value, failed, rest)."""
+
+    def __init__(self, columns: list[tuple[str, str, str]], kinds: dict[str, str]):
+        self.kinds = kinds | {p: k for _, p, k in columns}
+        self.column = {p: c for c, p, _ in columns}
+        self.names: dict[tuple, dict[str, str]] = {}
+
+    def first(self, path: str) -> str:
+        if path not in self.cache:
+            self.cache[path] = first_name(path, self.renames, self.file_no)
+        return self.cache[path]
+
+    def row(self, node: dict, stream, file_no: int, renames: list[tuple[int, str, str]]) -> tuple[dict, list[str], dict]:
+        self.file_no, self.renames = file_no, renames
+        key = (stream, file_no, node["type"])
+        if key not in self.names and len(self.names) > HELD:
+            self.names.clear()
+        self.cache = self.names.setdefault(key, {})
+        self.values, self.failed, self.rest = {}, {}, {}
+        self.members({k: v for k, v in node.items() if k != "type"}, "")
+        return self.values, list(self.failed), self.rest
+
+    def members(self, node: dict, prefix: str) -> None:
+        for name, value in node.items():
+            if value is None:
+                continue
+            path = _clean(f"{prefix}.{name}" if prefix else name)
+            first = self.first(path)
+            kind, column = self.kinds.get(first), self.column.get(first)
+            if kind == "object" and isinstance(value, dict) and value:
+                self.members(value, path)
+            elif column is None or column in self.values:
+                self.rest[path] = value
+                if kind == "object" and not isinstance(value, dict):
+                    self.failed[first] = None
+            else:
+                try:
+                    self.values[column] = as_text(self.shaped(value, path, first, path)) if kind == "json" else convert(value, kind)
+                    if kind not in ("string", "json") and isinstance(value, dict) and "items" in value:  # a list with its count: what is beside the list
+                        self.rest |= {_clean(f"{path}.{k}"): x for k, x in value.items() if k != "items" and x is not None}
+                except (ValueError, OverflowError, OSError):
+                    self.rest[path] = value
+                    self.failed[column] = None
+
+    def shaped(self, value, path: str, first: str, place: str) -> list:
+        """A list of objects (a lone one stands for a list of one) under the first names, its members cast."""
+        if isinstance(value, dict):
+            value = [value]
+        if not isinstance(value, list):
+            raise ValueError(value)
+        return [self.inner(x, path + "[]", first + "[]", f"{place}[{i}]") for i, x in enumerate(value)]
+
+    def inner(self, value, path: str, first: str, place: str):
+        if isinstance(value, list):
+            return [self.inner(x, path + "[]", first + "[]", f"{place}[{i}]") for i, x in enumerate(value)]
+        if not isinstance(value, dict):
+            return value
+        out = {}
+        for name, x in value.items():
+            at, under = _clean(f"{path}.{name}"), _clean(f"{place}.{name}")
+            named = self.first(at)
+            kind, name = self.kinds.get(named), named[len(first) + 1 :] if named.startswith(first + ".") else _clean(name)
+            if x is None or name in out and out[name] is not None:
+                out.setdefault(name, None)
+                if x is not None:
+                    self.rest[under] = x
+                continue
+            try:
+                if kind is None:
+                    out[name] = x
+                elif kind == "object":
+                    if not isinstance(x, dict):
+                        raise ValueError(x)
+                    out[name] = self.inner(x, at, named, under)
+                else:
+                    out[name] = self.shaped(x, at, named, under) if kind == "json" else convert(x, kind)
+            except (ValueError, OverflowError, OSError):
+                out[name] = None
+                self.rest[under] = x
+                self.failed[named] = None
+        return out
+
+
+def consistent_lines(lines: DataFrame, drift: DataFrame, columns: list[tuple[str, str, str]] = LINE_COLUMNS, stats: DataFrame | None = None) -> DataFrame:
+    """Every line as one row of typed columns, whatever its file calls them.
+
+    The columns are those of ``columns`` and one for each other path of the statistics; the path is in the metadata of the column.
+    Lists of objects are JSON text under the first names, their members cast. ``failed`` has the columns (within lists, the paths)
+    whose value could not be cast; ``rest`` is a JSON object from path to each value that is in no column as it was, so no value is lost.
+    ``valid`` is false where the line has no envelope. ``drift`` is what ``changes`` gives, ``stats`` what ``file_statistics`` gives.
+    """
+    found = path_kinds(file_statistics(lines) if stats is None else stats, drift)
+    columns = line_columns(found, columns)
+    keyed = lines.select("line_id", "stream", F.col("file_no").cast("long").alias("file_no"), "line_no", "payload").join(_renames(drift), "stream", "left")
+    kinds = {"valid": pa.bool_(), "msg_type": pa.string(), **{c: ARROW[k] for c, _, k in columns}, "failed": pa.list_(pa.string()), "rest": pa.string()}
 
     def run(batches):
+        projection = Projection(columns, found)
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("valid", "msg_type", *(c for c, _, _ in columns), "failed")}
-            for payload, file_no, names in zip(b.column("payload").to_pylist(), b.column("file_no").to_pylist(), b.column("renames").to_pylist()):
+            out: dict[str, list] = {k: [] for k in kinds}
+            for payload, stream, file_no, names in zip(*(b.column(c).to_pylist() for c in ("payload", "stream", "file_no", "renames"))):
                 node = load_json(payload)
                 valid = isinstance(node, dict) and isinstance(node.get("type"), str)
+                msg_type = _clean(node["type"]) if valid else None
+                values, failed, rest = projection.row(node, stream, file_no or 0, _of_type(names, msg_type)) if valid else ({}, [], {})
                 out["valid"].append(valid)
-                out["msg_type"].append(_clean(node["type"]) if valid else None)
-                known = [(r["file_no"], r["old_path"], r["new_path"]) for r in dict(names or []).get(node["type"], [])] if valid else []
-                failed = []
-                for column, path, kind in columns:
-                    value = node if valid else None
-                    for step in name_in_file(path, known, file_no or 0).split(".") if valid else ():
-                        value = value.get(step) if isinstance(value, dict) else None
-                    try:
-                        out[column].append(None if value is None else convert(value, kind))
-                    except (ValueError, OverflowError, OSError):
-                        out[column].append(None)
-                        failed.append(column)
+                out["msg_type"].append(msg_type)
+                for column, _, _ in columns:
+                    out[column].append(values.get(column))
                 out["failed"].append(failed)
-            kinds = {"valid": pa.bool_(), "msg_type": pa.string(), "failed": pa.list_(pa.string())} | {c: ARROW[k] for c, _, k in columns}
+                out["rest"].append(as_text(rest) if rest else None)
             yield pa.RecordBatch.from_arrays([b.column("line_id"), b.column("stream"), b.column("file_no"), b.column("line_no"), *(pa.array(v, kinds[k]) for k, v in out.items())], names=["line_id", "stream", "file_no", "line_no", *out])
 
-    schema = ", ".join(["line_id long, stream string, file_no long, line_no long, valid boolean, msg_type string", *(f"{c} {k}" for c, _, k in columns), "failed array<string>"])
-    return keyed.mapInArrow(run, schema)
+    schema = T.StructType([T.StructField(n, T.StringType() if n == "stream" else T.LongType()) for n in ("line_id", "stream", "file_no", "line_no")])
+    schema.add("valid", T.BooleanType()).add("msg_type", T.StringType())
+    for column, path, kind in columns:
+        schema.add(column, T._parse_datatype_string("string" if kind == "json" else kind), True, {"path": path})
+    return keyed.mapInArrow(run, schema.add("failed", T.ArrayType(T.StringType())).add("rest", T.StringType()))

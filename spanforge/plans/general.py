@@ -14,7 +14,8 @@ def p2_found(spark, sf_dir):
 
 def p2_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "capture_lines")
-    return drift.consistent_lines(lines, materialise(drift.changes(lines), "drift"))
+    stats = materialise(drift.file_statistics(lines), "statistics")
+    return drift.consistent_lines(lines, materialise(drift.changes(lines, stats), "drift"), stats=stats)
 
 
 def p2_failed_casts(spark, sf_dir):
