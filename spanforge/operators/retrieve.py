@@ -34,14 +34,22 @@ def offers(frames: DataFrame, queries: DataFrame) -> DataFrame:
     return frames.dropDuplicates(["frame_no"]).join(q, "query_id")
 
 
+def asked_kind(kinds: str = "q_kinds"):
+    """Whether a frame's kind is among ``kinds``; no kinds means all."""
+    return F.coalesce(F.size(kinds), F.lit(0)).isin(0, -1) | F.coalesce(F.array_contains(kinds, F.col("kind")), F.lit(False))
+
+
 def of_kind(df: DataFrame) -> DataFrame:
     """No kinds asked for means all."""
-    return df.where(F.coalesce(F.size("q_kinds"), F.lit(0)).isin(0, -1) | F.coalesce(F.array_contains("q_kinds", F.col("kind")), F.lit(False)))
+    return df.where(asked_kind())
+
+
+#: instants compare as text; only the start of validity counts
+VALID_AS_OF = "q_as_of IS NULL OR valid_from IS NULL OR valid_from <= q_as_of"
 
 
 def valid_as_of(df: DataFrame) -> DataFrame:
-    """Instants compare as text; only the start of validity counts."""
-    return df.where("q_as_of IS NULL OR valid_from IS NULL OR valid_from <= q_as_of")
+    return df.where(VALID_AS_OF)
 
 
 def anchored(df: DataFrame):

@@ -96,20 +96,30 @@ def served_representations(spark, d):
 
 
 def provider_checks(spark, d):
-    """(provider_id, check, status): rules over a provider's frames and its own declaration; nothing served is skipped, not passed."""
+    """(provider_id, check, status): rules over a provider's frames and its own declaration; nothing served is skipped, not passed.
+
+    'kinds' fails on frames of a kind that the provider does not declare or that their query did not ask for, 'as_of' on frames that
+    were not yet valid at the instant of their query.
+    """
     p = _providers(spark, d)
     broken = quality.frame_problems(_frames(spark, d)).groupBy("provider_id").agg(F.count_if(F.col("rule") != "cost").alias("invalid"))
     served = _frames(spark, d).groupBy("provider_id").agg(F.count("*").alias("frames"), F.count_if(F.col("token_cost") != X.budget_tokens("content")).alias("dishonest"))
     legs = audit.legs(_offers(spark, d)).groupBy("provider_id").agg(F.count_if(F.col("outcome") != "frames").alias("bad_legs"))
     off = X.off_machine("egress_scopes")
-    rows = p.join(served, "provider_id", "left").join(broken, "provider_id", "left").join(legs, "provider_id", "left")
+    asked = _offers(spark, d).groupBy("provider_id").agg(F.count_if(F.size("q_kinds") > 0).alias("narrowed"), F.count_if(~retrieve.asked_kind()).alias("unasked"), F.count_if(F.col("q_as_of").isNotNull()).alias("pinned"), F.count_if(~F.expr(retrieve.VALID_AS_OF)).alias("early"))
+    declared = F.coalesce(F.size("kinds"), F.lit(0)) > 0
+    undeclared = _frames(spark, d).join(p.select("provider_id", "kinds"), "provider_id").groupBy("provider_id").agg(F.count_if(~retrieve.asked_kind("kinds")).alias("undeclared"))
+    rows = p
+    for found in (served, broken, legs, asked, undeclared):
+        rows = rows.join(found, "provider_id", "left")
     state = lambda bad: F.when(F.col("frames").isNull(), "skipped").when(F.coalesce(bad, F.lit(False)), "fail").otherwise("pass")
     checks = {
         "frame_validity": state(F.col("invalid") > 0),
         "cost_honesty": state(F.col("dishonest") > 0),
         "budget": state(F.col("bad_legs") > 0),
         "scopes": F.when((F.size(off) > 0) & ~F.coalesce("egress", F.lit(False)), "fail").otherwise("pass"),
-        "kinds": F.when(F.coalesce(F.size("kinds"), F.lit(0)) <= 0, "skipped").otherwise("pass"),
+        "kinds": F.when(declared | (F.coalesce("narrowed", F.lit(0)) > 0), state((F.col("undeclared") > 0) | (F.col("unasked") > 0))).otherwise("skipped"),
+        "as_of": F.when(F.col("pinned") > 0, state(F.col("early") > 0)).otherwise("skipped"),
     }
     return rows.select("provider_id", F.explode(F.create_map(*(x for k, v in checks.items() for x in (F.lit(k), v)))).alias("check", "status"))
 

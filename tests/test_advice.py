@@ -2,7 +2,11 @@
 
 import json
 
+from conftest import SF
+from oracle import same
+
 from spanforge.operators import drift
+from spanforge.plans import sources
 
 LINES = "line_id long, stream string, file_name string, file_no long, line_no long, payload string"
 
@@ -31,3 +35,15 @@ def test_every_field_of_a_line_has_a_column(spark):
 def test_a_name_that_comes_again_is_another_field():
     renames = [(2, "a", "b"), (5, "c", "d")]
     assert [drift.first_name(p, renames, n) for p, n in (("a", 1), ("b", 2), ("b.x", 9), ("a", 3), ("d[].y", 5), ("d", 4))] == ["a", "a", "a.x", "a~2", "c[].y", "d"]
+
+
+def test_off_kind_and_early_frames_fail_their_provider(spark, duck):
+    sql = """WITH f AS (SELECT DISTINCT frame_no, query_id, provider_id, kind, valid_from FROM frames), p AS (SELECT DISTINCT provider_id, kinds FROM providers),
+    q AS (SELECT DISTINCT query_id, kinds AS asked, as_of FROM queries),
+    r AS (SELECT p.provider_id, coalesce(len(any_value(p.kinds)), 0) > 0 AS declares, count(f.frame_no) AS n, count(*) FILTER (len(asked) > 0) AS narrowed, count(*) FILTER (as_of IS NOT NULL) AS pinned,
+    count(*) FILTER (f.frame_no IS NOT NULL AND ((len(p.kinds) > 0 AND NOT coalesce(list_contains(p.kinds, kind), false)) OR (len(asked) > 0 AND NOT coalesce(list_contains(asked, kind), false)))) AS off,
+    count(*) FILTER (valid_from > as_of) AS early FROM p LEFT JOIN f USING (provider_id) LEFT JOIN q USING (query_id) GROUP BY p.provider_id)
+    SELECT provider_id, 'kinds' AS "check", CASE WHEN n = 0 OR NOT (declares OR narrowed > 0) THEN 'skipped' WHEN off > 0 THEN 'fail' ELSE 'pass' END AS status FROM r
+    UNION ALL SELECT provider_id, 'as_of', CASE WHEN pinned = 0 THEN 'skipped' WHEN early > 0 THEN 'fail' ELSE 'pass' END FROM r"""
+    same(spark, duck, lambda s, d: sources.provider_checks(s, d).where("check IN ('kinds', 'as_of')"), sql, SF)
+    assert {r.check for r in sources.provider_checks(spark, SF).where("status = 'fail'").collect()} >= {"kinds", "as_of"}
