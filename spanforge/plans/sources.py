@@ -13,26 +13,31 @@ from spanforge.sources import files, ndjson
 from spanforge.sources.tables import materialise, table
 
 
+def _wire(spark, d):
+    """Each line once; an envelope inside a JSON string counts as that envelope."""
+    return table(spark, d, "wire_messages").dropDuplicates(["msg_id"]).select("msg_id", "conn_id", ndjson.unwrapped("payload").alias("payload"))
+
+
 def envelope_types(spark, d):
     """Lines of stdio sessions by type; broken ones apart."""
-    wire = table(spark, d, "wire_messages").dropDuplicates(["msg_id"]).select("msg_id", "payload").where(~F.coalesce(F.ltrim("payload").startswith('"'), F.lit(False)))
+    wire = _wire(spark, d)
     return ndjson.parsed(wire, "payload", ndjson.ENVELOPE).groupBy(F.when(F.col("broken").isNull(), F.col("type")).alias("type")).agg(F.count("*").alias("lines"))
 
 
 def envelope_queries(spark, d):
-    wire = table(spark, d, "wire_messages").dropDuplicates(["msg_id"]).select("msg_id", "payload").where(~F.coalesce(F.ltrim("payload").startswith('"'), F.lit(False)))
+    wire = _wire(spark, d)
     return ndjson.parsed(wire, "payload", ndjson.ENVELOPE).where("broken IS NULL AND type = 'query'").select("msg_id", "id", "query.goal", "query.max_frames", "query.max_tokens")
 
 
 def envelope_unknown_members(spark, d):
-    wire = table(spark, d, "wire_messages").dropDuplicates(["msg_id"]).select("msg_id", "payload").where("payload LIKE '{%}'")
+    wire = _wire(spark, d).where(r"regexp_replace(payload, '^\\s+|\\s+$', '') LIKE '{%}'")
     known = ["type", "id", "protocol_version", "provider", "capabilities", "query", "result", "request", "response", "code", "message"]
     return ndjson.unknown_members(wire, "payload", known).select("msg_id", F.array_join("unknown", ",").alias("unknown"))
 
 
 def correlation_echo(spark, d):
     """Answers whose id no query of their connection had."""
-    wire = table(spark, d, "wire_messages").dropDuplicates(["msg_id"]).select("msg_id", "conn_id", "payload").where(~F.coalesce(F.ltrim("payload").startswith('"'), F.lit(False)))
+    wire = _wire(spark, d)
     rows = ndjson.parsed(wire, "payload", ndjson.ENVELOPE).where("broken IS NULL AND id IS NOT NULL")
     asked = rows.where("type = 'query'").select("conn_id", "id").distinct()
     return rows.where("type IN ('frames', 'error')").join(asked, ["conn_id", "id"], "left_anti").select("msg_id", "id")

@@ -18,6 +18,17 @@ def parsed(lines: DataFrame, column: str, schema: str) -> DataFrame:
     return rows.withColumn("_p", F.from_json(whole, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})).select(*lines.columns, "_p.*")
 
 
+def unwrapped(column: str):
+    """``column``, or the envelope inside it where it is a JSON string that holds one (at most four deep, as ``shred.load_json``)."""
+
+    def inner(text, _):
+        held = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>")
+        wrapped = F.ltrim(text).startswith('"') & (F.length(text) <= 2 * MAX_LINE)
+        return F.when(wrapped & (F.size(held) == 1) & held[0].rlike(r'^\s*[{"]'), held[0]).otherwise(text)
+
+    return F.aggregate(F.array(*map(F.lit, range(4))), F.col(column), inner)
+
+
 def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return parsed(spark.read.text(path), "value", ENVELOPE).drop("value")
 

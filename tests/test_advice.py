@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from conftest import SF
 from oracle import same
 
@@ -47,3 +48,30 @@ def test_off_kind_and_early_frames_fail_their_provider(spark, duck):
     UNION ALL SELECT provider_id, 'as_of', CASE WHEN pinned = 0 THEN 'skipped' WHEN early > 0 THEN 'fail' ELSE 'pass' END FROM r"""
     same(spark, duck, lambda s, d: sources.provider_checks(s, d).where("check IN ('kinds', 'as_of')"), sql, SF)
     assert {r.check for r in sources.provider_checks(spark, SF).where("status = 'fail'").collect()} >= {"kinds", "as_of"}
+
+
+ENVELOPES = """WITH m AS (SELECT DISTINCT msg_id, conn_id, payload FROM wire_messages WHERE trim(regexp_replace(payload, '\\s', ' ', 'g'), ' ') <> ''),
+j AS (SELECT msg_id, conn_id, CASE WHEN NOT json_valid(payload) THEN NULL WHEN json_type(payload) <> 'VARCHAR' THEN CAST(payload AS JSON) WHEN json_valid(payload ->> '$') THEN CAST(payload ->> '$' AS JSON) END AS j FROM m),
+r AS (SELECT msg_id, conn_id, j ->> '$.id' AS id, j ->> '$.type' AS type FROM j WHERE j ->> '$.id' IS NOT NULL) """
+WHOLE = {
+    "envelope_types": "SELECT j ->> '$.type' AS type, count(*) AS lines FROM j GROUP BY 1",
+    "envelope_queries": "SELECT msg_id, j ->> '$.id' AS id, j ->> '$.query.goal' AS goal, try_cast(j ->> '$.query.max_frames' AS BIGINT) AS max_frames, try_cast(j ->> '$.query.max_tokens' AS BIGINT) AS max_tokens FROM j WHERE j ->> '$.type' = 'query'",
+    "correlation_echo": "SELECT msg_id, id FROM r WHERE type IN ('frames', 'error') AND NOT EXISTS (SELECT 1 FROM r a WHERE a.type = 'query' AND a.conn_id = r.conn_id AND a.id = r.id)",
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_wrapped_envelopes_are_counted(spark, duck, name):
+    same(spark, duck, sources.QUERIES[name], ENVELOPES + WHOLE[name], "/root/testdata/sf0.001")
+
+
+def test_wrapped_envelopes_on_a_small_session(spark, tmp_path):
+    wrap = lambda x, n=1: x if not n else json.dumps(wrap(x, n - 1))
+    query, answer = json.dumps({"type": "query", "id": "q1", "query": {"goal": "a \"b\" é", "max_frames": 3}, "extra": 1}), json.dumps({"type": "frames", "id": "q1"})
+    stray = json.dumps({"type": "error", "id": "q9"})
+    payloads = [wrap(query), answer, wrap(stray, 2), '"text"', wrap("{cut"), wrap(query)[:-9], "  ", None, f" {wrap(answer)} ", '"a","b"']
+    spark.createDataFrame([(i, "c", p) for i, p in enumerate(payloads)], "msg_id long, conn_id string, payload string").write.parquet(f"{tmp_path}/wire_messages.parquet")
+    got = {n: sorted(map(tuple, sources.QUERIES[n](spark, str(tmp_path)).collect()), key=str) for n in ("envelope_types", *WHOLE, "envelope_unknown_members")}
+    assert got["envelope_types"] == sorted([("query", 1), ("frames", 2), ("error", 1), (None, 4)], key=str)
+    assert got["envelope_queries"] == [(0, "q1", 'a "b" é', 3, None)] and got["correlation_echo"] == [(2, "q9")]
+    assert got["envelope_unknown_members"] == [(0, "extra"), (1, ""), (2, ""), (8, "")]
