@@ -11,7 +11,8 @@ Training: labels of at most ``MAX_LABELLED`` documents (a documented bound on th
 and in lower case, doubled labels count once, and wrong ones are outvoted. The first models come from documents with one label; the second from
 all of them, each segment going to the label that explains it, and, ``ROUNDS`` times, from all documents of the corpus that the
 models are sure of, so that terms which no label covers are learnt from their company. Model tables keep n-grams seen at least
-``MIN_SEEN`` times. Background counts cover all texts.
+``MIN_SEEN`` times, however many they are. Background counts cover all texts: those without a language that has a background go to
+the one they read like.
 
 Scale: every pass is one narrow scan with counts combined per batch before the shuffle; the models are a file that each executor fetches.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from spanforge.sources.tables import materialise, ship_file
 
-MAX_LABELLED, MIN_SEEN, ROUNDS, MAX_NGRAMS = 20_000, 2, 2, 200_000
+MAX_LABELLED, MIN_SEEN, ROUNDS = 20_000, 2, 2
 M1, M2, FLOOR, DISTINCT = 150.0, 10.0, 0.2, 1.0
 START = "^"
 ASIDE, REAL = "-aside", "-real"
@@ -231,7 +232,7 @@ def _load(name: str) -> Models:
 
 
 def _counted(df: DataFrame, columns: list[str], count, least: int) -> dict[tuple[str, str], Counter]:
-    """Add up ``count(row, into)`` over all rows; n-grams seen at least ``least`` times, the MAX_NGRAMS most frequent."""
+    """Add up ``count(row, into)`` over all rows; all n-grams seen at least ``least`` times."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -251,8 +252,9 @@ def _counted(df: DataFrame, columns: list[str], count, least: int) -> dict[tuple
     keys = ["class", "language", "a", "w"]
     table = df.select(columns).mapInArrow(run, "class string, language string, a string, w string, n long").groupBy(keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     got: dict[tuple[str, str], Counter] = {}
-    for c, lang, a, w, n in table.orderBy(F.desc("n"), *keys).limit(MAX_NGRAMS).toArrow().to_pandas().itertuples(index=False):
-        got.setdefault((c, lang), Counter())[a, w] = n
+    for b in table.toArrow().to_batches():
+        for c, lang, a, w, n in zip(*(b.column(i).to_pylist() for i in range(5))):
+            got.setdefault((c, lang), Counter())[a, w] = n
     return got
 
 
@@ -263,10 +265,25 @@ def _pairs(words: list[str], name: str, language: str, into: Counter) -> None:
         before = w
 
 
+def _stated(lang: str | None) -> str:
+    return (lang or "").strip().lower()[:2]
+
+
 def _background(row, into: Counter) -> None:
-    language = (row[0] or "").strip().lower()[:2]
     for words in segments(row[1]):
-        _pairs(words, "", language, into)
+        _pairs(words, "", _stated(row[0]), into)
+
+
+def _told_apart(model: str):
+    """As ``_background``, a text whose language has no background in the language it reads like."""
+
+    def count(row, into):
+        m, segs, language = _load(model), segments(row[1]), _stated(row[0])
+        language = language if language in m.languages else m.language(segs)
+        for words in segs:
+            _pairs(words, "", language, into)
+
+    return count
 
 
 def _single(model: str):
@@ -319,6 +336,17 @@ def _confident(model: str):
     return count
 
 
+def backgrounds(documents: DataFrame, classes: list[str]) -> dict[str, Counter]:
+    """Language to the counts of all texts in it; a single one where no text says its language."""
+    counts = {lang: c for (_, lang), c in _counted(documents, ["lang", "text"], _background, MIN_SEEN).items()}
+    total = sum(sum(c.values()) for c in counts.values())
+    stated = {lang: c for lang, c in counts.items() if lang not in ("", "un") and sum(c.values()) > 0.002 * total}
+    if not stated:
+        return {"": sum(counts.values(), Counter())}
+    first = ship_file(documents.sparkSession, "subjects", pickle.dumps(Models({}, stated, classes)))
+    return {lang: c for (_, lang), c in _counted(documents, ["lang", "text"], _told_apart(first), MIN_SEEN).items()}
+
+
 def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> tuple[str, float, float] | None:
     """Fit the models; gives the shipped file's name and the calibrated (nats, share), or None where no label is usable."""
     spark = documents.sparkSession
@@ -336,9 +364,7 @@ def train(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> tuple
     labelled = materialise(documents.select("doc_id", "text").join(known, "doc_id").select("text", "known").repartition(max(2, spark.sparkContext.defaultParallelism)), "labelled")
     if not classes or labelled.isEmpty():
         return None
-    counts = {lang: c for (_, lang), c in _counted(documents, ["lang", "text"], _background, MIN_SEEN).items()}
-    total = sum(sum(c.values()) for c in counts.values())
-    background = {lang: c for lang, c in counts.items() if lang not in ("", "un") and sum(c.values()) > 0.002 * total} or {"": sum(counts.values(), Counter())}
+    background = backgrounds(documents, classes)
 
     def ship(found) -> str:
         return ship_file(spark, "subjects", pickle.dumps(Models(found, background, classes)))

@@ -1,11 +1,13 @@
 """What a review found missing, each on a small case that the code before did not pass."""
 
+import itertools
 import json
 
 import pytest
 from conftest import SF
 from oracle import same
 
+from spanforge.llm import subjects
 from spanforge.operators import drift
 from spanforge.plans import sources
 
@@ -75,3 +77,17 @@ def test_wrapped_envelopes_on_a_small_session(spark, tmp_path):
     assert got["envelope_types"] == sorted([("query", 1), ("frames", 2), ("error", 1), (None, 4)], key=str)
     assert got["envelope_queries"] == [(0, "q1", 'a "b" é', 3, None)] and got["correlation_echo"] == [(2, "q9")]
     assert got["envelope_unknown_members"] == [(0, "extra"), (1, ""), (2, ""), (8, "")]
+
+
+def test_all_ngrams_of_the_corpus_are_counted(spark):
+    words = ["".join(x) + "q" for x in itertools.islice(itertools.product("abcdefghij", repeat=6), 201_000)]
+    df = spark.createDataFrame([("en", " ".join(words[i : i + 1000])) for i in range(0, len(words), 1000)] * 2, "lang string, text string")
+    assert sum(map(len, subjects.backgrounds(df, []).values())) == len(words)
+
+
+def test_texts_of_unknown_language_count_in_the_language_they_read_like(spark):
+    known = [("en", "the court heard the claim of the tenant"), ("FR", "le tribunal a entendu la demande du locataire")] * 3
+    unknown = [(None, "le tribunal a entendu la demande du voisin"), ("un", "the court heard the claim of the neighbour"), ("xx", "the court heard the claim of the neighbour"), (" ", "le tribunal a entendu la demande du voisin")]
+    got = subjects.backgrounds(spark.createDataFrame(known + unknown, "lang string, text string"), [])
+    assert set(got) == {"en", "fr"} and got["fr"]["du", "voisin"] == 2 and got["en"]["the", "neighbour"] == 2 and got["en"]["the", "tribunal"] == 0
+    assert got["en"]["^", "the"] == 5 and got["fr"]["le", "tribunal"] == 5
