@@ -222,6 +222,42 @@ def json_elements(df: DataFrame, key: str, column: str, list_path: str, members:
     return df.select(key, column).mapInArrow(run, schema)
 
 
+def element_members(df: DataFrame, column: str, list_path: str) -> list[str]:
+    """The paths of all members that the elements of ``list_path`` have in JSON texts, objects entered, lists not.
+
+    A path that is an object in some elements and a value in others is one member, as JSON text. The driver holds one row per path.
+    """
+    steps = parse_path(list_path)
+
+    def elements(node, i: int):
+        while i < len(steps) and steps[i] != "[]":
+            node = node.get(steps[i]) if isinstance(node, dict) else None
+            i += 1
+        if i == len(steps):
+            yield node
+        else:
+            for item in node if isinstance(node, list) else [node]:
+                yield from elements(item, i + 1)
+
+    def members(node, prefix: str, seen: set):
+        for name, value in node.items() if isinstance(node, dict) else ():
+            if isinstance(value, dict) and value:
+                members(value, f"{prefix}{name}.", seen)
+            elif value is not None:
+                seen.add(as_text(prefix + name))
+
+    def run(batches):
+        seen: set[str] = set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                for element in elements(load_json(text), 0):
+                    members(element, "", seen)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], names=["path"])
+
+    found = {r.path for r in df.select(column).mapInArrow(run, "path string").distinct().collect()}
+    return sorted(p for p in found if not any(p.startswith(q + ".") for q in found))
+
+
 def nested_children(wire: DataFrame, frames: DataFrame, journal: DataFrame) -> DataFrame:
     """(tbl, parent_id, frame_pos, child_pos, ref): every frame and provenance link of the three tables with its parent and place."""
     w = children(wire.where("payload IS NOT NULL"), "msg_id", "payload", {"result.frames[].id": (1, None), "result.frames[].provenance[].uri": (1, 2)}, True)

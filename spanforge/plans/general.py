@@ -39,6 +39,33 @@ def p3_wire_links(spark, sf_dir):
     return flat.withColumnsRenamed({"pos1": "frame_pos", "pos2": "child_pos"}).dropDuplicates()
 
 
+def p3_wire_frame_members(spark, sf_dir):
+    """As ``p3_wire_frames``, with every member that the frames have."""
+    wire = table(spark, sf_dir, "wire_messages")
+    flat = shred.json_elements(wire, "msg_id", "payload", "result.frames[]", shred.element_members(wire, "payload", "result.frames[]"))
+    return flat.withColumnRenamed("pos1", "frame_pos").dropDuplicates()
+
+
+def p3_wire_link_members(spark, sf_dir):
+    """As ``p3_wire_links``, with every member that the links have."""
+    wire = table(spark, sf_dir, "wire_messages")
+    links = "result.frames[].provenance[]"
+    flat = shred.json_elements(wire, "msg_id", "payload", links, shred.element_members(wire, "payload", links))
+    return flat.withColumnsRenamed({"pos1": "frame_pos", "pos2": "child_pos"}).dropDuplicates()
+
+
+def p3_frame_links(spark, sf_dir):
+    """The provenance links of the frames, with all members and their places."""
+    frames = table(spark, sf_dir, "frames").dropDuplicates(["frame_no"])
+    return frames.select("frame_no", F.posexplode("provenance").alias("pos", "p")).select("frame_no", F.col("pos").cast("long").alias("child_pos"), "p.*")
+
+
+def p3_journal_frames(spark, sf_dir):
+    """The frames of every delivery, with all members and their places."""
+    flat = table(spark, sf_dir, "journal").select("delivery_id", F.posexplode("frames").alias("pos", "e"))
+    return flat.select("delivery_id", F.col("pos").cast("long").alias("frame_pos"), "e.frame.*", "e.*").drop("frame")
+
+
 def p5_found(spark, sf_dir):
     return exactly_once.journal_surplus(table(spark, sf_dir, "journal")).where("surplus").select(F.col("row").alias("delivery_id"))
 
@@ -62,6 +89,7 @@ _NTH_COPY = f"""row_number() OVER (PARTITION BY {_IDENTIFIED}, session, effect_i
 ORDER BY received_at, delivery_id)"""
 
 QUERIES = {"p2_found": p2_found, "p2_lines": p2_lines, "p2_failed_casts": p2_failed_casts, "p3_found": p3_found, "p3_wire_frames": p3_wire_frames, "p3_wire_links": p3_wire_links, "p5_found": p5_found, "p5_once": p5_once}
+QUERIES |= {f.__name__: f for f in (p3_wire_frame_members, p3_wire_link_members, p3_frame_links, p3_journal_frames)}
 
 SQL = {
     "p3_found": f"""WITH {_ENVELOPES}, {_FRAMES}, {_LINKS},
@@ -77,6 +105,10 @@ UNION ALL SELECT 'journal', delivery_id, frame_pos, -1, frame_id FROM jf) WHERE
 SELECT msg_id, frame_pos, fr ->> '$.id' AS id, fr ->> '$.kind' AS kind, fr ->> '$.title' AS title, fr ->> '$.uri' AS uri, fr ->> '$.token_cost' AS token_cost FROM f""",
     "p3_wire_links": f"""WITH {_ENVELOPES}, {_FRAMES}, {_LINKS}
 SELECT msg_id, frame_pos, child_pos, link ->> '$.type' AS type, link ->> '$.uri' AS uri, link ->> '$.range' AS "range", link ->> '$.digest' AS digest, link ->> '$.method' AS method, link ->> '$.by' AS "by" FROM p""",
+    "p3_frame_links": """WITH f AS (SELECT DISTINCT frame_no, provenance FROM frames), p AS (SELECT frame_no, i - 1 AS child_pos, provenance[i] AS p FROM f, LATERAL (SELECT unnest(range(1, len(provenance) + 1)) AS i))
+SELECT frame_no, child_pos, p.type AS type, p.uri AS uri, p."range" AS "range", p.digest AS digest, p.method AS method, p."by" AS "by" FROM p""",
+    "p3_journal_frames": """WITH j AS (SELECT delivery_id, i - 1 AS frame_pos, frames[i] AS e FROM journal, LATERAL (SELECT unnest(range(1, len(frames) + 1)) AS i))
+SELECT delivery_id, frame_pos, e.frame.provider_id AS provider_id, e.frame.frame_id AS frame_id, e.frame.content_digest AS content_digest, e.representation AS representation, e.token_cost AS token_cost, e.citation_label AS citation_label FROM j""",
     "p5_found": f"SELECT delivery_id FROM (SELECT delivery_id, {_NTH_COPY} AS n FROM journal) WHERE n > 1",
     "p5_once": f"""SELECT delivery_id, received_at, session, seq, effect_id, last_seq_seen, event FROM
 (SELECT delivery_id, received_at, session, seq, effect_id, last_seq_seen, lower(trim(event)) AS event, {_NTH_COPY} AS n FROM journal) WHERE n = 1""",

@@ -9,7 +9,7 @@ from oracle import same
 
 from spanforge.llm import subjects
 from spanforge.operators import drift
-from spanforge.plans import sources
+from spanforge.plans import general, sources
 
 LINES = "line_id long, stream string, file_name string, file_no long, line_no long, payload string"
 
@@ -91,3 +91,15 @@ def test_texts_of_unknown_language_count_in_the_language_they_read_like(spark):
     got = subjects.backgrounds(spark.createDataFrame(known + unknown, "lang string, text string"), [])
     assert set(got) == {"en", "fr"} and got["fr"]["du", "voisin"] == 2 and got["en"]["the", "neighbour"] == 2 and got["en"]["the", "tribunal"] == 0
     assert got["en"]["^", "the"] == 5 and got["fr"]["le", "tribunal"] == 5
+
+
+def test_flat_tables_have_every_member(spark, tmp_path):
+    frames = [{"id": "f0", "score": 0.5, "content_ref": {"uri": "u"}, "relations": [{"rel": "r"}], "provenance": {"uri": "v", "note": "n"}}, None, {"id": 7, "extra": True, "provenance": [None, {"digest": "d"}]}]
+    payload = json.dumps({"result": {"frames": frames}})
+    spark.createDataFrame([(1, payload), (1, payload), (2, json.dumps(payload)), (3, "{cut"), (4, None)], "msg_id long, payload string").write.parquet(f"{tmp_path}/wire_messages.parquet")
+    got = general.p3_wire_frame_members(spark, str(tmp_path)).orderBy("msg_id", "frame_pos").collect()
+    assert [(r.msg_id, r.frame_pos, r.id, r.score, r["content_ref.uri"], r.relations, r.extra) for r in got] == [
+        (m, *x) for m in (1, 2) for x in ((0, "f0", "0.5", "u", '[{"rel":"r"}]', None), (1, None, None, None, None, None), (2, "7", None, None, None, "true"))
+    ]
+    links = general.p3_wire_link_members(spark, str(tmp_path)).where("msg_id = 2 AND coalesce(uri, note, digest) IS NOT NULL").orderBy("frame_pos", "child_pos").collect()
+    assert [(r.frame_pos, r.child_pos, r.uri, r.note, r.digest) for r in links] == [(0, 0, "v", "n", None), (2, 1, None, None, "d")]
