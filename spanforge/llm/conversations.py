@@ -39,6 +39,8 @@ CODES = {"session_start": "s", "session_end": "e", "prompt_assembled": "p", "mod
 PACKED = "t long, e string, c string, q array<string>"
 PIECE = "session string, block long, seq long, received long, delivery_id long, packed string"
 LAST = (1 << 63) - 1
+#: milliseconds of 2249-12-01: no block waits for longer, so the flush row's watermark passes every deadline
+LAST_DEADLINE = 8_833_276_800_000
 
 
 def message_rows(journal: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
@@ -90,7 +92,7 @@ def buffer_block(width: int, timeout_ms: int):
             done = []
             for session, rows in touched.items():
                 latest = max((r for r, _, _ in rows.values() if r < LAST), default=0)
-                held[session] = (max(latest // 1000, now) + timeout_ms, rows)
+                held[session] = (min(max(latest // 1000, now) + timeout_ms, LAST_DEADLINE), rows)
                 seqs = sorted(rows)
                 if is_closed(seqs, end_mark in rows[seqs[-1]][2], block, width):
                     done.append(session)

@@ -1,5 +1,6 @@
 """What a review found missing, each on a small case that the code before did not pass."""
 
+import datetime
 import itertools
 import json
 
@@ -7,7 +8,7 @@ import pytest
 from conftest import SF
 from oracle import same
 
-from spanforge.llm import subjects
+from spanforge.llm import conversations, subjects
 from spanforge.operators import drift
 from spanforge.plans import general, sources
 
@@ -103,3 +104,11 @@ def test_flat_tables_have_every_member(spark, tmp_path):
     ]
     links = general.p3_wire_link_members(spark, str(tmp_path)).where("msg_id = 2 AND coalesce(uri, note, digest) IS NOT NULL").orderBy("frame_pos", "child_pos").collect()
     assert [(r.frame_pos, r.child_pos, r.uri, r.note, r.digest) for r in links] == [(0, 0, "v", "n", None), (2, 1, None, None, "d")]
+
+
+def test_open_conversations_of_the_far_future_time_out(spark, tmp_path):
+    days = [datetime.datetime(2026, 7, 1), datetime.datetime(2249, 12, 30), datetime.datetime(2260, 1, 1)]
+    rows = [(i, 0, day, f"s{i}", 1, None, "session_start", None, None) for i, day in enumerate(days)]
+    path = str(tmp_path / "journal.parquet")
+    spark.createDataFrame(rows, "delivery_id long, batch_no long, received_at timestamp, session string, seq long, turn long, event string, tool_calls array<string>, call_id string").write.parquet(path)
+    assert {r.session for r in conversations.replay(spark, path).collect()} >= {"s0", "s1", "s2"}
