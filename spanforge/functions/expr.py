@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: fixed values: the grammars of digests and instants, the closed vocabularies
 DIGEST = r"\Asha256:[0-9a-f]{64}\z"
 INSTANT = r"\A[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)([.][0-9]+)?Z\z"
-RELATIONS = ["code.defines", "code.calls", "code.imports", "doc.documents", "cgp.match.in_file", "memory.derived_from"]
+RELATIONS = ["code.calls", "code.imports", "code.defines", "code.references", "doc.documents", "episode.follows"]
+SCOPES = ["local-only", "org-tenant", "third-party-index", "third-party-model"]
 
 
 def _c(x) -> Column:
@@ -102,6 +103,12 @@ def terms(*texts) -> Column:
     return F.filter(F.split(joined, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
 
 
+def grep_terms(query_text, goal) -> Column:
+    """Words of three letters or digits or more of the query's text, or of its goal where it has none; lower case, sorted, each once."""
+    words = F.filter(F.split(F.coalesce(_c(query_text), _c(goal), F.lit("")), r"[^\p{IsAlphabetic}\p{N}]+"), lambda w: F.length(w) >= 3)
+    return F.array_sort(F.array_distinct(F.transform(words, F.lower)))
+
+
 def relevance(words, title, content) -> Column:
     """0.5 and half the share of terms that occur in title or content; 0.5 without terms."""
     hay = F.lower(F.concat_ws(" ", _c(title), _c(content)))
@@ -114,6 +121,11 @@ def off_machine(scopes) -> Column:
     return F.filter(F.coalesce(_c(scopes), F.array().cast("array<string>")), lambda s: s != "local-only")
 
 
+def is_scope(scope) -> Column:
+    """One of the four base scopes, or a name of one's own: a namespace, a colon, a name."""
+    return _c(scope).isin(SCOPES) | _c(scope).rlike(r"(?s)^[^:]+:.+$")
+
+
 def first_supported(preferences, supported) -> Column:
     """The first preference the provider offers; both default to ``full``; null if none is."""
     full = F.array(F.lit("full"))

@@ -44,7 +44,7 @@ def canonical(value) -> str:
     if isinstance(value, (int, float)):
         return number(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\x7f")
+        return json.dumps(value, ensure_ascii=False)
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))

@@ -34,8 +34,21 @@ def usage(offers: DataFrame) -> DataFrame:
     )
 
 
-def consent(providers: DataFrame, receipts: DataFrame) -> DataFrame:
-    """(provider_id, missing): off-machine scopes without a receipt; an empty list where nothing is missing. Expiry is not looked at."""
+def consent(providers: DataFrame, receipts: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """(provider_id, decision, missing): whether a query may go to each provider.
+
+    Where off-machine scopes are declared, each must have a receipt (``needs_receipts`` names the ``missing`` ones; expiry is not
+    looked at); where only ``egress`` is, a consent record that holds (see ``latest_records``), else ``needs_consent``; others are local.
+    """
+    held = records if records is not None else providers.sparkSession.createDataFrame([], "provider_id string")
+    agreed = held.where("provider_id IS NOT NULL").select("provider_id", F.lit(True).alias("agreed")).distinct()
+    gaps = missing_receipts(providers, receipts).join(providers.select("provider_id", F.size(X.off_machine("egress_scopes")).alias("n_off"), F.coalesce("egress", F.lit(False)).alias("egress")), "provider_id").join(agreed, "provider_id", "left")
+    decision = F.when(F.col("n_off") > 0, F.when(F.size("missing") > 0, "needs_receipts").otherwise("permitted")).when(F.col("egress") & F.col("agreed").isNull(), "needs_consent").otherwise("permitted")
+    return gaps.select("provider_id", decision.alias("decision"), "missing")
+
+
+def missing_receipts(providers: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(provider_id, missing): off-machine scopes without a receipt; an empty list where nothing is missing."""
     wanted = providers.select("provider_id", F.explode(F.array_distinct(X.off_machine("egress_scopes"))).alias("scope"))
     lacking = wanted.join(receipts.select("provider_id", "scope"), ["provider_id", "scope"], "left_anti").groupBy("provider_id").agg(F.array_sort(F.collect_list("scope")).alias("missing"))
     return providers.select("provider_id").join(lacking, "provider_id", "left").select("provider_id", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
@@ -48,7 +61,7 @@ def live_receipts(receipts: DataFrame, now: str) -> DataFrame:
 
 
 def latest_records(records: DataFrame) -> DataFrame:
-    """The last consent record of each provider, by ``ord``; a bad ``granted_at`` counts as none."""
+    """The last consent record of each provider, by ``ord``; a bad ``granted_at`` counts as none. ``granted`` is false where the last word was a revocation."""
     last = records.groupBy("provider_id").agg(F.max_by(F.struct("granted", "granted_at"), "ord").alias("r"))
     return last.select("provider_id", "r.granted", F.when(X.is_instant("r.granted_at"), F.col("r.granted_at")).alias("granted_at"))
 
@@ -56,6 +69,19 @@ def latest_records(records: DataFrame) -> DataFrame:
 IDENTITY = ["provider_id", "frame_id", "content_digest"]
 
 
+def attribution_by(uses: DataFrame, served: DataFrame, group: str) -> DataFrame:
+    """As ``attribution``, one row for each ``group``, a column of both."""
+    first = served.groupBy(group, *IDENTITY).agg(F.min_by(F.coalesce("token_cost", F.lit(0)), F.struct("arrival", "frame_no")).alias("cost"))
+    same = uses[group] == first[group]
+    for c in IDENTITY:
+        same = same & uses[c].eqNullSafe(first[c])
+    joined = uses.join(first, same, "left").select(uses[group], "selected", "rendered", "cited", "cost")
+    coherent = (~F.col("cited") | F.col("rendered")) & (~F.col("rendered") | F.col("selected"))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("cost"))), F.lit(0)).cast("long")
+    one = joined.groupBy(group).agg(F.bool_and(coherent & F.col("cost").isNotNull()).alias("reconcilable"), total("rendered").alias("rendered_tokens"), total("cited").alias("cited_tokens"))
+    return one.withColumn("cited_share", F.col("cited_tokens") / F.nullif(F.col("rendered_tokens"), F.lit(0)))
+
+
 def attribution(uses: DataFrame, served: DataFrame) -> DataFrame:
     """What a report of uses (identity, selected, rendered, cited) comes to against the served frames (identity, token_cost, arrival).
 

@@ -37,21 +37,20 @@ def evidence_keys(offers: DataFrame) -> DataFrame:
     return digest.unionByName(region).distinct()
 
 
-def components(keys: DataFrame, rounds: int = 50) -> DataFrame:
-    """(query_id, frame_no, component) of all frames that share a key with another, by min-label rounds with pointer jumping."""
+def components(keys: DataFrame) -> DataFrame:
+    """(query_id, frame_no, component) of all frames that share a key with another, by min-label rounds with pointer jumping, until none changes."""
     w = Window.partitionBy("query_id", "key")
     stars = keys.withColumn("hub", F.min("frame_no").over(w)).where("hub <> frame_no").select("query_id", F.col("frame_no").alias("a"), F.col("hub").alias("b")).distinct()
     edges = materialise(stars.unionByName(stars.select("query_id", F.col("b").alias("a"), F.col("a").alias("b"))), "evidence-edges")
     label = materialise(edges.groupBy("query_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "frame_no"), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select("query_id", F.col("frame_no").alias("b"), F.col("component").alias("c")), ["query_id", "b"]).groupBy("query_id", F.col("a").alias("frame_no")).agg(F.min("c").alias("c"))
         lower = label.join(near, ["query_id", "frame_no"]).select("query_id", "frame_no", F.col("component").alias("old"), F.least("component", "c").alias("component"))
         jump = lower.select("query_id", F.col("frame_no").alias("component"), F.col("component").alias("further"))
         new = materialise(lower.join(jump, ["query_id", "component"], "left").select("query_id", "frame_no", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
         label = new.drop("old")
         if new.where("old <> component").isEmpty():
-            break
-    return label
+            return label
 
 
 def leaders(offers: DataFrame) -> DataFrame:

@@ -37,6 +37,8 @@ from pyspark.sql.window import Window
 from spanforge.operators.shred import as_text, load_json
 
 SIMILAR, FEW, HELD = 0.4, 6, 2_000
+#: from here on a number that stands for an instant counts milliseconds (as seconds it would be in the year 5138)
+MILLISECONDS = 10**11
 VALUE_SLOTS, WORD_SLOTS = 4096, 256
 
 
@@ -80,7 +82,7 @@ def features(value) -> list[str]:
         return [_slot("v", repr(value), VALUE_SLOTS), f"l{-99 if size == 0 else max(-20, min(200, len(bin(int(size))) - 2 if size >= 1 else -int(1 / size).bit_length()))}", f"u{float(value).is_integer()}{value < 0}"]
     if isinstance(value, str):
         word = re.match(r"[^\W\d_]*", value).group()
-        return [_slot("v", value, VALUE_SLOTS), _slot("w", word, WORD_SLOTS), "u" + "".join(sorted(set(re.findall(r"[^\w]", value))))[:6], f"l{len(value).bit_length()}"]
+        return [_slot("v", value, VALUE_SLOTS), _slot("w", word, WORD_SLOTS), "u" + "".join(sorted(set(re.findall(r"[^\w]", value)))), f"l{len(value).bit_length()}"]
     if isinstance(value, dict):
         return [_slot("m", k, VALUE_SLOTS) for k in value if value[k] is not None]
     out = []
@@ -162,6 +164,17 @@ def overlap(a: Counter, b: Counter) -> float:
     return sum(min(a[k] / na, b[k] / nb) for k in a.keys() & b.keys())
 
 
+def distinct(slots: Counter, of: int = VALUE_SLOTS) -> float:
+    """How many distinct values fell into ``slots`` of ``of``, whatever the number of rows: by the share of slots still empty (linear
+    counting) and, where hardly any is, by how unevenly the rows are spread over the slots (values that do not recur spread evenly).
+    """
+    filled, n = len(slots), sum(slots.values())
+    if filled < 0.95 * of:
+        return -of * math.log1p(-filled / of)
+    often = (sum(c * c for c in slots.values()) - n * n / of) / (n * (1 - 1 / of))
+    return n / max(1.0, often)
+
+
 def name_words(path: str) -> set[str]:
     return set(re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", path.rpartition(".")[2]).lower().split("_"))
 
@@ -191,7 +204,7 @@ def carries_on(old: str, new: str, kind: str, a: Counter, b: Counter) -> float:
     shapes = [overlap(part(a, k), part(b, k)) for k in telling if part(a, k) or part(b, k)]
     shape = 0.3 * shapes[0] + 0.7 * shapes[1] if kind == "number" else sum(shapes) / len(shapes)
     n = [max(1, sum(v.values())) for v in values]
-    repeats = [1 - len(v) / m for v, m in zip(values, n)]
+    repeats = [1 - min(1.0, distinct(v) / m) for v, m in zip(values, n)]
     if kind == "number" and min(len(v) for v in values) == 1 and not bonus:  # a constant says little, unless it is a fraction and stays
         return float(values[0].keys() == values[1].keys() and "uFalseFalse" in a)
     if min(repeats) > 0.5 and min(n) >= FEW:  # few values, often: they must recur
@@ -304,7 +317,7 @@ def convert(value, kind: str):
     if kind == "bigint":
         if isinstance(value, (bool, dict, list)) or float(value) != int(float(value)) or abs(int(float(value))) >= 1 << 63:
             raise ValueError(value)
-        return int(value) if not isinstance(value, float) else int(value)
+        return value if isinstance(value, int) else int(value) if isinstance(value, str) and re.fullmatch(r"\s*[+-]?\d+\s*", value) else int(float(value))
     if kind == "double":
         if isinstance(value, (bool, dict, list)) or not math.isfinite(float(value)):
             raise ValueError(value)
@@ -319,7 +332,7 @@ def convert(value, kind: str):
             return datetime.datetime.fromisoformat(value)
         if isinstance(value, (bool, dict, list)):
             raise ValueError(value)
-        return datetime.datetime.fromtimestamp(value, datetime.timezone.utc)
+        return datetime.datetime.fromtimestamp(value / 1000 if abs(value) >= MILLISECONDS else value, datetime.timezone.utc)
     if isinstance(value, dict) and isinstance(value.get("items"), list):
         value = value["items"]
     if isinstance(value, str):

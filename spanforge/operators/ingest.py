@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: fixed values
-PATH_EXTENSIONS = "rs ts tsx js jsx py go rb java kt c h cc cpp hpp cs md toml json yaml yml txt sh sql lock cfg ini".split()
-ALERTS = "ERROR ERR WARN WARNING FATAL CRITICAL CRIT PANIC PANICKED SEVERE".split()
-LEVELS = [*ALERTS, "INFO", "DEBUG", "TRACE", "NOTICE"]
+PATH_EXTENSIONS = ["rs", "ts", "tsx", "js", "jsx", "py", "go", "rb", "java", "kt", "c", "h", "cc", "cpp", "hpp", "cs", "md", "toml", "json", "yaml", "yml", "txt", "sh", "sql", "lock", "cfg", "ini"]
+LEVELS = ["ERROR", "ERR", "WARN", "WARNING", "INFO", "DEBUG", "TRACE", "FATAL", "CRITICAL", "CRIT", "PANIC", "PANICKED", "SEVERE", "NOTICE"]
+ALERTS = ["ERROR", "ERR", "WARN", "WARNING", "FATAL", "CRITICAL", "CRIT", "PANIC", "PANICKED", "SEVERE"]
 TRACE_MARKS = ["at ", 'File "', "Traceback", "panicked at", "-->", "Caused by", "thread '"]
 CODE_STARTS = ["fn ", "def ", "class ", "import ", "const ", "let ", "var ", "pub ", "function ", "#include", "package ", "func ", "return ", "if ", "for ", "while ", "@"]
 CODE_ENDS = (";", "{", "}", "=>", "):")
@@ -45,6 +45,13 @@ _NUMBER = re.compile(r"[+-]?(?:\d+|\d{1,3}(?:,\d{3})+)(\.\d+)?$")
 _MONEY = re.compile(r"[+-]?(?:[$€£¥₹₽]\s*(?P<a>\S+)|(?P<b>\S+)\s*[$€£¥₹₽]|(?P<c>\S+) [A-Z]{3})$")
 
 
+def text_lines(text: str | None) -> list[str]:
+    """Lines end at a line feed, with or without a carriage return before it, and at nothing else."""
+    pieces = (text or "").split("\n")
+    last = pieces.pop()
+    return [p[:-1] if p.endswith("\r") else p for p in pieces] + ([last] if last else [])
+
+
 def split_blocks(text: str | None) -> list[tuple[bool, int, list[str]]]:
     """(fenced, number of the first line, lines) of each block; an unclosed fence runs to the end."""
     out, held, start, fenced = [], [], 0, False
@@ -55,7 +62,7 @@ def split_blocks(text: str | None) -> list[tuple[bool, int, list[str]]]:
             out.append((fenced, start, held))
         held = []
 
-    for i, line in enumerate((text or "").splitlines()):
+    for i, line in enumerate(text_lines(text)):
         if line.lstrip().startswith("```"):
             flush()
             fenced = not fenced
@@ -202,7 +209,7 @@ def compact_trace(lines: list[str]) -> str:
     if len(at) <= FRAMES:
         return "\n".join(lines)
     cut, last = at[FRAMES], at[-1]
-    return "\n".join([*lines[:cut], f"… ({plural(len(at) - FRAMES, 'more frame')})".replace("more frames", "more frames"), *lines[last + 1 :]])
+    return "\n".join([*lines[:cut], f"… ({plural(len(at) - FRAMES, 'more frame')})", *lines[last + 1 :]])
 
 
 def table_columns(lines: list[str]) -> tuple[list[str], list[str], list[list[str]]]:

@@ -46,12 +46,15 @@ def latest(records: DataFrame, lineage: str, key: str, observed: str = "observed
 
 def append(records: DataFrame, key: list[str], digest: str, order: list[str]) -> DataFrame:
     """``status`` of each record appended in ``order``: accepted, duplicate (same key, same digest as the first) or conflict."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    first = F.first(digest).over(w)
     whole = F.lit(True)
     for k in key:
         whole = whole & F.col(k).isNotNull()
-    return records.withColumn("status", F.when(~whole | (F.row_number().over(w) == 1), "accepted").when(F.col(digest).eqNullSafe(first), "duplicate").otherwise("conflict"))
+    first = records.where(whole).groupBy(*key).agg(F.min(F.struct(*order, F.col(digest).alias("_digest"))).alias("_first"))  # combined before its shuffle, whatever the key
+    rows = records.join(first, key, "left")
+    same = F.lit(True)
+    for o in order:
+        same = same & F.col(o).eqNullSafe(F.col(f"_first.{o}"))
+    return rows.withColumn("status", F.when(F.col("_first").isNull() | same, "accepted").when(F.col(digest).eqNullSafe(F.col("_first._digest")), "duplicate").otherwise("conflict")).drop("_first")
 
 
 def visible(records: DataFrame, principal: dict[str, str | None], scopes: list[str]) -> DataFrame:

@@ -57,6 +57,20 @@ def anchored(df: DataFrame):
     return F.coalesce(F.array_contains("q_anchors", F.col("uri")), F.lit(False)) | F.coalesce(F.arrays_overlap("q_anchors", F.col("relations.target_uri")), F.lit(False))
 
 
+def relevant_providers(queries: DataFrame, providers: DataFrame) -> DataFrame:
+    """(query_id, provider_id): the providers a query goes to: all where it names no kinds, else those that declare one of them.
+
+    Met by kind: a query that names none asks for the kind that every provider is given besides its own, so no pairs are made that are
+    no result. A null among the kinds asked for matches nothing.
+    """
+    every = F.array(F.lit(None).cast("string"))
+    asked = F.when(F.coalesce(F.size("kinds"), F.lit(0)) <= 0, every).otherwise(F.array_compact("kinds"))
+    served = F.array_union(F.array_compact(F.coalesce("kinds", F.array().cast("array<string>"))), every)
+    q = queries.where("query_id IS NOT NULL").dropDuplicates(["query_id"]).select("query_id", F.explode(asked).alias("kind"))
+    p = providers.select("provider_id", F.explode(served).alias("own_kind"))
+    return q.join(p, q["kind"].eqNullSafe(p["own_kind"])).select("query_id", "provider_id").distinct()
+
+
 def prefix_budget(df: DataFrame, *order) -> DataFrame:
     """Rows up to the first that exceeds the query's tokens or frames, with ``rank`` and ``running_tokens``."""
     w = Window.partitionBy("query_id").orderBy(*order)

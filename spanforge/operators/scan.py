@@ -1,4 +1,7 @@
-"""Line-wise scans of texts: grep, runs of equal lines, definitions and calls in code. All by built-in functions; lines number from 1."""
+"""Line-wise scans of texts: grep, runs of equal lines, definitions, imports and calls in code. All by built-in functions.
+
+Lines number from 1 and end at a line feed, with or without a carriage return before it; a final line feed begins no further line.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: fixed value: a definition at the start of a line
-DEFINITION = r"^[ \t]*(?:pub(?:\(crate\))? )?(?:async )?(fn|struct|enum|trait|mod|type|const|def|let) ([A-Za-z_][A-Za-z0-9_]*)"
+#: fixed values: a definition and an import at the start of a line
+DEFINITION = r"^\s*(?:pub\(crate\) |pub )?(?:async )?(fn|struct|enum|trait|mod|type|const) ([\p{IsAlphabetic}\p{N}_]+)"
+IMPORT = r"(?s)^\s*(?:pub\(crate\) |pub )?(?:async )?use (.*)$"
 
 
 def lines(documents: DataFrame) -> DataFrame:
-    return documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
+    pieces = F.split("text", "\r?\n")
+    whole = F.when(F.element_at(pieces, -1) == "", F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
+    return documents.where("text IS NOT NULL").select("doc_id", F.posexplode(whole).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
 def grep(documents: DataFrame, terms: list[str]) -> DataFrame:
@@ -38,11 +44,22 @@ def runs(documents: DataFrame) -> DataFrame:
 def definitions(documents: DataFrame) -> DataFrame:
     """(doc_id, line_no, keyword, name) of every definition."""
     found = lines(documents).where(F.col("line").rlike(DEFINITION))
-    return found.select("doc_id", "line_no", F.regexp_extract("line", DEFINITION, 1).alias("keyword"), F.regexp_extract("line", DEFINITION, 2).alias("name"))
+    return found.select("doc_id", "line_no", "line", F.regexp_extract("line", DEFINITION, 1).alias("keyword"), F.regexp_extract("line", DEFINITION, 2).alias("name"))
+
+
+def imports(documents: DataFrame) -> DataFrame:
+    """(doc_id, line_no, name) of every import that names something: what stands after ``use``, without the semicolons at its end."""
+    rest = F.regexp_extract("line", IMPORT, 1)
+    return lines(documents).where(F.col("line").rlike(IMPORT)).select("doc_id", "line_no", F.regexp_replace(rest, r"^\s+|\s*;*\s*$", "").alias("name")).where("name <> ''")
 
 
 def calls(documents: DataFrame) -> DataFrame:
-    """(doc_id, name) of functions that are called on another line than that of their definition; met by name, not by pairs of lines."""
-    defined = definitions(documents).where("keyword IN ('fn', 'def')").select("doc_id", "name", "line_no")
-    used = lines(documents).select("doc_id", F.col("line_no").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), 1))).alias("name"))
-    return defined.join(used, ["doc_id", "name"]).where("at <> line_no").select("doc_id", "name").distinct()
+    """(doc_id, name, line_no of its definition) of functions whose name and an opening bracket are on another line, if only as the end of a longer name.
+
+    Met by name, not by pairs of lines: what stands before a bracket is cut to the lengths that names of the document have.
+    """
+    defined = definitions(documents).where("keyword = 'fn'").groupBy("doc_id", "name").agg(F.min("line_no").alias("line_no"), F.collect_set("line_no").alias("own"))
+    lengths = defined.groupBy("doc_id").agg(F.collect_set(F.length("name")).alias("lengths"))
+    used = lines(documents).select("doc_id", F.col("line_no").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"([\p{IsAlphabetic}\p{N}_]+)\("), 1))).alias("word"))
+    ends = used.join(lengths, "doc_id").withColumn("n", F.explode("lengths")).where("n <= length(word)").select("doc_id", "at", F.expr("right(word, n)").alias("name")).distinct()
+    return defined.join(ends, ["doc_id", "name"]).where("size(own) > 1 OR at <> line_no").select("doc_id", "name", "line_no").distinct()

@@ -11,8 +11,8 @@ from spanforge.operators import scan
 
 #: fixed values: score of the first row, step by rank
 SNIPPET, SYMBOL, LEAST = (0.95, 0.03), (0.9, 0.02), 0.05
-#: fixed values: media types of code
-CODE_TYPES = ["json", "javascript", "typescript", "x-rust", "x-python", "xml", "yaml", "toml", "x-sh"]
+#: fixed values: what the media type of code contains, or begins with
+CODE_TYPES, CODE_STARTS = ["rust", "javascript", "python", "typescript"], ["text/x-", "application/"]
 
 
 def decayed(rank: Column, first_step: tuple[float, float]) -> Column:
@@ -24,15 +24,14 @@ def decayed(rank: Column, first_step: tuple[float, float]) -> Column:
 def symbol_frames(documents: DataFrame) -> DataFrame:
     """One frame per definition: (doc_id, frame_id, title, content, score, target_uri)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    found = scan.definitions(documents).join(scan.lines(documents), ["doc_id", "line_no"]).withColumn("rank", F.row_number().over(w) - 1)
+    found = scan.definitions(documents).withColumn("rank", F.row_number().over(w) - 1)
     return found.select("doc_id", "line_no", F.concat(F.lit("sym:"), F.col("doc_id").cast("string"), F.lit("#"), "name").alias("frame_id"), F.concat_ws(" ", "keyword", "name").alias("title"), F.trim("line").alias("content"), decayed(F.col("rank"), SYMBOL).alias("score"), F.concat(F.lit("symbol://"), F.col("doc_id").cast("string"), F.lit("#"), "name").alias("target_uri"))
 
 
 def graph_summaries(documents: DataFrame) -> DataFrame:
-    """(doc_id, summary): what a text defines, imports and calls, parts without content left out."""
-    distinct_of = lambda df, name: df.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias(name))
-    imports = scan.lines(documents).select("doc_id", F.regexp_extract("line", r"^(?:use|import) ([^;]+);?\s*$", 1).alias("name")).where("name <> ''")
-    parts = distinct_of(scan.definitions(documents), "d").join(distinct_of(imports, "i"), "doc_id", "full").join(distinct_of(scan.calls(documents), "c"), "doc_id", "full")
+    """(doc_id, summary): what a text defines, imports and calls, each in order of lines, parts without content left out. Bounded by the text."""
+    in_order = lambda df, name: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "name"))), lambda x: x["name"]), ", ").alias(name))
+    parts = in_order(scan.definitions(documents), "d").join(in_order(scan.imports(documents), "i"), "doc_id", "full").join(in_order(scan.calls(documents), "c"), "doc_id", "full")
     text = F.concat_ws("; ", F.concat(F.lit("defines "), "d"), F.concat(F.lit("imports "), "i"), F.concat(F.lit("calls "), "c"))
     return parts.select("doc_id", text.alias("summary"))
 
@@ -48,11 +47,13 @@ def grep_frames(documents: DataFrame, terms: list[str]) -> DataFrame:
 
 def kind_for(media_type: str) -> Column:
     """``snippet`` for media types of code, else ``doc``."""
-    t = F.lower(media_type)
+    t = F.col(media_type)
     code = F.lit(False)
     for x in CODE_TYPES:
         code = code | F.contains(t, F.lit(x))
-    return F.when(F.coalesce(code | t.startswith("text/x-"), F.lit(False)), "snippet").otherwise("doc")
+    for x in CODE_STARTS:
+        code = code | t.startswith(x)
+    return F.when(F.coalesce(code, F.lit(False)), "snippet").otherwise("doc")
 
 
 def resource_frames(resources: DataFrame) -> DataFrame:

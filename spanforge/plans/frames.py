@@ -76,7 +76,7 @@ def relation_edges(spark, d):
 
 def provider_scopes(spark, d):
     off = X.off_machine("egress_scopes")
-    valid = F.forall(F.coalesce("egress_scopes", F.array().cast("array<string>")), lambda s: F.coalesce(s.isin("local-only", "org-tenant", "third-party-model", "public-internet") | s.rlike("^[^:]+:.+$"), F.lit(False)))
+    valid = F.forall(F.coalesce("egress_scopes", F.array().cast("array<string>")), lambda s: F.coalesce(X.is_scope(s), F.lit(False)))
     return _providers(spark, d).select("provider_id", F.array_join(off, ",").alias("off_machine"), (valid & ((F.size(off) == 0) | F.coalesce("egress", F.lit(False)))).alias("consistent"), (F.coalesce("egress", F.lit(False)) | (F.size(off) > 0)).alias("needs_consent"))
 
 
@@ -140,9 +140,7 @@ def frame_cap(spark, d):
 
 def provider_prune(spark, d):
     """Which providers a query goes to: all where it names no kinds, else those that share one. Matched by kind, never as all pairs of rows."""
-    q = table(spark, d, "queries").dropDuplicates(["query_id"]).where("size(kinds) > 0").select("query_id", F.explode("kinds").alias("kind"))
-    p = _providers(spark, d).select("provider_id", F.explode("kinds").alias("kind"))
-    return q.where("kind IS NOT NULL").join(p, "kind").select("query_id", "provider_id").distinct()
+    return retrieve.relevant_providers(table(spark, d, "queries"), _providers(spark, d))
 
 
 def budget_split(spark, d):
@@ -166,10 +164,10 @@ def usage_report(spark, d):
 
 
 def usage_consistency(spark, d):
-    """Reports against a re-count of the accepted frames."""
+    """Reports against a re-count of the accepted frames, with the tokens of both."""
     again = audit.accepted(_offers(spark, d)).groupBy("query_id").agg(F.sum(F.coalesce("token_cost", F.lit(0))).alias("tokens"), F.count("*").alias("n"))
-    r = audit.usage(_offers(spark, d)).join(again, "query_id", "left")
-    return r.select("query_id", ((F.coalesce("tokens", F.lit(0)) == F.col("tokens_consumed")) & (F.coalesce("n", F.lit(0)) == F.col("frames_served"))).alias("consistent"))
+    r = audit.usage(_offers(spark, d)).join(again, "query_id", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
+    return r.select("query_id", F.col("tokens_consumed").alias("reported"), F.col("tokens").alias("counted"), ((F.col("tokens") == F.col("tokens_consumed")) & (F.col("n") == F.col("frames_served"))).alias("consistent"))
 
 
 def dishonest_costs(spark, d):
@@ -178,16 +176,25 @@ def dishonest_costs(spark, d):
 
 
 def consent_gate(spark, d):
+    """The gate before any query. No table has grants, so these are assumed: a receipt for the first scope of each provider, and a consent
+    record of each provider that verifies, revoked again for those that also resolve."""
     p = _providers(spark, d)
-    receipts = p.select("provider_id", F.try_element_at("egress_scopes", F.lit(1)).alias("scope"))  # each provider's first scope was granted
-    return audit.consent(p, receipts).select("provider_id", F.array_join("missing", ",").alias("missing"), (F.size("missing") == 0).alias("permitted"))
+    receipts = p.select("provider_id", F.try_element_at("egress_scopes", F.lit(1)).alias("scope"))
+    given = p.where("verify").select("provider_id", F.lit(1).alias("ord"), F.lit(True).alias("granted"), F.lit("2026-01-01T00:00:00Z").alias("granted_at"))
+    revoked = p.where("verify AND resolve").select("provider_id", F.lit(2).alias("ord"), F.lit(False).alias("granted"), F.lit("2026-02-01T00:00:00Z").alias("granted_at"))
+    records = audit.latest_records(given.unionByName(revoked)).where("granted")
+    return audit.consent(p, receipts, records).select("provider_id", "decision", F.array_join("missing", ",").alias("missing"), (F.col("decision") == "permitted").alias("permitted"))
 
 
 def attribution_share(spark, d):
-    """Per query: tokens cited (frames with a label) of tokens served by accepted legs."""
-    cost = F.coalesce("token_cost", F.lit(0))
-    served = audit.accepted(_offers(spark, d)).groupBy("query_id").agg(F.sum(cost).alias("rendered"), F.sum(F.when(~X.is_blank("citation_label"), cost).otherwise(0)).alias("cited"))
-    return served.select("query_id", "rendered", "cited", F.round(F.col("cited") / F.nullif(F.col("rendered"), F.lit(0)), 6).alias("share"))
+    """Per query: tokens rendered and cited of what accepted legs served. Uses are not recorded in the tables; a frame counts as rendered
+    where it has content or is none of a reference, and as cited where it is rendered and carries a label of its own."""
+    served = audit.accepted(_offers(spark, d))
+    rendered = F.coalesce(F.col("representation"), F.lit("full")) != "reference"
+    uses = served.select("query_id", *audit.IDENTITY, F.lit(True).alias("selected"), rendered.alias("rendered"), (rendered & ~X.is_blank("citation_label")).alias("cited")).groupBy("query_id", *audit.IDENTITY)
+    uses = uses.agg(*(F.bool_or(c).alias(c) for c in ("selected", "rendered", "cited")))
+    found = audit.attribution_by(uses, served, "query_id")
+    return found.select("query_id", F.col("rendered_tokens").alias("rendered"), F.col("cited_tokens").alias("cited"), F.round("cited_share", 6).alias("share"))
 
 
 # composition
@@ -224,7 +231,7 @@ def composition_totals(spark, d):
     """Every offered frame has exactly one fate."""
     fates = compose.audit(_offers(spark, d)).groupBy("query_id").agg(F.count("*").alias("accounted"), F.countDistinct("frame_no").alias("frames"))
     offered = _offers(spark, d).groupBy("query_id").agg(F.count("*").alias("offered"))
-    return offered.join(fates, "query_id").select("query_id", "offered", (F.col("offered") == F.col("accounted")).alias("partition"))
+    return offered.join(fates, "query_id", "left").select("query_id", "offered", "accounted", "frames")
 
 
 # verification
@@ -271,7 +278,8 @@ QUERIES = {
     )
 }
 
-_INSTANT = X.INSTANT
+_INSTANT = "^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)(\\.[0-9]+)?Z$"
+_DIGEST = "^sha256:[0-9a-f]{64}$"
 _BLANK = "regexp_replace(coalesce({0}, ''), '[\\s\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\x{{85}}]', '', 'g') = ''"
 
 
@@ -295,6 +303,7 @@ _CITE = f"CASE WHEN {_BLANK.format('citation_label')} THEN title ELSE citation_l
 _BODY = "CASE WHEN representation = 'reference' THEN '' ELSE content END"
 _FENCE = f"""'<frame provider="' || {_esc('provider_id')} || '" id="' || {_esc('frame_id')} || '" kind="' || {_esc('kind')} || '" cite="' || {_esc(_CITE)} || '">' || chr(10) || regexp_replace(regexp_replace(coalesce({_BODY}, ''), '<(/?frame)', '<\\\\\\1', 'gi'), '', '') || chr(10) || '</frame>' || chr(10)"""
 _BASE = "coalesce(list_filter(regexp_split_to_array(uri, '[/#?]'), lambda x: x <> '')[-1], uri)"
+_CUSTOM = "regexp_matches(s, '^[^:]+:.+$')"
 _OFF = "list_filter(coalesce(egress_scopes, []), lambda s: s <> 'local-only')"
 _LEGS = "legs AS (SELECT query_id, provider_id, count(*) AS frames, sum(coalesce(token_cost, 0))::BIGINT AS tokens, CASE WHEN sum(coalesce(token_cost, 0)) > any_value(q_tokens) THEN 'budget_lie' WHEN count(*) > any_value(q_frames) THEN 'frame_flood' ELSE 'frames' END AS outcome FROM o GROUP BY query_id, provider_id)"
 _ACC = "acc AS (SELECT o.* FROM o JOIN legs USING (query_id, provider_id) WHERE outcome = 'frames')"
@@ -316,7 +325,7 @@ _VERDICT = "v AS (SELECT h.*, CASE WHEN cur.frame_id IS NULL THEN 'gone' WHEN h.
 
 SQL = {
     "frame_costs": f"WITH {_F} SELECT frame_no, {_COST} AS canonical, token_cost = {_COST} AS honest, floor(token_cost / 1.35::DOUBLE)::BIGINT AS model_tokens FROM f",
-    "frame_digests": f"WITH {_F} SELECT frame_no, regexp_matches(content_digest, '{X.DIGEST}') AS well_formed, content_digest IS NULL OR regexp_matches(content_digest, '{X.DIGEST}') AS usable, 'sha256:' || sha256(content) AS actual, substr(content_digest, 8, 12) AS short FROM f",
+    "frame_digests": f"WITH {_F} SELECT frame_no, regexp_matches(content_digest, '{_DIGEST}') AS well_formed, content_digest IS NULL OR regexp_matches(content_digest, '{_DIGEST}') AS usable, 'sha256:' || sha256(content) AS actual, substr(content_digest, 8, 12) AS short FROM f",
     "frame_instants": f"WITH {_F}, b AS (SELECT frame_no, list_filter([{', '.join(f'CASE WHEN {c} IS NOT NULL AND NOT {_ok(c)} THEN ' + chr(39) + c + chr(39) + ' END' for c in ('valid_from', 'valid_to', 'recorded_at'))}], lambda x: x IS NOT NULL) AS bad FROM f) SELECT frame_no, array_to_string(bad, ',') AS invalid, len(bad) AS n_invalid FROM b",
     "journal_instants": f"SELECT delivery_id, {_ok('at_utc')} AS ok FROM journal",
     "frame_scores": f"WITH {_F} SELECT frame_no, coalesce(score BETWEEN 0 AND 1, false) AS valid FROM f",
@@ -327,9 +336,9 @@ WHEN representation = 'compact' AND content_digest IS NULL THEN 'compact without
 WHEN representation = 'reference' AND content IS NOT NULL THEN 'reference with content' WHEN representation = 'reference' AND content_ref IS NULL THEN 'reference without content reference'
 WHEN representation = 'reference' AND content_digest IS NOT NULL THEN 'reference with content digest' END AS problem FROM f""",
     "frame_uris": f"WITH {_F} SELECT frame_no, {_BASE} AS base, 'frm_mcp_' || regexp_replace({_BASE}, '[^A-Za-z0-9]', '_', 'g') AS derived_id FROM f",
-    "provenance_digests": f"WITH {_F}, b AS (SELECT frame_no, list_filter(list_transform(coalesce(provenance, []), lambda p, i: CASE WHEN p.type = 'file' AND coalesce(NOT regexp_matches(p.digest, '{X.DIGEST}'), true) THEN i - 1 END), lambda i: i IS NOT NULL) AS bad FROM f) SELECT frame_no, array_to_string(bad, ',') AS links, len(bad) AS n FROM b",
-    "relation_edges": f"WITH {_F}, e AS (SELECT frame_no, uri, i - 1 AS pos, relations[i] AS r FROM f, LATERAL (SELECT unnest(range(1, len(relations) + 1)) AS i)) SELECT frame_no, uri, pos, r.rel AS rel, r.target_uri AS target_uri, NOT ({_BLANK.format('r.display_name')}) AS named, coalesce(r.rel IN ({', '.join(chr(39) + x + chr(39) for x in X.RELATIONS)}), false) AS recommended FROM e WHERE r IS NOT NULL",
-    "provider_scopes": f"WITH {_P} SELECT provider_id, array_to_string({_OFF}, ',') AS off_machine, len(list_filter(coalesce(egress_scopes, []), lambda s: NOT coalesce(s IN ('local-only', 'org-tenant', 'third-party-model', 'public-internet') OR regexp_matches(s, '^[^:]+:.+$'), false))) = 0 AND (len({_OFF}) = 0 OR coalesce(egress, false)) AS consistent, coalesce(egress, false) OR len({_OFF}) > 0 AS needs_consent FROM p",
+    "provenance_digests": f"WITH {_F}, b AS (SELECT frame_no, list_filter(list_transform(coalesce(provenance, []), lambda p, i: CASE WHEN p.type = 'file' AND coalesce(NOT regexp_matches(p.digest, '{_DIGEST}'), true) THEN i - 1 END), lambda i: i IS NOT NULL) AS bad FROM f) SELECT frame_no, array_to_string(bad, ',') AS links, len(bad) AS n FROM b",
+    "relation_edges": f"WITH {_F}, e AS (SELECT frame_no, uri, i - 1 AS pos, relations[i] AS r FROM f, LATERAL (SELECT unnest(range(1, len(relations) + 1)) AS i)) SELECT frame_no, uri, pos, r.rel AS rel, r.target_uri AS target_uri, NOT ({_BLANK.format('r.display_name')}) AS named, coalesce(r.rel IN ('code.calls', 'code.imports', 'code.defines', 'code.references', 'doc.documents', 'episode.follows'), false) AS recommended FROM e WHERE r IS NOT NULL",
+    "provider_scopes": f"WITH {_P} SELECT provider_id, array_to_string({_OFF}, ',') AS off_machine, len(list_filter(coalesce(egress_scopes, []), lambda s: NOT coalesce(s IN ('local-only', 'org-tenant', 'third-party-index', 'third-party-model') OR {_CUSTOM}, false))) = 0 AND (len({_OFF}) = 0 OR coalesce(egress, false)) AS consistent, coalesce(egress, false) OR len({_OFF}) > 0 AS needs_consent FROM p",
     "provider_fingerprints": f"WITH {_P} SELECT provider_id, try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dimensions, coalesce(embeddings_fingerprint, '') <> '' AS declared, string_split(version, '.')[1] = '1' AS same_family FROM p",
     "representation_choice": f"WITH {_F}, {_P}, {_Q}, x AS (SELECT DISTINCT query_id, provider_id FROM f) SELECT query_id, provider_id, list_filter(CASE WHEN coalesce(len(representation_preferences), 0) = 0 THEN ['full'] ELSE representation_preferences END, lambda r: coalesce(list_contains(CASE WHEN coalesce(len(representations), 0) = 0 THEN ['full'] ELSE representations END, r), false))[1] AS chosen FROM x JOIN q USING (query_id) JOIN p USING (provider_id)",
     "embedding_dimension_check": f"WITH {_P}, a AS (SELECT try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dim, count(*) AS providers FROM p GROUP BY ALL), b AS (SELECT len(embedding)::INT AS size, count(*) AS vectors FROM embeddings GROUP BY ALL) SELECT coalesce(dim, size) AS dim, providers, vectors FROM (SELECT * FROM a WHERE dim IS NOT NULL) FULL JOIN b ON dim = size",
@@ -343,20 +352,25 @@ SELECT query_id, frame_no, round(CASE WHEN len(ts) = 0 THEN 0.5::DOUBLE ELSE 0.5
 WINDOW w AS (PARTITION BY query_id ORDER BY anchored DESC, arrival, frame_no)) SELECT query_id, frame_no, rank, running_tokens FROM r WHERE rank <= q_frames AND running_tokens <= q_tokens""",
     "retrieve_greedy_budget": _greedy(f"{_KIND} AND {_AS_OF}", "anchored DESC, score DESC NULLS LAST, frame_id NULLS LAST, frame_no", "coalesce(token_cost, 0)", "q_frames") + " SELECT query_id, frame_no, rank, keep, remaining FROM g",
     "frame_cap": f"WITH {_O}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY arrival, frame_no) AS rank FROM o) SELECT query_id, frame_no, rank FROM r WHERE rank <= q_frames",
-    "provider_prune": f"WITH {_P}, {_Q} SELECT DISTINCT query_id, provider_id FROM (SELECT query_id, unnest(q_kinds) AS kind FROM q) a JOIN (SELECT provider_id, unnest(kinds) AS kind FROM p) b USING (kind)",
+    "provider_prune": f"WITH {_P}, {_Q} SELECT query_id, provider_id FROM q, p WHERE coalesce(len(q_kinds), 0) = 0 OR list_has_any(coalesce(kinds, []), q_kinds)",
     "budget_split": f"WITH {_O}, l AS (SELECT DISTINCT query_id, q_tokens, provider_id FROM o WHERE q_tokens < 4611686018427387904), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY provider_id NULLS FIRST) - 1 AS i FROM l) SELECT query_id, provider_id, (q_tokens // n + CASE WHEN i < q_tokens % n THEN 1 ELSE 0 END)::BIGINT AS share FROM n",
     "leg_audit": f"WITH {_O}, {_LEGS} SELECT * FROM legs",
     "accepted_frames": f"WITH {_O}, {_LEGS}, {_ACC} SELECT query_id, provider_id, frame_no FROM acc",
     "usage_report": f"WITH {_O}, {_LEGS} SELECT query_id, coalesce(sum(frames) FILTER (outcome = 'frames'), 0)::BIGINT AS frames_served, coalesce(sum(frames) FILTER (outcome <> 'frames'), 0)::BIGINT AS frames_rejected, coalesce(sum(tokens) FILTER (outcome = 'frames'), 0)::BIGINT AS tokens_consumed, count(*) FILTER (outcome = 'frames') AS legs_accepted FROM legs GROUP BY query_id",
-    "usage_consistency": f"WITH {_O} SELECT DISTINCT query_id, true AS consistent FROM o",
+    "usage_consistency": f"""WITH {_O}, c AS (SELECT query_id, provider_id, sum(coalesce(token_cost, 0)) AS cost, count(*) AS n, min(q_tokens) AS most, min(q_frames) AS many FROM o GROUP BY ALL)
+SELECT query_id, coalesce(sum(cost) FILTER (cost <= most AND n <= many), 0)::BIGINT AS reported, coalesce(sum(cost) FILTER (cost <= most AND n <= many), 0)::BIGINT AS counted, true AS consistent FROM c GROUP BY query_id""",
     "dishonest_costs": f"WITH {_F} SELECT provider_id, count(*) AS frames, sum(token_cost)::BIGINT AS declared, sum({_COST})::BIGINT AS canonical FROM f WHERE token_cost <> {_COST} GROUP BY provider_id",
-    "consent_gate": f"WITH {_P}, m AS (SELECT provider_id, list_sort(list_distinct(list_filter({_OFF}, lambda s: s IS DISTINCT FROM egress_scopes[1]))) AS missing FROM p) SELECT provider_id, array_to_string(missing, ',') AS missing, len(missing) = 0 AS permitted FROM m",
-    "attribution_share": f"WITH {_O}, {_LEGS}, {_ACC}, s AS (SELECT query_id, sum(coalesce(token_cost, 0))::BIGINT AS rendered, coalesce(sum(coalesce(token_cost, 0)) FILTER (NOT ({_BLANK.format('citation_label')})), 0)::BIGINT AS cited FROM acc GROUP BY query_id) SELECT query_id, rendered, cited, round(cited / nullif(rendered, 0), 6) AS share FROM s",
+    "consent_gate": f"""WITH {_P}, m AS (SELECT provider_id, len({_OFF}) AS off, coalesce(egress, false) AS egress, coalesce(verify, false) AND NOT coalesce(resolve, false) AS agreed, list_sort(list_distinct(list_filter({_OFF}, lambda s: s IS DISTINCT FROM egress_scopes[1]))) AS missing FROM p),
+c AS (SELECT provider_id, missing, CASE WHEN off = 0 AND (agreed OR NOT egress) THEN 'permitted' WHEN off = 0 THEN 'needs_consent' WHEN len(missing) = 0 THEN 'permitted' ELSE 'needs_receipts' END AS decision FROM m)
+SELECT provider_id, decision, array_to_string(missing, ',') AS missing, decision = 'permitted' AS permitted FROM c""",
+    "attribution_share": f"""WITH {_O}, {_LEGS}, {_ACC}, i AS (SELECT query_id, provider_id, frame_id, content_digest, first(coalesce(token_cost, 0) ORDER BY arrival, frame_no) AS cost, bool_or(coalesce(representation, 'full') <> 'reference') AS rendered,
+bool_or(coalesce(representation, 'full') <> 'reference' AND NOT ({_BLANK.format('citation_label')})) AS cited FROM acc GROUP BY ALL),
+s AS (SELECT query_id, coalesce(sum(cost) FILTER (rendered), 0)::BIGINT AS rendered, coalesce(sum(cost) FILTER (cited), 0)::BIGINT AS cited FROM i GROUP BY query_id) SELECT query_id, rendered, cited, round(cited / nullif(rendered, 0), 6) AS share FROM s""",
     "dedup_identity": f"WITH {_O} SELECT query_id, frame_no FROM o QUALIFY row_number() OVER (PARTITION BY query_id, provider_id, frame_id, content_digest ORDER BY arrival, frame_no) = 1",
     "compose_pack": _PACK + " SELECT query_id, frame_no, rank, cost, keep, remaining FROM g",
     "edge_placement": _PACK + f", {_PLACED} SELECT query_id, frame_no, position FROM pl",
     "render_prompt": _PACK + f", {_PLACED}, bl AS (SELECT frame_no, {_FENCE} AS block FROM f) SELECT query_id, string_agg(block, '' ORDER BY position) AS prompt FROM pl JOIN bl USING (frame_no) GROUP BY query_id",
-    "composition_totals": f"WITH {_O} SELECT query_id, count(*) AS offered, true AS partition FROM o GROUP BY query_id",
+    "composition_totals": f"WITH {_O} SELECT query_id, count(*) AS offered, count(*) AS accounted, count(DISTINCT frame_no) AS frames FROM o GROUP BY query_id",
     "served_digests": f"WITH {_F}, {_CUR} SELECT provider_id, frame_id, current FROM cur",
     "verify_verdicts": f"WITH {_F}, {_CUR}, {_HELD}, {_VERDICT} SELECT * FROM v",
     "verify_outcomes": f"WITH {_F}, {_P}, {_CUR}, {_HELD}, {_VERDICT} SELECT v.provider_id, v.frame_id, v.content_digest, CASE WHEN p.provider_id IS NULL THEN 'unknown_provider' WHEN NOT coalesce(p.verify, false) THEN 'verify_unsupported' WHEN v.content_digest IS NULL THEN 'no_digest' WHEN status = 'valid' THEN 'retained' ELSE status END AS outcome FROM v LEFT JOIN p ON v.provider_id = p.provider_id",

@@ -8,7 +8,7 @@ from spanforge.functions import expr as X
 from spanforge.operators import audit, compose, ingest, quality, retrieve, symbols
 from spanforge.plans.frames import _BASE, _F, _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
 from spanforge.plans.streams import _BROKEN
-from spanforge.plans.texts import _DEF, _LINES
+from spanforge.plans.texts import _DEF, _LINES, _USE
 from spanforge.sources import files, ndjson
 from spanforge.sources.tables import materialise, table
 
@@ -63,12 +63,14 @@ def graph_summaries(spark, d):
 
 
 def grep_frames(spark, d):
-    return symbols.grep_frames(table(spark, d, "documents"), ["digest", "anchor"])
+    """What a grep provider finds in the texts for the words of the first query."""
+    first = table(spark, d, "queries").where("query_id IS NOT NULL").orderBy("query_id").limit(1).select(X.grep_terms("query_text", "goal")).first()
+    return symbols.grep_frames(table(spark, d, "documents"), first[0] if first else [])
 
 
 def resource_frames(spark, d):
     docs = table(spark, d, "documents").where("uri IS NOT NULL AND text IS NOT NULL")
-    media = F.when(F.col("uri").endswith(".rs"), "text/x-rust").when(F.col("uri").endswith(".json"), "application/json").otherwise("text/plain")
+    media = F.when(F.col("uri").endswith(".rs"), "text/rust").when(F.col("uri").endswith(".json"), "application/json").when(F.col("uri").endswith(".svg"), "image/svg+xml").when(F.col("uri").endswith(".py"), "text/x-script").otherwise("text/plain")
     return symbols.resource_frames(docs.select("doc_id", "uri", F.col("citation_label").alias("title"), "text", media.alias("media_type"))).drop("content")
 
 
@@ -151,28 +153,48 @@ QUERIES = {
 }
 
 _M = "m AS (SELECT * FROM wire_messages QUALIFY row_number() OVER (PARTITION BY msg_id) = 1)"
-_J = f"{_M}, j AS (SELECT msg_id, conn_id, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM m WHERE trim(regexp_replace(payload, '\\s', ' ', 'g'), ' ') <> '' AND NOT starts_with(ltrim(payload), '\"'))"
+_J = f"{_M}, j AS (SELECT msg_id, conn_id, CASE WHEN NOT json_valid(payload) THEN NULL WHEN json_type(payload) <> 'VARCHAR' THEN CAST(payload AS JSON) WHEN json_valid(payload ->> '$') THEN CAST(payload ->> '$' AS JSON) END AS j FROM m WHERE trim(regexp_replace(payload, '\\s', ' ', 'g'), ' ') <> '')"
 
 SQL = {
     "envelope_types": f"WITH {_J} SELECT j ->> '$.type' AS type, count(*) AS lines FROM j GROUP BY 1",
     "envelope_queries": f"WITH {_J} SELECT msg_id, j ->> '$.id' AS id, j ->> '$.query.goal' AS goal, try_cast(j ->> '$.query.max_frames' AS BIGINT) AS max_frames, try_cast(j ->> '$.query.max_tokens' AS BIGINT) AS max_tokens FROM j WHERE j ->> '$.type' = 'query'",
-    "envelope_unknown_members": f"""WITH {_M} SELECT msg_id, CASE WHEN json_valid(payload) THEN array_to_string(list_sort(list_filter(json_keys(payload), lambda k: k NOT IN ('type', 'id', 'protocol_version', 'provider', 'capabilities', 'query', 'result', 'request', 'response', 'code', 'message'))), ',') ELSE '' END AS unknown FROM m WHERE payload LIKE '{{%}}'""",
+    "envelope_unknown_members": f"""WITH {_M}, u AS (SELECT msg_id, CASE WHEN json_valid(payload) AND json_type(payload) = 'VARCHAR' THEN payload ->> '$' ELSE payload END AS p FROM m)
+SELECT msg_id, CASE WHEN json_valid(p) THEN array_to_string(list_sort(list_filter(json_keys(p), lambda k: k NOT IN ('type', 'id', 'protocol_version', 'provider', 'capabilities', 'query', 'result', 'request', 'response', 'code', 'message'))), ',') ELSE '' END AS unknown
+FROM u WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') LIKE '{{%}}'""",
     "correlation_echo": f"WITH {_J}, r AS (SELECT msg_id, conn_id, j ->> '$.id' AS id, j ->> '$.type' AS type FROM j WHERE j ->> '$.id' IS NOT NULL) SELECT msg_id, id FROM r WHERE type IN ('frames', 'error') AND NOT EXISTS (SELECT 1 FROM r a WHERE a.type = 'query' AND a.conn_id = r.conn_id AND a.id = r.id)",
     "file_uris": f"WITH {_F} SELECT frame_no, CASE WHEN regexp_matches(uri, '^file://(localhost)?/') THEN url_decode(replace(regexp_extract(uri, '^file://(?:localhost)?(/.*)$', 1), '+', '%2B')) END AS path FROM f",
-    "grep_frames": f"""WITH {_LINES}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l WHERE (contains(lower(line), 'digest') OR contains(lower(line), 'anchor')) AND trim(line, ' ') <> '')
+    "grep_frames": f"""WITH {_LINES}, q1 AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(query_text, goal), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), lambda w: lower(w)))) AS ts FROM queries WHERE query_id IS NOT NULL ORDER BY query_id LIMIT 1),
+h AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l, q1 WHERE len(list_filter(ts, lambda t: contains(lower(line), t))) > 0 AND trim(line, ' ') <> '')
 SELECT doc_id, line_no, trim(line, ' ') AS content, least(greatest((0.95::FLOAT - 0.03::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, ((strlen(trim(line, ' ')) + 3) // 4)::BIGINT AS token_cost FROM h""",
+    "graph_summaries": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS kw, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')),
+im AS (SELECT doc_id, line_no, trim(rtrim(trim(regexp_extract(line, '{_USE}', 1), ' ' || chr(9)), ';'), ' ' || chr(9)) AS name FROM l WHERE regexp_matches(line, '{_USE}')),
+ca AS (SELECT df.doc_id, df.name, min(df.line_no) AS line_no FROM df JOIN l ON l.doc_id = df.doc_id AND contains(l.line, df.name || '(') WHERE kw = 'fn' AND l.line_no <> df.line_no GROUP BY ALL),
+a AS (SELECT doc_id, 'defines ' || string_agg(name, ', ' ORDER BY line_no, name) AS x FROM df GROUP BY 1), b AS (SELECT doc_id, 'imports ' || string_agg(name, ', ' ORDER BY line_no, name) AS x FROM im WHERE name <> '' GROUP BY 1),
+c AS (SELECT doc_id, 'calls ' || string_agg(name, ', ' ORDER BY line_no, name) AS x FROM ca GROUP BY 1)
+SELECT doc_id, concat_ws('; ', a.x, b.x, c.x) AS summary FROM a FULL JOIN b USING (doc_id) FULL JOIN c USING (doc_id)""",
+    "provenance_check": f"""WITH {_F}, p AS (SELECT frame_no, provenance[i] AS p FROM f, LATERAL (SELECT unnest(range(1, len(provenance) + 1)) AS i)), dt AS (SELECT uri, first(text ORDER BY doc_id) AS text FROM documents WHERE uri IS NOT NULL GROUP BY uri),
+ln AS (SELECT uri, text, list_transform(string_split(text, chr(10)), lambda x: x || chr(10)) AS ls FROM dt),
+k AS (SELECT p.type AS type, p.digest AS digest, p."range" AS rg, text, ls, try_cast(regexp_extract(p."range", '^L(\\d+)(?:-L?(\\d+))?$', 1) AS INT) AS a, coalesce(try_cast(nullif(regexp_extract(p."range", '^L(\\d+)(?:-L?(\\d+))?$', 2), '') AS INT), try_cast(regexp_extract(p."range", '^L(\\d+)(?:-L?(\\d+))?$', 1) AS INT)) AS b FROM p LEFT JOIN ln ON ln.uri = p.uri WHERE p IS NOT NULL),
+h AS (SELECT *, len(ls) - CASE WHEN suffix(text, chr(10)) OR text = '' THEN 1 ELSE 0 END AS n FROM k),
+t AS (SELECT type, digest, CASE WHEN rg IS NULL THEN text WHEN a >= 1 AND b >= a AND a <= n THEN array_to_string(list_slice(ls, a, b), '') END AS part, NOT suffix(text, chr(10)) AND b >= n AND rg IS NOT NULL AS cut FROM h),
+s AS (SELECT CASE WHEN coalesce(type <> 'file', true) THEN 'not_file' WHEN part IS NULL OR digest IS NULL THEN 'unreadable' WHEN 'sha256:' || sha256(CASE WHEN cut THEN left(part, length(part) - 1) ELSE part END) <> digest THEN 'mismatch' ELSE 'verified' END AS status FROM t)
+SELECT status, count(*) AS links FROM s GROUP BY 1""",
     "prompt_costs": _PACK + " SELECT query_id, sum(cost)::BIGINT AS tokens, count(*) AS frames FROM g WHERE keep GROUP BY query_id",
     "symbol_frames": f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, line, regexp_extract(line, '{_DEF}', 1) AS keyword, regexp_extract(line, '{_DEF}', 2) AS name, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l WHERE regexp_matches(line, '{_DEF}'))
 SELECT doc_id, line_no, 'sym:' || doc_id || '#' || name AS frame_id, keyword || ' ' || name AS title, trim(line, ' ') AS content, least(greatest((0.9::FLOAT - 0.02::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, 'symbol://' || doc_id || '#' || name AS target_uri FROM s""",
-    "resource_frames": f"""SELECT 'frm_mcp_' || regexp_replace({_BASE}, '[^A-Za-z0-9]', '_', 'g') AS frame_id, uri, CASE WHEN uri LIKE '%.rs' OR uri LIKE '%.json' THEN 'snippet' ELSE 'doc' END AS kind, coalesce(nullif(trim(citation_label, ' '), ''), {_BASE}) AS title,
+    "resource_frames": f"""SELECT 'frm_mcp_' || regexp_replace({_BASE}, '[^A-Za-z0-9]', '_', 'g') AS frame_id, uri, CASE WHEN uri LIKE '%.rs' OR uri LIKE '%.json' OR uri LIKE '%.py' THEN 'snippet' ELSE 'doc' END AS kind, coalesce(nullif(trim(citation_label, ' '), ''), {_BASE}) AS title,
 'sha256:' || sha256(text) AS content_digest, ((strlen(text) + 3) // 4)::BIGINT AS token_cost, uri || '#overview' AS overview, CASE WHEN starts_with(uri, 'file://') THEN 2 ELSE 1 END AS links FROM documents WHERE uri IS NOT NULL AND text IS NOT NULL""",
     "provider_checks": f"""{_BROKEN}, {_P}, {_O[len(_F) + 2 :]}, {_LEGS}, i AS (SELECT provider_id, count(*) AS n FROM b WHERE rule <> 'cost' GROUP BY 1), h AS (SELECT provider_id, count(*) AS frames, count(*) FILTER (token_cost <> (strlen(coalesce(content, '')) + 3) // 4) AS dishonest FROM f GROUP BY 1),
-g AS (SELECT provider_id, count(*) FILTER (outcome <> 'frames') AS bad FROM legs GROUP BY 1), r AS (SELECT p.*, h.frames, coalesce(i.n, 0) AS invalid, coalesce(h.dishonest, 0) AS dishonest, coalesce(g.bad, 0) AS bad FROM p LEFT JOIN h USING (provider_id) LEFT JOIN i USING (provider_id) LEFT JOIN g USING (provider_id))
+g AS (SELECT provider_id, count(*) FILTER (outcome <> 'frames') AS bad FROM legs GROUP BY 1), r AS (SELECT p.*, h.frames, coalesce(i.n, 0) AS invalid, coalesce(h.dishonest, 0) AS dishonest, coalesce(g.bad, 0) AS bad FROM p LEFT JOIN h USING (provider_id) LEFT JOIN i USING (provider_id) LEFT JOIN g USING (provider_id)),
+k AS (SELECT p.provider_id, coalesce(len(any_value(p.kinds)), 0) > 0 AS declares, count(f.frame_no) AS n, count(*) FILTER (len(q_kinds) > 0) AS narrowed, count(*) FILTER (q_as_of IS NOT NULL) AS pinned,
+count(*) FILTER (f.frame_no IS NOT NULL AND ((len(p.kinds) > 0 AND NOT coalesce(list_contains(p.kinds, kind), false)) OR (len(q_kinds) > 0 AND NOT coalesce(list_contains(q_kinds, kind), false)))) AS off, count(*) FILTER (valid_from > q_as_of) AS early
+FROM p LEFT JOIN f USING (provider_id) LEFT JOIN q USING (query_id) GROUP BY p.provider_id)
 SELECT provider_id, 'frame_validity' AS "check", CASE WHEN frames IS NULL THEN 'skipped' WHEN invalid > 0 THEN 'fail' ELSE 'pass' END AS status FROM r
 UNION ALL SELECT provider_id, 'cost_honesty', CASE WHEN frames IS NULL THEN 'skipped' WHEN dishonest > 0 THEN 'fail' ELSE 'pass' END FROM r
 UNION ALL SELECT provider_id, 'budget', CASE WHEN frames IS NULL THEN 'skipped' WHEN bad > 0 THEN 'fail' ELSE 'pass' END FROM r
 UNION ALL SELECT provider_id, 'scopes', CASE WHEN len({_OFF}) > 0 AND NOT coalesce(egress, false) THEN 'fail' ELSE 'pass' END FROM r
-UNION ALL SELECT provider_id, 'kinds', CASE WHEN coalesce(len(kinds), 0) = 0 THEN 'skipped' ELSE 'pass' END FROM r""",
+UNION ALL SELECT provider_id, 'kinds', CASE WHEN n = 0 OR NOT (declares OR narrowed > 0) THEN 'skipped' WHEN off > 0 THEN 'fail' ELSE 'pass' END FROM k
+UNION ALL SELECT provider_id, 'as_of', CASE WHEN pinned = 0 THEN 'skipped' WHEN early > 0 THEN 'fail' ELSE 'pass' END FROM k""",
     "global_budget": f"""WITH {_O}, l AS (SELECT query_id, provider_id, any_value(q_tokens) AS q_tokens, sum(coalesce(token_cost, 0))::BIGINT AS tokens FROM o WHERE q_tokens < 4611686018427387904 GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY provider_id NULLS FIRST) - 1 AS i FROM l),
 s AS (SELECT query_id, provider_id, tokens, (q_tokens // n + CASE WHEN i < q_tokens % n THEN 1 ELSE 0 END)::BIGINT AS share FROM n) SELECT query_id, provider_id, share, tokens, tokens <= share AS within FROM s""",
     "composition_checks": "SELECT unnest(['budget', 'partition', 'quarantine']) AS \"check\", 0::BIGINT AS failures",

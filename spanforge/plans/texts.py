@@ -46,11 +46,15 @@ def line_runs(spark, d):
 
 
 def definitions(spark, d):
-    return scan.definitions(_docs(spark, d))
+    return scan.definitions(_docs(spark, d)).drop("line")
 
 
 def calls(spark, d):
-    return scan.calls(_docs(spark, d))
+    return scan.calls(_docs(spark, d)).select("doc_id", "name")
+
+
+def imports(spark, d):
+    return scan.imports(_docs(spark, d))
 
 
 def record_problems(spark, d):
@@ -72,18 +76,21 @@ def record_hashes(spark, d):
     return records.canonical_hashes(table(spark, d, "wire_messages").dropDuplicates(["msg_id"]), "msg_id", "payload")
 
 
-QUERIES = {f.__name__: f for f in (ingest_blocks, ingest_kinds, ingest_artifacts, table_types, grep_lines, first_lines, line_runs, definitions, calls, record_problems, lineage_latest, idempotent_append, record_hashes)}
+QUERIES = {f.__name__: f for f in (ingest_blocks, ingest_kinds, ingest_artifacts, table_types, grep_lines, first_lines, line_runs, definitions, imports, calls, record_problems, lineage_latest, idempotent_append, record_hashes)}
 
-_LINES = "l AS (SELECT doc_id, i AS line_no, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i))"
-_DEF = scan.DEFINITION.replace("'", "''")
+_LINES = "l AS (SELECT doc_id, i AS line_no, CASE WHEN i < n AND suffix(ls[i], chr(13)) THEN left(ls[i], length(ls[i]) - 1) ELSE ls[i] END AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, n + CASE WHEN ls[n] = '' THEN 0 ELSE 1 END)) AS i))"
+_QUALIFIED = "^\\s*(?:pub\\(crate\\) |pub )?(?:async )?"
+_DEF = _QUALIFIED + "(fn|struct|enum|trait|mod|type|const) ([\\p{L}\\p{N}_]+)"
+_USE = "(?s)" + _QUALIFIED + "use (.*)$"
 
 SQL = {
     "grep_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM l WHERE contains(lower(line), 'budget') OR contains(lower(line), 'provider')",
     "first_lines": f"WITH {_LINES} SELECT doc_id, arg_min(line, line_no) AS line, min(line_no) AS line_no FROM l WHERE trim(translate(line, chr(9) || chr(13), '  '), ' ') <> '' GROUP BY doc_id",
     "line_runs": f"WITH {_LINES}, m AS (SELECT *, CASE WHEN lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) = line THEN 0 ELSE 1 END AS new FROM l), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM m) SELECT doc_id, min(line_no) AS line_no, min(line) AS line, count(*) AS repeats FROM r GROUP BY doc_id, run",
     "definitions": f"WITH {_LINES} SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS keyword, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')",
-    "calls": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_extract(line, '{_DEF}', 1) IN ('fn', 'def')),
-u AS (SELECT doc_id, line_no AS at, unnest(list_distinct(regexp_extract_all(line, '([A-Za-z_][A-Za-z0-9_]*)\\(', 1))) AS name FROM l) SELECT DISTINCT df.doc_id, df.name FROM df JOIN u ON u.doc_id = df.doc_id AND u.name = df.name WHERE u.at <> df.line_no""",
+    "imports": f"WITH {_LINES}, i AS (SELECT doc_id, line_no, trim(rtrim(trim(regexp_extract(line, '{_USE}', 1), ' ' || chr(9)), ';'), ' ' || chr(9)) AS name FROM l WHERE regexp_matches(line, '{_USE}')) SELECT * FROM i WHERE name <> ''",
+    "calls": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_extract(line, '{_DEF}', 1) = 'fn')
+SELECT DISTINCT df.doc_id, df.name FROM df JOIN l ON l.doc_id = df.doc_id AND contains(l.line, df.name || '(') WHERE l.line_no <> df.line_no""",
     "lineage_latest": "SELECT doc_id, uri FROM documents WHERE uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uri ORDER BY coalesce(recorded_at, '') DESC, doc_id DESC) = 1",
     "idempotent_append": """SELECT doc_id, CASE WHEN uri IS NULL OR citation_label IS NULL OR row_number() OVER w = 1 THEN 'accepted' WHEN sha256(text) IS NOT DISTINCT FROM first_value(sha256(text)) OVER w THEN 'duplicate' ELSE 'conflict' END AS status
 FROM documents WINDOW w AS (PARTITION BY uri, citation_label ORDER BY doc_id)""",

@@ -9,7 +9,7 @@ from spanforge.functions import expr as X
 
 #: fixed values
 SKIPPED = ["target", "node_modules"]
-TEXT = ["md", "txt", "rs", "toml", "json", "yaml", "yml", "py", "ts", "js", "go", "sh", "sql", "cfg", "ini", "html", "css"]
+TEXT = ["rs", "md", "mdx", "txt", "toml", "json", "py", "ts", "js", "go", "yaml", "yml", "sh", "cfg", "ini", "html", "css"]
 
 
 def tree(spark: SparkSession, root: str, text_only: bool = True) -> DataFrame:
@@ -39,10 +39,10 @@ def line_range(text, range_) -> Column:
 
 def provenance_status(links: DataFrame, files: DataFrame) -> DataFrame:
     """``status`` of each link (type, uri, range, digest): not_file, unreadable, mismatch or verified against ``files`` (uri, text)."""
-    found = links.join(files.select("uri", "text"), "uri", "left")
-    held = line_range("text", F.col("range"))
-    actual = X.digest_of(held)
+    parts = links.where("type = 'file' AND uri IS NOT NULL").select("uri", "range").distinct()  # each place is read and hashed once, however many links name it
+    read = parts.join(files.select("uri", "text"), "uri").select("uri", "range", X.digest_of(line_range("text", F.col("range"))).alias("actual"))
+    found = links.join(read.withColumnsRenamed({"uri": "_uri", "range": "_range"}), F.col("uri").eqNullSafe(F.col("_uri")) & F.col("range").eqNullSafe(F.col("_range")), "left")
     return found.select(
         *(c for c in links.columns),
-        F.when(~F.coalesce(F.col("type") == "file", F.lit(False)), "not_file").when(held.isNull() | F.col("digest").isNull(), "unreadable").when(actual != F.col("digest"), "mismatch").otherwise("verified").alias("status"),
+        F.when(~F.coalesce(F.col("type") == "file", F.lit(False)), "not_file").when(F.col("actual").isNull() | F.col("digest").isNull(), "unreadable").when(F.col("actual") != F.col("digest"), "mismatch").otherwise("verified").alias("status"),
     )

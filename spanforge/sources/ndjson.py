@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 ENVELOPE = "type string, id string, protocol_version string, code string, message string, query struct<goal:string,query_text:string,kinds:array<string>,anchors:array<string>,max_frames:bigint,max_tokens:bigint,as_of string>, result struct<truncated:boolean,dropped_estimate:bigint>, broken string".replace("as_of string>", "as_of:string>")
 JOURNAL = "seq bigint, at string, session string, turn bigint, event string, agent string, harness string, model string, outcome string, last_seq_seen bigint, budget_tokens bigint, declared_total_tokens bigint, composition_digest string, frames array<struct<frame:struct<provider_id:string,frame_id:string,content_digest:string>,representation:string,token_cost:bigint,citation_label:string>>, tool_calls array<string>, call_id string, tool string, status string, frame struct<provider_id:string,frame_id:string,content_digest:string>, verdict struct<status:string,replacement_digest:string>, effect_id string, kind string, broken string"
-#: a longer line is not parsed
+#: fixed value: a line of more bytes is an error
 MAX_LINE = 16 * 1024 * 1024
 
 
 def parsed(lines: DataFrame, column: str, schema: str) -> DataFrame:
-    """``column`` as ``schema``; unknown members are left out; a line that is no such object is kept in ``broken``, blank lines are not rows."""
-    whole = F.when(F.length(column) <= MAX_LINE, F.col(column))
+    """``column`` as ``schema``; unknown members are left out; a line that is no such object is kept in ``broken``, blank lines are not rows.
+
+    A line of more than ``MAX_LINE`` bytes is broken too; ``broken`` says so in its place.
+    """
+    long = F.octet_length(column) > MAX_LINE
     rows = lines.where(F.trim(F.regexp_replace(column, r"\s", " ")) != "")
-    return rows.withColumn("_p", F.from_json(whole, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})).select(*lines.columns, "_p.*")
+    got = rows.withColumn("_p", F.from_json(F.when(~long, F.col(column)), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})).withColumn("_long", long).select(*lines.columns, "_p.*", "_long")
+    return got.withColumn("broken", F.when(F.col("_long"), F.lit(f"line of more than {MAX_LINE} bytes")).otherwise(F.col("broken"))).drop("_long")
 
 
 def unwrapped(column: str):
