@@ -3,12 +3,18 @@
 Method: non-negative least squares over the histogram of lengths. For each group, shallow combinations of lengths (up to
 ``DEPTH``) that fill a window below the capacity are enumerated; non-negative least squares finds how often to repeat each so that the
 histogram is used up; the counts are rounded and applied where enough items are left; what remains is packed greedily, largest
-first, into the fullest container that has room. All of it works on (length, count), never on single items: a plan says "the
-items 0 to 5,999 of length 300 go to containers 17 to 2,016, three each".
+first, into the fullest container that has room. A group of more than ``STRATUM`` distinct lengths is solved in strata, every k-th
+length from the longest in one, so that each length takes part and the work grows with their number. The solution is rounded to
+the nearest and down, and the better plan is kept; packing by the greedy step alone is the measure, and where it needs fewer
+containers (many lengths that occur once or twice leave little to repeat) its plan is the one that holds: no group does worse.
+All of it works on (length, count), never on single items: a plan says "the items 0 to 5,999 of length 300 go to containers 17 to 2,016, three each".
 
-Scale: an item finds its container by its rank among the items of its group and length. Ranks are taken in two steps over hashed
-sub-blocks, so neither a group nor a length of a third of all rows meets one task; a group's plan is bounded by its distinct
-lengths, which are fewer than its capacity.
+Worth: of items of one length, those of more worth (in steps of 1/32 of a worth from 0 to 1; unknown worth counts 0) go to the containers
+of lower number. Which lengths share a container is decided by length alone, as any other choice leaves more room over.
+
+Scale: an item finds its container by its rank among the items of its group and length. Ranks are taken in two steps over
+sub-blocks by worth and hash, so neither a group nor a length of a third of all rows meets one task; a group's plan is bounded by its
+distinct lengths, which are fewer than its capacity. Plans are made one group at a time, spread over all cores.
 
 An item larger than the capacity is split: full containers of its own, and a rest that is packed like an item. Lengths are never
 split otherwise.
@@ -30,15 +36,15 @@ from pyspark.sql.window import Window
 
 from spanforge.sources.tables import materialise
 
-DEPTH, WINDOW, BUCKETS, PER_SIZE, TRIES = 4, 0.03, 96, 6, 400
+DEPTH, WINDOW, STRATUM, PER_SIZE, TRIES = 4, 0.03, 96, 6, 400
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Least squares with all unknowns at least 0, by active sets (Lawson and Hanson)."""
     n = a.shape[1]
     x, passive = np.zeros(n), np.zeros(n, bool)
     tol = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
-    for _ in range(rounds):
+    for _ in range(3 * n):  # the bound of the method; it ends when no gradient is left
         w = a.T @ (b - a @ x)
         w[passive] = -np.inf
         j = int(np.argmax(w))
@@ -66,12 +72,9 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 300) -> np.ndarray:
 def combinations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, ...]]:
     """Multisets of at most DEPTH sizes (descending) whose sum lies in the window below the capacity, tightest first.
 
-    Every size is the largest of at most PER_SIZE of them; items that none of them uses are left to the greedy step.
+    Every size is the largest of at most PER_SIZE of them, the tightest of those met in TRIES steps.
     """
     low = capacity - max(1, int(capacity * WINDOW))
-    if len(sizes) > BUCKETS:  # a spread of the sizes; all the others are left to the greedy step
-        keep = np.unique(np.linspace(0, len(sizes) - 1, BUCKETS).round().astype(int))
-        sizes, counts = [sizes[i] for i in keep], [counts[i] for i in keep]
     up = sizes[::-1]
     have = dict(zip(sizes, counts))
     found: list[tuple[int, ...]] = []
@@ -111,32 +114,46 @@ def combinations(sizes: list[int], counts: list[int], capacity: int) -> list[tup
     return sorted(out, key=lambda c: (-sum(c), c))
 
 
-def plan(sizes: list[int], counts: list[int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
-    """Segments (size, first container, containers, items in each), in the order in which items of a size are used, and the number of containers."""
-    left = dict(sorted(zip(sizes, counts), reverse=True))
+def repeats(left: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], float]]:
+    """Combinations of sizes with the number of times that least squares would repeat each, most often first."""
+    order = [s for s in left if 0 < s <= capacity]
+    out = []
+    strata = -(-len(order) // STRATUM)
+    for k in range(strata):
+        sizes = order[k::strata]
+        patterns = combinations(sizes, [left[s] for s in sizes], capacity)
+        if not patterns:
+            continue
+        row = {s: i for i, s in enumerate(sizes)}
+        a = np.zeros((len(sizes), len(patterns)))
+        for j, p in enumerate(patterns):
+            for s in p:
+                a[row[s], j] += 1
+        weight = np.sqrt(np.array(sizes, float))[:, None]  # a long item left over costs more than a short one
+        x = nnls(a * weight, np.array([left[s] for s in sizes], float) * weight[:, 0])
+        out += [(p, float(x[j])) for j, p in enumerate(patterns) if x[j] > 0]
+    return sorted(out, key=lambda r: (-r[1], tuple(-s for s in r[0])))
+
+
+def apply(patterns: list[tuple[tuple[int, ...], float]], left: dict[int, int], up: float) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Containers filled by the patterns as often as said (a part of ``1 - up`` and more rounded up) and as ``left``, which is used up, allows."""
     segments: list[tuple[int, int, int, int]] = []
     made = 0
-    if sum(s * c for s, c in left.items()) > capacity:
-        order = [s for s in left if s > 0]
-        patterns = combinations(order, [left[s] for s in order], capacity)
-        if patterns:
-            row = {s: i for i, s in enumerate(order)}
-            a = np.zeros((len(order), len(patterns)))
-            for j, p in enumerate(patterns):
-                for s in p:
-                    a[row[s], j] += 1
-            weight = np.sqrt(np.array(order, float))[:, None]  # a long item left over costs more than a short one
-            x = nnls(a * weight, np.array([left[s] for s in order], float) * weight[:, 0])
-            for j in np.argsort(-x, kind="stable"):
-                need = {s: patterns[j].count(s) for s in patterns[j]}
-                times = min(int(x[j] + 0.5), *(left[s] // k for s, k in need.items()))
-                if times > 0:
-                    for s, k in need.items():
-                        segments.append((s, made, times, k))
-                        left[s] -= k * times
-                    made += times
-    # what is left, largest first: (room, first container, containers) of all containers with room
-    room: list[tuple[int, int, int]] = []
+    for pattern, x in patterns:
+        need = {s: pattern.count(s) for s in pattern}
+        times = min(int(x + up), *(left[s] // k for s, k in need.items()))
+        if times > 0:
+            for s, k in need.items():
+                segments.append((s, made, times, k))
+                left[s] -= k * times
+            made += times
+    return segments, made
+
+
+def fill_up(segments: list[tuple[int, int, int, int]], made: int, left: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """What is left, largest first, each into the fullest container with room for it."""
+    segments = list(segments)
+    room: list[tuple[int, int, int]] = []  # (room, first container, containers) of all containers with room
     used: dict[int, int] = {}
     spans: dict[int, int] = {}
     for s, p0, times, k in segments:
@@ -177,13 +194,28 @@ def plan(sizes: list[int], counts: list[int], capacity: int) -> tuple[list[tuple
     return segments, made
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, weight: Column, name: str, blocks: int = 32) -> DataFrame:
-    """``df`` with ``name``: the sum of ``weight`` over the rows of the same keys that come before, in some fixed order.
+def plan(sizes: list[int], counts: list[int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int, int]:
+    """Segments (size, first container, containers, items in each), the number of containers, and how many the greedy step alone would need."""
+    items = dict(sorted(zip(sizes, counts), reverse=True))
+    alone = fill_up([], 0, items, capacity)
+    if alone[1] <= 1:
+        return *alone, alone[1]
+    patterns = repeats(items, capacity)
+    plans = []
+    for up in (0.5, 1e-9):
+        left = dict(items)
+        plans.append(fill_up(*apply(patterns, left, up), left, capacity))
+    best = min(plans, key=lambda p: p[1])
+    return *(best if best[1] <= alone[1] else alone), alone[1]
+
+
+def numbered(df: DataFrame, keys: list[str], order: str, weight: Column, name: str, blocks: int = 32, first: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: the sum of ``weight`` over the rows of the same keys that come before, in some fixed order: by the small number ``first`` if given.
 
-    In two steps over ``blocks`` hashed sub-blocks of each key, so that no key is ordered by one task.
+    In two steps over ``blocks`` hashed sub-blocks of each key (and ``first``), so that no key is ordered by one task.
     """
     block = F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")
-    rows = df.withColumn("_block", block).withColumn("_weight", weight)
+    rows = df.withColumn("_block", block if first is None else first.cast("int") * blocks + block).withColumn("_weight", weight)
     sums = rows.groupBy(*keys, "_block").agg(F.sum("_weight").alias("_sum"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
@@ -196,44 +228,72 @@ def numbered(df: DataFrame, keys: list[str], order: str, weight: Column, name: s
     )
 
 
-PLAN = "grp long, size long, capacity long, containers long, segments array<struct<start: long, first: long, times: long, each: long>>"
+PLAN = "grp long, size long, capacity long, containers long, greedy long, segments array<struct<start: long, first: long, times: long, each: long>>"
 
 
-def _plans(t: pa.Table) -> pa.Table:
-    grp, size, count, capacity = (t.column(c).to_numpy() for c in ("grp", "size", "n", "capacity"))
-    order = np.lexsort((-size, capacity, grp))
-    grp, size, count, capacity = (a[order] for a in (grp, size, count, capacity))
-    edge = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (capacity[1:] != capacity[:-1]), [True]])) if len(grp) else [0]
-    rows: dict[str, list] = {k: [] for k in ("grp", "size", "capacity", "containers", "segments")}
-    for a, b in zip(edge[:-1], edge[1:]):
-        segments, made = plan(size[a:b].tolist(), count[a:b].tolist(), int(capacity[a]))
+def _planned(batches):
+    """Plans of a sorted histogram (grp, capacity, size, n), one group at a time."""
+    names = ("grp", "size", "capacity", "containers", "greedy", "segments")
+    kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "first", "times", "each")]))
+
+    def made(key, sizes, counts):
+        segments, containers, greedy = plan(sizes, counts, key[1])
         by: dict[int, list] = {}
-        for s, first, times, each in segments:
+        for s, first, times, each in sorted(segments, key=lambda x: x[1]):
             mine = by.setdefault(s, [])
             start = mine[-1]["start"] + mine[-1]["times"] * mine[-1]["each"] if mine else 0
             mine.append({"start": start, "first": first, "times": times, "each": each})
-        for s, mine in by.items():
-            for k, v in zip(rows, (int(grp[a]), s, int(capacity[a]), made, mine)):
-                rows[k].append(v)
-    kind = pa.list_(pa.struct([(k, pa.int64()) for k in ("start", "first", "times", "each")]))
-    return pa.table({k: pa.array(v, kind if k == "segments" else pa.int64()) for k, v in rows.items()})
+        return [(key[0], s, key[1], containers, greedy, mine) for s, mine in by.items()]
 
+    key, sizes, counts = None, [], []
+    for b in batches:
+        rows: list[tuple] = []
+        for *at, size, n in zip(*(b.column(c).to_pylist() for c in ("grp", "capacity", "size", "n"))):
+            if tuple(at) != key:
+                rows += made(key, sizes, counts) if sizes else []
+                key, sizes, counts = tuple(at), [], []
+            sizes.append(size)
+            counts.append(n)
+        yield _plan_batch(rows, names, kind)
+    if sizes:
+        yield _plan_batch(made(key, sizes, counts), names, kind)
 
-def pack(items: DataFrame, group: str, item: str, size: str, capacity: str) -> DataFrame:
-    """(group, item, container, part, part_size, parts): where each item goes; split items have a row for their containers of their own and one for the rest.
 
-    ``items`` has bigint columns of those names. A split item's containers of its own are ``container`` and the ``parts - 1`` after it
-    (``part`` 0); its rest is ``part`` 1.
-    """
-    rows = items.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.col(size).alias("length"), F.col(capacity).alias("capacity")).dropDuplicates()
+def _plan_batch(rows, names, kind) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind if n == "segments" else pa.int64()) for c, n in zip(columns, names)], names=list(names))
+
+
+def plans_of(whole: DataFrame) -> DataFrame:
+    """PLAN rows of items (grp, capacity, size), written to the shared folder."""
+    histogram = whole.groupBy("grp", "capacity", "size").agg(F.count("*").alias("n"))
+    parts = max(int(whole.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * whole.sparkSession.sparkContext.defaultParallelism)
+    ready = histogram.select("grp", "capacity", "size", "n").repartition(parts, "grp", "capacity").sortWithinPartitions("grp", "capacity", F.desc("size"))
+    return materialise(ready.mapInArrow(_planned, PLAN), "container-plans")
+
+
+def _items(items: DataFrame, group: str, item: str, size: str, capacity: str, worth: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each row once; those that fit somewhere; and what of them is packed by size (whole items, rests of split ones)."""
+    worth_of = F.lit(0.0) if worth is None else F.when(F.isnan(F.col(worth).cast("double")), 0.0).otherwise(F.coalesce(F.col(worth).cast("double"), F.lit(0.0)))
+    rows = items.select(F.col(group).alias("grp"), F.col(item).alias("item"), F.col(size).alias("length"), F.col(capacity).alias("capacity"), worth_of.alias("worth")).dropDuplicates()
     known = F.col("length").isNotNull() & F.col("capacity").isNotNull() & F.col("grp").isNotNull() & ((F.col("capacity") > 0) | (F.col("length") <= 0))
+    rows = rows.withColumn("known", F.coalesce(known, F.lit(False)))
     over = F.greatest(F.col("length"), F.lit(0)) > F.col("capacity")
-    fit = rows.where(known).withColumn("split", over & (F.col("capacity") > 0))
+    fit = rows.where("known").withColumn("split", over & (F.col("capacity") > 0))
     whole = fit.withColumn("size", F.when(F.col("split"), F.col("length") % F.col("capacity")).otherwise(F.greatest("length", F.lit(0)))).where("NOT split OR size > 0")
-    histogram = whole.groupBy("grp", "capacity", "size").agg(F.count("*").alias("n"))
-    spread = F.pmod(F.xxhash64("grp"), F.lit(4096))
-    plans = materialise(histogram.withColumn("_at", spread).repartition("_at").drop("_at").mapInArrow(_tasks, PLAN), "container-plans")
-    ranked = numbered(whole, ["grp", "capacity", "size"], "item", F.lit(1), "rank")
+    return rows, fit, whole
+
+
+def pack(items: DataFrame, group: str, item: str, size: str, capacity: str, worth: str | None = None) -> DataFrame:
+    """(group, item, container, part, part_size, parts): where each item goes; split items have a row for their containers of their own and one for the rest.
+
+    ``items`` has bigint columns of those names, and a number for ``worth``. A split item's containers of its own are ``container`` and
+    the ``parts - 1`` after it (``part`` 0); its rest is ``part`` 1.
+    """
+    rows, fit, whole = _items(items, group, item, size, capacity, worth)
+    plans = plans_of(whole)
+    unworthy = F.least(F.lit(31), F.greatest(F.lit(0), F.floor((F.lit(1.0) - F.col("worth")) * 32)))
+    ranked = numbered(whole, ["grp", "capacity", "size"], "item", F.lit(1), "rank", 32, None if worth is None else unworthy)
     placed = (
         ranked.join(plans, ["grp", "capacity", "size"])
         .withColumn("s", F.expr("element_at(filter(segments, s -> s.start <= rank), -1)"))
@@ -244,7 +304,7 @@ def pack(items: DataFrame, group: str, item: str, size: str, capacity: str) -> D
     own = large.join(made, ["grp", "capacity"], "left").withColumn("container", F.coalesce("containers", F.lit(0)) + F.col("before"))
     parts = F.when(F.col("split"), F.ceil(F.col("length") / F.col("capacity"))).otherwise(1).cast("long").alias("parts")
     out = ["grp", "item", "container"]
-    nowhere = rows.where(~F.coalesce(known, F.lit(False)))
+    nowhere = rows.where("NOT known")
     too_large = F.coalesce(F.col("length") > F.col("capacity"), F.lit(False))
     result = (
         placed.select(*out, F.col("split").cast("int").alias("part"), F.col("size").alias("part_size"), parts)
@@ -254,15 +314,24 @@ def pack(items: DataFrame, group: str, item: str, size: str, capacity: str) -> D
     return result.withColumnsRenamed({"grp": group, "item": item})
 
 
-def _tasks(batches):
-    """All histogram rows of a task, which hold whole groups; a task has as many as the shuffle gives it distinct (group, length) pairs."""
-    tables = list(batches)
-    if tables:
-        yield from _plans(pa.Table.from_batches(tables)).to_batches()
+def fill_report(items: DataFrame, group: str, item: str, size: str, capacity: str) -> DataFrame:
+    """(group, capacity, containers, least, greedy): of each group, the containers its plan takes, the least there could be, and how many the greedy step alone takes.
+
+    Without the full containers of split items, which are the same whatever the plan.
+    """
+    _, _, whole = _items(items, group, item, size, capacity, None)
+    sums = whole.groupBy("grp", "capacity").agg(F.sum("size").alias("total"))
+    made = plans_of(whole).groupBy("grp", "capacity").agg(F.max("containers").alias("containers"), F.max("greedy").alias("greedy"))
+    least = F.greatest(F.lit(1), F.expr("(total + capacity - 1) div capacity"))
+    return made.join(sums, ["grp", "capacity"]).select(F.col("grp").alias(group), "capacity", "containers", least.cast("long").alias("least"), "greedy")
 
 
-def prompts(frames: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, frame_no, container, part, part_size, parts): the frames of each query packed into prompts of its ``max_tokens``."""
+def offered(frames: DataFrame, queries: DataFrame) -> DataFrame:
+    """The frames with the ``max_tokens`` of their query as ``capacity``."""
     capacity = queries.select("query_id", F.col("max_tokens").cast("long").alias("capacity")).where("query_id IS NOT NULL").dropDuplicates()
-    items = frames.select(F.col("query_id").cast("long").alias("query_id"), "frame_no", F.col("token_cost").cast("long").alias("token_cost"))
-    return pack(items.join(capacity, "query_id", "left"), "query_id", "frame_no", "token_cost", "capacity")
+    return frames.select(F.col("query_id").cast("long").alias("query_id"), "frame_no", F.col("token_cost").cast("long").alias("token_cost"), "score").join(capacity, "query_id", "left")
+
+
+def prompts(frames: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, frame_no, container, part, part_size, parts): the frames of each query packed into prompts of its ``max_tokens``; of equal frames the better scored first."""
+    return pack(offered(frames, queries), "query_id", "frame_no", "token_cost", "capacity", "score")

@@ -33,7 +33,13 @@ def p4_waste(spark, sf_dir):
     return used.select("query_id", "prompts", "tokens", (F.col("prompts") * F.col("max_tokens") - F.col("tokens")).alias("room_left"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_prompts": p4_prompts, "p4_fill": p4_fill, "p4_waste": p4_waste}
+def p4_plans(spark, sf_dir):
+    """Per query: prompts of its plan, the least that could do, and what packing greedily alone takes."""
+    offers = containers.offered(table(spark, sf_dir, "frames"), table(spark, sf_dir, "queries"))
+    return containers.fill_report(offers, "query_id", "frame_no", "token_cost", "capacity")
+
+
+QUERIES = {"p4_found": p4_found, "p4_prompts": p4_prompts, "p4_fill": p4_fill, "p4_waste": p4_waste, "p4_plans": p4_plans}
 
 SQL = {
     "p4_found": "SELECT DISTINCT f.query_id, f.frame_no FROM frames f JOIN queries q ON f.query_id = q.query_id WHERE f.token_cost > q.max_tokens",

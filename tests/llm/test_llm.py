@@ -79,7 +79,8 @@ def test_no_rows(spark, tmp_path):
 @given(st.dictionaries(st.integers(0, 60), st.integers(1, 30), min_size=1, max_size=12), st.integers(60, 120))
 @settings(max_examples=80, deadline=None)
 def test_plans_place_each_item_once_and_never_overfill(lengths, capacity):
-    segments, made = containers.plan(list(lengths), list(lengths.values()), capacity)
+    segments, made, greedy = containers.plan(list(lengths), list(lengths.values()), capacity)
+    assert made <= greedy
     load, seen = [0] * made, dict.fromkeys(lengths, 0)
     for size, first, times, each in segments:
         seen[size] += times * each
@@ -96,10 +97,35 @@ def test_nnls_finds_the_solution():
 
 
 def test_huge_counts_stay_cheap():
-    segments, made = containers.plan([700, 300], [10**9, 10**9], 1000)
+    segments, made, _ = containers.plan([700, 300], [10**9, 10**9], 1000)
     assert made == 10**9 and len(segments) < 10
 
 
+def test_every_length_takes_part_however_many_there_are():
+    rng = random.Random(3)
+    for n, low in ((97, 200), (400, 100), (1500, 30)):
+        sizes = rng.sample(range(low, 2000), n)
+        counts = [rng.randrange(1, 40) for _ in sizes]
+        patterns = containers.repeats(dict(sorted(zip(sizes, counts), reverse=True)), 2000)
+        met = {s for p, _ in patterns for s in p}
+        assert len(met) > 0.7 * n
+        segments, made, greedy = containers.plan(sizes, counts, 2000)
+        load = np.zeros(made, np.int64)
+        for size, first, times, each in segments:
+            load[first : first + times] += size * each
+        assert load.max() <= 2000 and load.sum() == sum(s * c for s, c in zip(sizes, counts)) and made <= greedy
+
+
+def test_the_worthier_of_equal_items_come_first(spark):
+    rows = [(1, i, 500, 1000, None if i % 7 == 0 else (i % 10) / 10) for i in range(200)] + [(1, 900, 500, 1000, float("nan"))]
+    df = spark.createDataFrame(rows, "query_id long, frame_no long, size long, capacity long, score double")
+    got = containers.pack(df, "query_id", "frame_no", "size", "capacity", "score").join(df.select("frame_no", "score"), "frame_no").orderBy("container").collect()
+    worth = [0.0 if r.score is None or r.score != r.score else r.score for r in got]
+    assert len(got) == 201 and all(b <= a + 1 / 32 for a, b in zip(worth[::2], worth[2::2]))
+    report = containers.fill_report(df, "query_id", "frame_no", "size", "capacity").collect()
+    assert [tuple(r) for r in report] == [(1, 1000, 101, 101, 101)]
+
+
 def test_pack(spark):
     rows = [(1, i, 400, 1000) for i in range(10)] + [(1, 100, 2500, 1000), (1, 101, 3000, 1000), (1, 102, None, 1000), (2, 103, 5, None), (3, 104, 5, 0), (1, 105, 0, 1000), (1, 0, 400, 1000), (None, 106, 1, 1)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "query_id long, frame_no long, size long, capacity long, container string")
