@@ -2,22 +2,22 @@
 
 Method: each source's documents, one after the other, are cut into blocks of ``BLOCK`` tokens. The total is the largest at which every
 source that has documents reaches its share without a block being taken more than ``max_repeats`` times (or a smaller one that is
-asked for). Each output shard draws its source counts from a multinomial over what is still to be placed, so shards differ at random
-and the totals come out exactly. A source's slots are numbered through all shards; slot j takes, in repetition j div n, the block that a
+asked for). Each output shard of ``SHARD_BLOCKS`` blocks draws its source counts from a multinomial over what is still to be placed:
+the shards are halved again and again, each half drawing from what its parent has, so that shards differ at random, totals come out
+exactly, and a task finds the draws of its shards alone, in steps as many as their number has digits. A source's slots are numbered through all shards; slot j takes, in repetition j div n, the block that a
 pseudorandom permutation of the source's n blocks gives for j mod n, and slots and blocks are joined by (source, block).
 
 Scale: token offsets are summed in two steps over hashed sub-blocks, so a source of a third of all documents meets no single task; the
-driver holds one row per source and at most ``MAX_SHARDS`` rows of counts per source; slots are made where they are needed.
+driver holds one row per source; shards grow in number, not in size, and are drawn and filled with slots in the tasks.
 
 Defined cases: sources are compared trimmed and in lower case; documents of null or untargeted sources, and with no tokens, take no
-part; a source without documents gets nothing and is reported, the others keep their proportions; a zero ``target_share`` or
+part; a source without documents gets nothing and is reported, the others keep their proportions; the report names the source that bounds
+the total (``bounds``: no larger mixture keeps all shares within its repeats); a zero ``target_share`` or
 ``max_repeats`` takes nothing; a source's last block may be short; repeated documents count each.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +28,7 @@ from spanforge.llm import token_ids
 from spanforge.llm.containers import numbered
 from spanforge.sources.tables import materialise
 
-BLOCK, SHARD_BLOCKS, MAX_SHARDS, SEED = 256, 256, 4096, 17
+BLOCK, SHARD_BLOCKS, SEED = 256, 256, 17
 
 
 def token_blocks(documents: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -54,12 +54,19 @@ def _encoded(own: DataFrame) -> DataFrame:
     def run(batches):
         encoder = make()
         for b in batches:
-            ids = [encoder(text) for text in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "source", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), encoder.batch(b.column("text").to_pylist())], names=["doc_id", "source", "ids"])
 
     return own.mapInArrow(run, "doc_id long, source string, ids array<int>")
 
 
+def bound(tokens: dict[str, int], shares: dict[str, float], repeats: dict[str, int]) -> tuple[str | None, float]:
+    """The source that bounds the mixture (ties: first by name), and the tokens at which it does."""
+    can = {s: tokens[s] * max(0, repeats[s] or 0) for s in shares if (shares[s] or 0) > 0 and tokens.get(s)}
+    weight = sum(shares[s] for s, n in can.items() if n > 0)
+    most, source = min(((n * weight / shares[s], s) for s, n in can.items() if n > 0), default=(0.0, None))
+    return source, most
+
+
 def block_counts(blocks: dict[str, int], tokens: dict[str, int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[str, int]:
     """How many blocks of each source: the most tokens at which all sources with blocks keep their shares, or ``total`` tokens if that is less."""
     can = {s: tokens[s] * max(0, repeats[s] or 0) for s in shares if (shares[s] or 0) > 0 and tokens.get(s)}
@@ -67,30 +74,39 @@ def block_counts(blocks: dict[str, int], tokens: dict[str, int], shares: dict[st
     if not can:
         return {}
     weight = sum(shares[s] for s in can)
-    most = min(n * weight / shares[s] for s, n in can.items())
+    most = bound(tokens, shares, repeats)[1]
     if total is not None:
         most = min(most, total)
     return {s: min(blocks[s] * repeats[s], round(most * shares[s] / weight * blocks[s] / tokens[s])) for s in can}
 
 
-def shard_draws(counts: dict[str, int], shards: int, seed: int = SEED) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first slot, slots): multinomial draws from what is left, shard by shard; each source's slots add up to its count."""
-    rng = np.random.default_rng(seed)
-    names = sorted(counts)
-    left = np.array([counts[s] for s in names], np.int64)
-    first = np.zeros(len(names), np.int64)
-    out = []
-    for shard in range(shards):
-        size = math.ceil(int(left.sum()) / (shards - shard))
-        draw = np.zeros(len(names), np.int64)
-        while size > 0 and left.sum() > 0:
-            got = np.minimum(rng.multinomial(size, left / left.sum()), left)
-            draw, left, size = draw + got, left - got, size - int(got.sum())
-        out += [(shard, s, int(a), int(n)) for s, a, n in zip(names, first, draw) if n]
-        first += draw
+def drawn(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
+    """``size`` of ``left``, multinomially, never more of a source than there is."""
+    out = np.zeros(len(left), np.int64)
+    rest = left.astype(np.int64)
+    while size > 0 and rest.sum() > 0:
+        got = np.minimum(rng.multinomial(min(size, int(rest.sum())), rest / rest.sum()), rest)
+        out, rest, size = out + got, rest - got, size - int(got.sum())
     return out
 
 
+def shard_draws(counts: np.ndarray, shards: int, begin: int, end: int, seed: int = SEED):
+    """(shard, slots of each source, first slot of each source) of the shards from ``begin`` to before ``end`` of all ``shards``."""
+    total = int(counts.sum())
+    start = lambda shard: total * shard // shards
+    todo = [(0, shards, np.asarray(counts, np.int64), np.zeros(len(counts), np.int64))]
+    while todo:
+        lo, hi, held, first = todo.pop()
+        if hi <= begin or lo >= end:
+            continue
+        if hi - lo == 1:
+            yield lo, held, first
+            continue
+        mid = (lo + hi) // 2
+        left = drawn(np.random.default_rng([seed, lo, hi]), held, start(mid) - start(lo))
+        todo += [(mid, hi, held - left, first + left), (lo, mid, left, first)]
+
+
 def permuted(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     """A pseudorandom permutation of 0 .. n-1 at ``index``: a Feistel network on the next even number of bits, walked until it falls below n."""
     half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
@@ -117,26 +133,44 @@ def mix(documents: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
     rows = goals.join(stock, "source", "left").na.fill(0, ["blocks", "tokens"]).collect()  # one row per target
     sizes = {r.source: r.blocks for r in rows}
     counts = block_counts(sizes, {r.source: r.tokens for r in rows}, {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}, total_tokens)
-    total = sum(counts.values())
-    shards = min(MAX_SHARDS, max(1, -(-total // SHARD_BLOCKS)))
-    numbers = {s: i for i, s in enumerate(sorted(sizes))}
-    draws = spark.createDataFrame([(*d, sizes[d[1]], numbers[d[1]]) for d in shard_draws(counts, shards, seed)], "shard int, source string, first long, slots long, n long, number long")
+    names = sorted(s for s in counts if counts[s])
+    wanted, stock_of = np.array([counts[s] for s in names], np.int64), np.array([sizes[s] for s in names], np.int64)
+    total = int(wanted.sum())
+    shards = -(-total // SHARD_BLOCKS)
 
     def place(batches):
         for b in batches:
-            slot, n, number = (b.column(c).to_numpy() for c in ("slot", "n", "number"))
-            at = np.zeros(len(slot), np.int64)
-            turn = slot // np.maximum(n, 1)
-            for key in set(zip(number.tolist(), turn.tolist(), n.tolist())):
-                mine = np.flatnonzero((number == key[0]) & (turn == key[1]))
-                at[mine] = permuted(slot[mine] % key[2], key[2], seed * 1_000_003 + key[0] * 1009 + key[1])
-            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("source"), b.column("slot"), pa.array(turn), pa.array(at)], names=["shard", "source", "slot", "repetition", "block_no"])
-
-    slots = draws.repartition(spark.sparkContext.defaultParallelism).withColumn("slot", F.explode(F.expr("sequence(first, first + slots - 1)"))).select("shard", "source", "slot", "n", "number")
-    order = Window.partitionBy("shard").orderBy(F.xxhash64("source", "slot", F.lit(seed)), "source", "slot")
-    chosen = slots.mapInArrow(place, "shard int, source string, slot long, repetition long, block_no long").withColumn("pos", F.row_number().over(order) - 1)
+            ids = b.column(0).to_numpy()
+            for at in range(0, len(ids), 64):
+                part = ids[at : at + 64]
+                yield _placed(list(shard_draws(wanted, shards, int(part[0]), int(part[-1]) + 1, seed)), names, stock_of, seed)
+
+    parts = max(1, min(shards, max(4 * spark.sparkContext.defaultParallelism, shards // 1024)))
+    chosen = spark.range(0, shards, 1, parts).mapInArrow(place, "shard long, pos long, source string, repetition long, block_no long")
     mixture = chosen.join(blocks, ["source", "block_no"]).select("shard", "pos", "source", "block_no", "repetition", F.size("ids").alias("n_tokens"), "ids")
     taken = chosen.join(blocks.select("source", "block_no", F.size("ids").alias("n_tokens")), ["source", "block_no"]).groupBy("source").agg(F.sum("n_tokens").cast("long").alias("taken_tokens"), (F.max("repetition") + 1).alias("repeats"))
+    least = bound({r.source: r.tokens for r in rows}, {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows})[0]
     everything = Window.partitionBy()
     report = goals.join(stock, "source", "left").join(taken, "source", "left").na.fill(0, ["blocks", "tokens", "taken_tokens", "repeats"])
+    report = report.withColumn("bounds", F.col("source").eqNullSafe(F.lit(least)))
     return mixture, report.withColumn("actual_share", F.coalesce(F.col("taken_tokens") / F.nullif(F.sum("taken_tokens").over(everything), F.lit(0)), F.lit(0.0)))
+
+
+def _placed(draws, names: list[str], stock: np.ndarray, seed: int) -> pa.RecordBatch:
+    """The slots of some shards, in random order within each, with the blocks they take."""
+    shard, pos, number, slot = [], [], [], []
+    for at, held, first in draws:
+        n = int(held.sum())
+        shard.append(np.full(n, at))
+        pos.append(np.random.default_rng([seed, at]).permutation(n))
+        number.append(np.repeat(np.arange(len(held)), held))
+        slot.append(np.concatenate([np.arange(a, a + k) for a, k in zip(first, held)]) if n else np.zeros(0, np.int64))
+    shard, pos, number, slot = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (shard, pos, number, slot))
+    turn = slot // stock[number]
+    block = np.zeros(len(slot), np.int64)
+    for source, t in np.unique(np.stack([number, turn]), axis=1).T if len(slot) else ():
+        mine = np.flatnonzero((number == source) & (turn == t))
+        n = int(stock[source])
+        block[mine] = permuted(slot[mine] % n, n, seed * 1_000_003 + int(source) * 1009 + int(t))
+    source = pa.array(names, pa.string()).take(pa.array(number))
+    return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(pos), source, pa.array(turn), pa.array(block)], names=["shard", "pos", "source", "repetition", "block_no"])

@@ -9,8 +9,9 @@ The vocabulary file's place is a parameter (``SPANFORGE_TOKENIZERS`` or /opt/tok
 
 Scale: no shuffle but that of the word counts, which are combined per task first; texts are taken batch by batch and whole.
 
-Defined cases: an empty and a null text both give the empty list; strings of special tokens are ordinary text; a text with characters
-on whose class this Python's Unicode tables disagree is split by the tokenizer's own splitter; one very long word is merged with
+Defined cases: an empty and a null text both give the empty list; strings of special tokens are ordinary text; texts are split by
+Python's own engine, but those with characters that it puts into another class than the tokenizer does are split by Unicode classes,
+and those with characters on whose class even these tables disagree by the tokenizer's own splitter; one very long word is merged with
 a heap in n log n; repeated documents come out as often as they come in; extra columns are not read.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import os
+import re
 import unicodedata
 from collections import Counter
 from itertools import chain
@@ -34,6 +36,8 @@ from spanforge.sources.tables import ship_file
 
 #: fixed value: how the tokenizer splits text into words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: the same in the terms of Python's own engine, for texts without the characters that it sees otherwise
+PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
 LEXICON_SIZE = 50_000
 REMEMBERED = 1_000_000
 
@@ -46,28 +50,38 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines()) if token}
 
 
-def disputed() -> frozenset[str]:
-    """Characters whose class as letter or number differs between the tables of ``regex`` and of Python itself."""
-    import regex
+class Characters:
+    """``doubtful``: those whose class as letter or number differs between the tables of ``regex`` and of Python; ``odd``: these, those that ``re`` sees otherwise, and all beyond the first plane."""
 
-    letter, number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
-    found = []
-    for code in chain(range(0x80, 0xD800), range(0xE000, 0x33500)):
-        c = chr(code)
-        kind = unicodedata.category(c)[0]
-        if (letter.match(c) is not None) != (kind == "L") or (number.match(c) is not None) != (kind == "N"):
-            found.append(c)
-    return frozenset(found)
+    def __init__(self):
+        import regex
+
+        letter, number, space = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\p{White_Space}")
+        plain_letter, plain_number, plain_space = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"\s")
+        doubtful, odd = [], []
+        for code in chain(range(0xD800), range(0xE000, 0x33500)):
+            c = chr(code)
+            kind = unicodedata.category(c)[0]
+            is_letter, is_number = letter.match(c) is not None, number.match(c) is not None
+            if code >= 0x80 and (is_letter != (kind == "L") or is_number != (kind == "N")):
+                doubtful.append(c)
+            elif (is_letter, is_number, space.match(c) is not None) == tuple(x.match(c) is not None for x in (plain_letter, plain_number, plain_space)):
+                continue
+            odd.append(c)
+        self.doubtful, self.odd = frozenset(doubtful), "".join(c for c in odd if c < "\U00010000")
 
 
 class Splitter:
-    def __init__(self, doubtful: frozenset[str]):
+    def __init__(self, characters: Characters):
         import regex
 
-        self.find, self.doubtful, self.own = regex.compile(PATTERN).findall, doubtful, None
+        self.plain, self.find, self.doubtful, self.own = re.compile(PLAIN).findall, regex.compile(PATTERN).findall, characters.doubtful, None
+        self.odd = re.compile(f"[{re.escape(characters.odd)}\U00010000-\U0010ffff]").search
 
     def __call__(self, text: str) -> list[str]:
-        if text.isascii() or self.doubtful.isdisjoint(text):
+        if self.odd(text) is None:
+            return self.plain(text)
+        if self.doubtful.isdisjoint(text):
             return self.find(text)
         if self.own is None:
             from tokenizers.pre_tokenizers import ByteLevel
@@ -118,11 +132,11 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in part if p is not None]
 
 
-def word_counts(texts: DataFrame, doubtful: frozenset[str]) -> DataFrame:
+def word_counts(texts: DataFrame, characters: Characters) -> DataFrame:
     """(word, n) over all texts; one column ``text``."""
 
     def count(batches):
-        split, seen = Splitter(doubtful), Counter()
+        split, seen = Splitter(characters), Counter()
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
@@ -139,35 +153,39 @@ def word_counts(texts: DataFrame, doubtful: frozenset[str]) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Encoder:
-    """Words to ids in one Python process: remembered, else by the transducer, else merged."""
+class Encoder(dict):
+    """Words to ids in one Python process: remembered (the dictionary itself), else by the transducer, else merged."""
 
-    def __init__(self, lexicon_name: str, ranks_name: str, doubtful: frozenset[str]):
-        self.split = Splitter(doubtful)
+    def __init__(self, lexicon_name: str, ranks_name: str, characters: Characters):
+        self.split = Splitter(characters)
         self.lexicon = lexicon.Lexicon(SparkFiles.get(lexicon_name))
         with open(SparkFiles.get(ranks_name), "rb") as f:
             self.ranks = read_ranks(f.read())
-        self.known: dict[str, list[int]] = {}
 
-    def word(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
         ids = self.lexicon.get(raw)
         if ids is None:
             ids = merge(raw, self.ranks)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        if len(self) >= REMEMBERED:
+            self.clear()
         if len(word) <= 64:
-            self.known[word] = ids
+            self[word] = ids
         return ids
 
-    def __call__(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        known, out = self.known, []
-        for word in self.split(text):
-            ids = known.get(word)
-            out += self.word(word) if ids is None else ids
-        return out
+    def batch(self, texts: list[str | None]) -> pa.ListArray:
+        """The ids of each text."""
+        split, look_up = self.split, self.__getitem__
+        found: list[list[int]] = []
+        sizes = np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            if text:
+                words = list(map(look_up, split(text)))
+                sizes[i + 1] = sum(map(len, words))
+                found += words
+        offsets = np.cumsum(sizes)
+        flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -178,15 +196,15 @@ def compile_encoder(documents: DataFrame, vocabulary: str | None = None, lexicon
     spark = documents.sparkSession
     with open(vocabulary or tokenizer_file(), "rb") as f:
         content = f.read()
-    ranks, doubtful = read_ranks(content), disputed()
-    frequent = word_counts(documents.select("text"), doubtful).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
+    ranks, characters = read_ranks(content), Characters()
+    frequent = word_counts(documents.select("text"), characters).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
     entries = {bytes(r.word): merge(bytes(r.word), ranks) for r in frequent}
     names = ship_file(spark, "lexicon", lexicon.to_bytes(lexicon.build(entries))), ship_file(spark, "ranks", content)
 
     def make() -> Encoder:
         if names[0] not in _ENCODERS:
             _ENCODERS.clear()
-            _ENCODERS[names[0]] = Encoder(*names, doubtful)
+            _ENCODERS[names[0]] = Encoder(*names, characters)
         return _ENCODERS[names[0]]
 
     return make
@@ -199,9 +217,6 @@ def encode(documents: DataFrame, key: str = "doc_id", make=None) -> DataFrame:
     def run(batches):
         encoder = make()
         for b in batches:
-            ids = [encoder(text) for text in b.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[key, "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), encoder.batch(b.column(1).to_pylist())], names=[key, "ids"])
 
     return documents.select(key, "text").mapInArrow(run, f"`{key}` long, ids array<int>")

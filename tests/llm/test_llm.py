@@ -177,10 +177,20 @@ def test_lexicon_shares_suffixes():
 
 @pytest.mark.parametrize("text", ["a" * 5000, "ab" * 700, "é日本" * 200, "x" * 99 + "ing", "=" * 333])
 def test_merges_of_long_words(ranks, library, text):
-    split = token_ids.Splitter(frozenset())
+    split = token_ids.Splitter(token_ids.Characters())
     assert [i for w in split(text) for i in token_ids.merge(w.encode(), ranks)] == library(text)
 
 
+def test_texts_are_split_as_by_unicode_classes():
+    import regex
+
+    split, rng = token_ids.Splitter(token_ids.Characters()), random.Random(8)
+    pool = "ab Z09_'-.,\n\t\r\x0b\x1c\x1f\x85\xa0é½²Ⅷ٣日本\u0301\u2028\u3000🙂\u200b𝟘ª'lltsd"
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(30)))
+        assert split(text) == regex.findall(token_ids.PATTERN, text), ascii(text)
+
+
 def test_ids_are_the_library_s(spark, library):
     texts = [None, "", " ", "Hello  world's\n\n\t don't", "<|endoftext|> x", "͸Ᲊ   a", "1234 ½ ²", "a" * 20000, "Ünïcödé 日本語 🙂", "x\r\n y", "<|endoftext|>"] + ["same text"] * 3
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
@@ -198,12 +208,14 @@ def test_permutations(n):
     assert sorted(got.tolist()) == list(range(n))
 
 
-def test_draws_add_up():
-    counts = {"a": 1000, "b": 77, "c": 3}
-    draws = mixture.shard_draws(counts, 9)
-    for s, n in counts.items():
-        mine = sorted((first, k) for _, name, first, k in draws if name == s)
-        assert sum(k for _, k in mine) == n and all(a + k == b for (a, k), (b, _) in zip(mine, mine[1:]))
+@pytest.mark.parametrize("shards", [1, 9, 5000])
+def test_draws_add_up(shards):
+    counts = np.array([1000 * shards, 77, 3])
+    draws = list(mixture.shard_draws(counts, shards, 0, shards))
+    assert [d[0] for d in draws] == list(range(shards)) and {int(n.sum()) - counts.sum() // shards for _, n, _ in draws} <= {0, 1}
+    assert (sum(n for _, n, _ in draws) == counts).all() and np.array_equal(np.cumsum([n for _, n, _ in draws], axis=0)[:-1], np.array([f for _, _, f in draws])[1:].reshape(-1, 3))
+    part = list(mixture.shard_draws(counts, shards, shards // 3, shards // 2 + 1))  # a task's part is the same part of the whole
+    assert all((a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(part, draws[shards // 3 :]))
 
 
 def test_block_counts():
