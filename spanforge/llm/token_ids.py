@@ -5,6 +5,9 @@ bound on the file that is shipped, not on the result) are compiled with their id
 (``lexicon``), which every executor fetches once and maps into memory. A second pass splits each text, looks its words up and merges
 unseen words exactly, so the ids do not depend on what the lexicon holds. Each Python process remembers words it has met.
 
+Words are what stands between single blanks, with the blank before it: no token goes over such a blank, as a token has a blank only
+at its start or among other blanks. Texts with blanks side by side or at an end are split into the tokenizer's own words.
+
 The vocabulary file's place is a parameter (``SPANFORGE_TOKENIZERS`` or /opt/tokenizers); its content travels with the lexicon.
 
 Scale: no shuffle but that of the word counts, which are combined per task first; texts are taken batch by batch and whole.
@@ -39,7 +42,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: the same in the terms of Python's own engine, for texts without the characters that it sees otherwise
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+"
 LEXICON_SIZE = 50_000
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -90,6 +93,17 @@ class Splitter:
         return [text[a:b] for _, (a, b) in self.own.pre_tokenize_str(text)]
 
 
+_SPACES = [pair for c in " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f" for pair in (f" {c}", f"{c} ")]
+_BESIDE = re.compile(r" \s|\s |^\s|\s\Z").search
+
+
+def single_blanks(text: str) -> bool:
+    """Whether each blank of a text has something other than white space on both sides, and neither end is white space."""
+    if not text.isascii():
+        return _BESIDE(text) is None
+    return not (text[0].isspace() or text[-1].isspace() or any(pair in text for pair in _SPACES))
+
+
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The ids of one word: pairs are merged, lowest rank first, leftmost first among equals."""
     whole = ranks.get(word)
@@ -136,58 +150,82 @@ def word_counts(texts: DataFrame, characters: Characters) -> DataFrame:
     """(word, n) over all texts; one column ``text``."""
 
     def count(batches):
-        split, seen = Splitter(characters), Counter()
+        split, seen, after_blank = Splitter(characters), Counter(), Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            words = [w.encode("utf-8", "replace") for w in seen] + [b" " + w.encode("utf-8", "replace") for w in after_blank]
+            n = pa.array([*seen.values(), *after_blank.values()], pa.int64())
+            seen.clear()
+            after_blank.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), n], names=["word", "n"])
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                if text:
+                if text and single_blanks(text):
+                    words = text.split(" ")
+                    seen[words[0]] += 1
+                    after_blank.update(words[1:])
+                elif text:
                     seen.update(split(text))
-            if len(seen) > 200_000:
+            if len(seen) + len(after_blank) > 200_000:
                 yield out()
-                seen.clear()
         yield out()
 
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Encoder(dict):
-    """Words to ids in one Python process: remembered (the dictionary itself), else by the transducer, else merged."""
+class Words(dict):
+    """Words, the text ``before`` left out, to ids in one Python process: remembered (the dictionary itself), else by the transducer, else split and merged."""
 
-    def __init__(self, lexicon_name: str, ranks_name: str, characters: Characters):
-        self.split = Splitter(characters)
-        self.lexicon = lexicon.Lexicon(SparkFiles.get(lexicon_name))
-        with open(SparkFiles.get(ranks_name), "rb") as f:
-            self.ranks = read_ranks(f.read())
+    def __init__(self, before: str, encoder: Encoder):
+        self.before, self.encoder = before, encoder
 
     def __missing__(self, word: str) -> list[int]:
-        raw = word.encode("utf-8", "replace")
-        ids = self.lexicon.get(raw)
-        if ids is None:
-            ids = merge(raw, self.ranks)
+        ids = self.encoder.ids(self.before + word)
         if len(self) >= REMEMBERED:
             self.clear()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+
+class Encoder:
+    def __init__(self, lexicon_name: str, ranks_name: str, characters: Characters):
+        self.split = Splitter(characters)
+        self.lexicon = lexicon.Lexicon(SparkFiles.get(lexicon_name))
+        with open(SparkFiles.get(ranks_name), "rb") as f:
+            self.ranks = read_ranks(f.read())
+        self.words, self.after_blank = Words("", self), Words(" ", self)
+
+    def ids(self, word: str) -> list[int]:
+        found = self.lexicon.get(word.encode("utf-8", "replace"))
+        return word_ids(word, self.split, self.ranks) if found is None else found
+
     def batch(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
-        split, look_up = self.split, self.__getitem__
+        split, word, after_blank = self.split, self.words.__getitem__, self.after_blank.__getitem__
         found: list[list[int]] = []
         sizes = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
-            if text:
-                words = list(map(look_up, split(text)))
-                sizes[i + 1] = sum(map(len, words))
-                found += words
+            if not text:
+                continue
+            if single_blanks(text):
+                words = text.split(" ")
+                ids = list(map(after_blank, words[1:]))
+                ids.insert(0, word(words[0]))
+            else:
+                ids = list(map(word, split(text)))
+            sizes[i + 1] = sum(map(len, ids))
+            found += ids
         offsets = np.cumsum(sizes)
         flat = np.fromiter(chain.from_iterable(found), np.int32, int(offsets[-1]))
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
 
+def word_ids(word: str, split: Splitter, ranks: dict[bytes, int]) -> list[int]:
+    return [i for w in split(word) for i in merge(w.encode("utf-8", "replace"), ranks)]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -198,7 +236,8 @@ def compile_encoder(documents: DataFrame, vocabulary: str | None = None, lexicon
         content = f.read()
     ranks, characters = read_ranks(content), Characters()
     frequent = word_counts(documents.select("text"), characters).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
-    entries = {bytes(r.word): merge(bytes(r.word), ranks) for r in frequent}
+    split = Splitter(characters)
+    entries = {bytes(r.word): word_ids(bytes(r.word).decode(), split, ranks) for r in frequent}
     names = ship_file(spark, "lexicon", lexicon.to_bytes(lexicon.build(entries))), ship_file(spark, "ranks", content)
 
     def make() -> Encoder:

@@ -191,6 +191,18 @@ def test_texts_are_split_as_by_unicode_classes():
         assert split(text) == regex.findall(token_ids.PATTERN, text), ascii(text)
 
 
+def test_no_token_goes_over_a_single_blank():
+    split, rng = token_ids.Splitter(token_ids.Characters()), random.Random(9)
+    pool, whole = "ab 9 _'.\n\t\x1c\xa0é½日 sl  ", 0
+    for _ in range(4000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 20)))
+        if token_ids.single_blanks(text):
+            words = text.split(" ")
+            assert [w for i, part in enumerate(words) for w in split(" " * (i > 0) + part)] == split(text), ascii(text)
+            whole += len(words) > 1
+    assert whole > 100
+
+
 def test_ids_are_the_library_s(spark, library):
     texts = [None, "", " ", "Hello  world's\n\n\t don't", "<|endoftext|> x", "͸Ᲊ   a", "1234 ½ ²", "a" * 20000, "Ünïcödé 日本語 🙂", "x\r\n y", "<|endoftext|>"] + ["same text"] * 3
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
