@@ -8,6 +8,7 @@ among the words, which points to its ids. The arrays: ``first[s] .. first[s+1]``
 from __future__ import annotations
 
 import io
+from bisect import bisect_left
 
 import numpy as np
 
@@ -88,20 +89,20 @@ class Lexicon:
         base = len(NAMES) * 24
         for name, (kind, length, offset) in zip(NAMES, raw[:base].view(np.int64).reshape(-1, 3).tolist()):
             dtype = np.dtype(chr(kind))
-            setattr(self, name, raw[base + offset : base + offset + length * dtype.itemsize].view(dtype))
-        self.root = int(self.first[-1])
+            setattr(self, name, memoryview(np.asarray(raw[base + offset : base + offset + length * dtype.itemsize].view(dtype))))  # plain numbers at each place
+        self.root = self.first[-1]
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if it is not in the lexicon."""
         state, place = self.root, 0
         first, label, target, skip = self.first, self.label, self.target, self.skip
         for byte in word:
-            a, b = int(first[state]), int(first[state + 1])
-            at = a + int(np.searchsorted(label[a:b], byte))
+            b = first[state + 1]
+            at = bisect_left(label, byte, first[state], b)
             if at == b or label[at] != byte:
                 return None
-            place += int(skip[at])
-            state = int(target[at])
+            place += skip[at]
+            state = target[at]
         if not self.final[state]:
             return None
         return self.ids[self.start[place] : self.start[place + 1]].tolist()

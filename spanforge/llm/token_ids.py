@@ -5,8 +5,8 @@ bound on the file that is shipped, not on the result) are compiled with their id
 (``lexicon``), which every executor fetches once and maps into memory. A second pass splits each text, looks its words up and merges
 unseen words exactly, so the ids do not depend on what the lexicon holds. Each Python process remembers words it has met.
 
-Words are what stands between single blanks, with the blank before it: no token goes over such a blank, as a token has a blank only
-at its start or among other blanks. Texts with blanks side by side or at an end are split into the tokenizer's own words.
+Texts are cut at single blanks first, which is cheap: no word of the tokenizer goes over such a blank, as a word has one only
+at its start or among other blanks. What stands between two is split into words where it is met first, and remembered as a whole.
 
 The vocabulary file's place is a parameter (``SPANFORGE_TOKENIZERS`` or /opt/tokenizers); its content travels with the lexicon.
 
@@ -153,18 +153,20 @@ def word_counts(texts: DataFrame, characters: Characters) -> DataFrame:
         split, seen, after_blank = Splitter(characters), Counter(), Counter()
 
         def out():
-            words = [w.encode("utf-8", "replace") for w in seen] + [b" " + w.encode("utf-8", "replace") for w in after_blank]
-            n = pa.array([*seen.values(), *after_blank.values()], pa.int64())
+            for part, n in after_blank.items():
+                for word in split(" " + part):
+                    seen[word] += n
+            found = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace") for w in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
             seen.clear()
             after_blank.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), n], names=["word", "n"])
+            return found
 
         for b in batches:
             for text in b.column(0).to_pylist():
                 if text and single_blanks(text):
-                    words = text.split(" ")
-                    seen[words[0]] += 1
-                    after_blank.update(words[1:])
+                    parts = text.split(" ")
+                    seen.update(split(parts[0]))
+                    after_blank.update(parts[1:])
                 elif text:
                     seen.update(split(text))
             if len(seen) + len(after_blank) > 200_000:
@@ -174,32 +176,36 @@ def word_counts(texts: DataFrame, characters: Characters) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Words(dict):
-    """Words, the text ``before`` left out, to ids in one Python process: remembered (the dictionary itself), else by the transducer, else split and merged."""
+class Remembered(dict):
+    """Texts to ids in one Python process, found by ``find`` at first."""
 
-    def __init__(self, before: str, encoder: Encoder):
-        self.before, self.encoder = before, encoder
+    def __init__(self, find):
+        self.find = find
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.encoder.ids(self.before + word)
+    def __missing__(self, text: str) -> list[int]:
+        ids = self.find(text)
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(word) <= 64:
-            self[word] = ids
+        if len(text) <= 64:
+            self[text] = ids
         return ids
 
 
 class Encoder:
+    """Words by the transducer, else merged; parts after a blank by their words; both remembered."""
+
     def __init__(self, lexicon_name: str, ranks_name: str, characters: Characters):
-        self.split = Splitter(characters)
-        self.lexicon = lexicon.Lexicon(SparkFiles.get(lexicon_name))
+        split, known = Splitter(characters), lexicon.Lexicon(SparkFiles.get(lexicon_name))
         with open(SparkFiles.get(ranks_name), "rb") as f:
-            self.ranks = read_ranks(f.read())
-        self.words, self.after_blank = Words("", self), Words(" ", self)
+            ranks = read_ranks(f.read())
+
+        def word_ids(word: str) -> list[int]:
+            raw = word.encode("utf-8", "replace")
+            ids = known.get(raw)
+            return merge(raw, ranks) if ids is None else ids
 
-    def ids(self, word: str) -> list[int]:
-        found = self.lexicon.get(word.encode("utf-8", "replace"))
-        return word_ids(word, self.split, self.ranks) if found is None else found
+        self.split, self.words = split, Remembered(word_ids)
+        self.after_blank = Remembered(lambda part: [i for w in split(" " + part) for i in self.words[w]])
 
     def batch(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text."""
@@ -210,9 +216,8 @@ class Encoder:
             if not text:
                 continue
             if single_blanks(text):
-                words = text.split(" ")
-                ids = list(map(after_blank, words[1:]))
-                ids.insert(0, word(words[0]))
+                first, *rest = text.split(" ")
+                ids = [*map(word, split(first)), *map(after_blank, rest)]
             else:
                 ids = list(map(word, split(text)))
             sizes[i + 1] = sum(map(len, ids))
@@ -222,10 +227,6 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
 
 
-def word_ids(word: str, split: Splitter, ranks: dict[bytes, int]) -> list[int]:
-    return [i for w in split(word) for i in merge(w.encode("utf-8", "replace"), ranks)]
-
-
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -236,8 +237,7 @@ def compile_encoder(documents: DataFrame, vocabulary: str | None = None, lexicon
         content = f.read()
     ranks, characters = read_ranks(content), Characters()
     frequent = word_counts(documents.select("text"), characters).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
-    split = Splitter(characters)
-    entries = {bytes(r.word): word_ids(bytes(r.word).decode(), split, ranks) for r in frequent}
+    entries = {bytes(r.word): merge(bytes(r.word), ranks) for r in frequent}
     names = ship_file(spark, "lexicon", lexicon.to_bytes(lexicon.build(entries))), ship_file(spark, "ranks", content)
 
     def make() -> Encoder:
