@@ -25,8 +25,6 @@ CODE_STARTS = ["fn ", "def ", "class ", "import ", "const ", "let ", "var ", "pu
 CODE_ENDS = (";", "{", "}", "=>", "):")
 NO_VALUE = {"", "null", "nil", "none", "n/a", "na", "nan", "-", "—"}
 COMPACT_OVER, CONTEXT, HEAD, TAIL, SAMPLE, CELL_WORDS, FRAMES, CODE_HEAD, CODE_TAIL = 64, 2, 8, 4, 5, 4, 8, 20, 8
-FRAME_KIND = {"log": "episode", "trace": "episode", "table": "fact", "code": "snippet", "prose": "doc", "path": None}
-PRIOR = {"trace": 0.85, "log": 0.8, "code": 0.75, "table": 0.7, "prose": 0.5, "path": 0.0}
 
 
 def _word(names: list[str]) -> re.Pattern:
@@ -252,32 +250,33 @@ def instant(line: str) -> str | None:
 
 
 def blocks(text: str | None):
-    """(block, kind, first_line, lines, digest, tokens, compact, compact_tokens, valid_from, valid_to, columns) of each block."""
+    """(block, kind, first_line, lines, digest, tokens, compact, compact_tokens, valid_from, valid_to, columns, content) of each block."""
     for n, (fenced, start, lines) in enumerate(split_blocks(text)):
         kind, full = classify(fenced, lines), "\n".join(lines)
         short = COMPACT[kind](lines) if kind in COMPACT and tokens(full) > COMPACT_OVER else None
         if short is not None and tokens(short) >= tokens(full):
             short = None
-        ends = [instant(lines[0]), instant(lines[-1])] if kind == "log" else [None, None]
+        ends = [instant(lines[0]), instant(lines[-1])] if kind == "log" else [instant(lines[0])] * 2 if kind == "trace" else [None, None]
         if all(ends):
             ends.sort()
         columns = [f"{a}:{k}" for a, k in zip(*table_columns(lines)[:2])] if kind == "table" else None
         digest = "sha256:" + hashlib.sha256(full.encode("utf-8", "replace")).hexdigest()
-        yield n, kind, start, len(lines), digest, tokens(full), short, tokens(short) if short is not None else None, *ends, columns
+        yield n, kind, start, len(lines), digest, tokens(full), short, tokens(short) if short is not None else None, *ends, columns, full
 
 
 SCHEMA = "block long, kind string, first_line long, lines long, digest string, tokens long, compact string, compact_tokens long, valid_from string, valid_to string, columns array<string>"
 
 
-def ingest(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row per block of every document, with its key."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+def ingest(documents: DataFrame, key: str = "doc_id", with_content: bool = False) -> DataFrame:
+    """One row per block of every document, with its key, and its own text as ``content`` if asked for."""
+    schema = SCHEMA + ", content string" * with_content
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
 
     def run(batches):
         for b in batches:
             rows = [(i, *row) for i, text in enumerate(b.column(1).to_pylist()) for row in blocks(text)]
-            got = list(zip(*rows)) if rows else [[]] * 12
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(got[0], pa.int64())), *(pa.array(g, k) for g, k in zip(got[1:], kinds))], names=[key, *names])
+            got = list(zip(*rows)) if rows else [[]] * 13
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(got[0], pa.int64())), *(pa.array(g, k) for g, k in zip(got[1 : len(names) + 1], kinds))], names=[key, *names])
 
-    return documents.select(key, "text").mapInArrow(run, f"`{key}` long, {SCHEMA}")
+    return documents.select(key, "text").mapInArrow(run, f"`{key}` long, {schema}")

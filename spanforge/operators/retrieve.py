@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import expr as X
+from spanforge.sources.tables import materialise
 
 UNLIMITED = 1 << 62
 
@@ -112,6 +113,26 @@ def budget_split(df: DataFrame, total: str, group: str, order: str) -> DataFrame
     return df.withColumn("_n", F.count("*").over(w)).withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("share", F.expr(f"{total} div _n") + F.when(F.col("_i") < F.col(total) % F.col("_n"), 1).otherwise(0)).drop("_n", "_i")
 
 
+def neighbors(frames: DataFrame, starts: DataFrame, depth: int, rels: list[str] | None = None) -> DataFrame:
+    """(query_id, frame_no, hops): frames at most ``depth`` steps from each query's places (query_id, uri), with their least distance.
+
+    A step goes from a place to the frames that are at it or point at it by one of ``rels`` (all if none are given), and on to the places
+    that these are at or point at. No frame is visited twice. Each step's frames are written to the shared folder.
+    """
+    nodes = frames.where("uri IS NOT NULL").select("frame_no", "uri")
+    edges = frames.select("frame_no", F.explode("relations").alias("r")).where("r.target_uri IS NOT NULL")
+    edges = (edges if rels is None else edges.where(F.col("r.rel").isin(rels))).select("frame_no", F.col("r.target_uri").alias("uri")).distinct()
+    there = nodes.unionByName(edges)
+    seen, places = None, starts.distinct()
+    for hops in range(1, depth + 1):
+        near = there.join(places, "uri").select("query_id", "frame_no").distinct()
+        near = near if seen is None else near.join(seen, ["query_id", "frame_no"], "left_anti")
+        near = materialise(near.withColumn("hops", F.lit(hops)), "neighbors")
+        seen = near if seen is None else seen.unionByName(near)
+        places = near.join(there, "frame_no").select("query_id", "uri").distinct()
+    return seen
+
+
 def scored(df: DataFrame) -> DataFrame:
     """``relevance`` of each offer to its query's text and goal."""
     return df.withColumn("relevance", X.relevance(X.terms("query_text", "goal"), "title", "content"))

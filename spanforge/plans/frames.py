@@ -254,17 +254,8 @@ def verify_outcomes(spark, d):
 
 def neighbors_two_hops(spark, d):
     """Frames at most two relations away from each query's anchors, whoever they were offered to, with their least distance; none is visited twice."""
-    f = _frames(spark, d)
-    nodes = f.where("uri IS NOT NULL").select("frame_no", "uri")
-    edges = f.select("frame_no", F.explode("relations.target_uri").alias("to")).where("to IS NOT NULL").distinct()
-
-    def step(uris):
-        """Frames that are at, or point at, the (query_id, uri) given."""
-        return nodes.join(uris, "uri").select("query_id", "frame_no").unionByName(edges.join(uris.withColumnRenamed("uri", "to"), "to").select("query_id", "frame_no")).distinct()
-
-    near = step(table(spark, d, "queries").dropDuplicates(["query_id"]).select("query_id", F.explode(F.array_distinct("anchors")).alias("uri")).where("uri IS NOT NULL"))
-    ends = near.join(nodes, "frame_no").select("query_id", "uri").unionByName(near.join(edges, "frame_no").select("query_id", F.col("to").alias("uri"))).distinct()
-    return near.withColumn("hops", F.lit(1)).unionByName(step(ends).join(near, ["query_id", "frame_no"], "left_anti").withColumn("hops", F.lit(2)))
+    starts = table(spark, d, "queries").dropDuplicates(["query_id"]).select("query_id", F.explode(F.array_distinct("anchors")).alias("uri")).where("uri IS NOT NULL")
+    return retrieve.neighbors(_frames(spark, d), starts, 2)
 
 
 QUERIES = {

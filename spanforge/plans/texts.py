@@ -58,7 +58,7 @@ def imports(spark, d):
 
 
 def record_problems(spark, d):
-    return records.embedded(_docs(spark, d)).select("doc_id", "record_kind", records.problem().alias("problem"))
+    return records.embedded(_docs(spark, d)).select("doc_id", "record_kind", records.problem().alias("first"), F.array_join(records.problems(), ", ").alias("problems"))
 
 
 def lineage_latest(spark, d):
@@ -94,7 +94,16 @@ SELECT DISTINCT df.doc_id, df.name FROM df JOIN l ON l.doc_id = df.doc_id AND co
     "lineage_latest": "SELECT doc_id, uri FROM documents WHERE uri IS NOT NULL QUALIFY row_number() OVER (PARTITION BY uri ORDER BY coalesce(recorded_at, '') DESC, doc_id DESC) = 1",
     "idempotent_append": """SELECT doc_id, CASE WHEN uri IS NULL OR citation_label IS NULL OR row_number() OVER w = 1 THEN 'accepted' WHEN sha256(text) IS NOT DISTINCT FROM first_value(sha256(text)) OVER w THEN 'duplicate' ELSE 'conflict' END AS status
 FROM documents WINDOW w AS (PARTITION BY uri, citation_label ORDER BY doc_id)""",
-    "record_problems": f"""WITH j AS (SELECT doc_id, CAST(text AS JSON) AS j FROM documents WHERE text IS NOT NULL AND starts_with(ltrim(text), '{{') AND json_valid(text)), r AS (SELECT doc_id, j ->> '$.record_kind' AS record_kind, j ->> '$.origin' AS origin, j ->> '$.observed_at' AS observed_at, j ->> '$.valid_from' AS valid_from, try_cast(j ->> '$.confidence' AS DOUBLE) AS confidence FROM j)
-SELECT doc_id, record_kind, CASE WHEN record_kind NOT IN ({", ".join(f"'{k}'" for k in records.KINDS)}) THEN 'unknown kind' WHEN origin IS NULL OR origin NOT IN ({", ".join(f"'{k}'" for k in records.ORIGINS)}) THEN 'unknown origin'
-WHEN NOT coalesce({_ok("observed_at")}, false) THEN 'bad observed_at' WHEN valid_from IS NOT NULL AND NOT {_ok("valid_from")} THEN 'bad valid_from' WHEN confidence NOT BETWEEN 0 AND 1 THEN 'bad confidence' END AS problem FROM r WHERE record_kind IS NOT NULL""",
+    "record_problems": f"""WITH j AS (SELECT doc_id, CAST(text AS JSON) AS j FROM documents WHERE text IS NOT NULL AND starts_with(ltrim(text), '{{') AND json_valid(text)),
+r AS (SELECT doc_id, j, j ->> '$.record_kind' AS k, j ->> '$.origin' AS origin, j ->> '$.observed_at' AS observed_at, j ->> '$.valid_from' AS valid_from, try_cast(j ->> '$.confidence' AS DOUBLE) AS confidence, j ->> '$.statement' AS st, j ->> '$.provenance.derivation_kind' AS dk FROM j),
+p AS (SELECT doc_id, k AS record_kind, list_filter([CASE WHEN k NOT IN ('observation', 'knowledge', 'memory', 'directive', 'record_proposal', 'evidence', 'artifact_contract', 'contract_validation', 'outcome_assessment', 'promotion_event', 'context_use', 'context_use_feedback') THEN 'unknown kind' END,
+CASE WHEN coalesce(origin NOT IN ('observed', 'derived', 'declared', 'imported'), true) THEN 'unknown origin' END,
+CASE WHEN (k IN ('observation', 'memory', 'evidence') AND st IS NULL) OR (k = 'knowledge' AND (st IS NULL OR j ->> '$.knowledge_kind' IS NULL)) OR (k = 'directive' AND (st IS NULL OR j ->> '$.directive_kind' IS NULL)) OR (k = 'record_proposal' AND (j ->> '$.proposed_kind' IS NULL OR j ->> '$.rationale' IS NULL))
+OR (k = 'artifact_contract' AND j ->> '$.contract_name' IS NULL) OR (k = 'contract_validation' AND (j ->> '$.contract_ref' IS NULL OR j ->> '$.outcome' IS NULL)) OR (k = 'outcome_assessment' AND (j ->> '$.subject_ref' IS NULL OR j ->> '$.assessment' IS NULL))
+OR (k = 'promotion_event' AND (j ->> '$.subject_ref' IS NULL OR j ->> '$.to_status' IS NULL)) OR (k = 'context_use' AND (j ->> '$.used_record_ref' IS NULL OR j ->> '$.selected' IS NULL OR j ->> '$.rendered' IS NULL OR j ->> '$.cited' IS NULL)) OR (k = 'context_use_feedback' AND (j ->> '$.context_use_ref' IS NULL OR j ->> '$.feedback' IS NULL)) THEN 'body lacks a member' END,
+CASE WHEN j ->> '$.schema_version' IS DISTINCT FROM 'lifecycle/1.0-draft' THEN 'schema version' END, CASE WHEN NOT coalesce(regexp_matches(j ->> '$.record_hash', '^sha256:[0-9a-f]{{64}}$'), false) THEN 'bad record hash' END,
+CASE WHEN confidence NOT BETWEEN 0 AND 1 THEN 'bad confidence' END, CASE WHEN NOT coalesce({_ok("observed_at")}, false) OR (valid_from IS NOT NULL AND NOT {_ok("valid_from")}) THEN 'bad instant' END,
+CASE WHEN origin IN ('observed', 'declared') AND dk IS NOT NULL THEN 'derivation of what is not derived' END, CASE WHEN origin = 'derived' AND dk IS NULL THEN 'derived without derivation' END,
+CASE WHEN k = 'directive' AND j ->> '$.directive_kind' = 'constraint' AND j ->> '$.constraint_effect' IS NULL THEN 'constraint without effect' END], lambda x: x IS NOT NULL) AS ps FROM r WHERE k IS NOT NULL)
+SELECT doc_id, record_kind, ps[1] AS first, array_to_string(ps, ', ') AS problems FROM p""",
 }
