@@ -24,11 +24,12 @@ METHOD = {"log": "extractive_summary", "trace": "stack_frame_head", "table": "ta
 PRIOR = {"trace": "0.85", "log": "0.8", "code": "0.75", "table": "0.7", "prose": "0.5", "path": "0.0"}
 REPRESENTATIONS = ["full", "compact", "reference"]
 
-NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _of_kind(table: dict[str, str]) -> Column:
-    return looked_up(F.col("kind"), table, NONE)
+    return looked_up(F.col("kind"), table, _none())
 
 
 def segments(documents: DataFrame) -> DataFrame:
@@ -71,8 +72,8 @@ def as_frames(a: DataFrame, representation: str | Column = "representation", pro
     r = F.col(representation) if isinstance(representation, str) else representation
     full, compact, reference = (r == x for x in REPRESENTATIONS)
     content = F.when(full, F.col("content")).when(compact, F.col("inline"))
-    handle = F.struct(F.lit(provider).alias("provider_id"), F.concat(F.lit(f"context://{provider}/artifacts/"), "digest").alias("uri"), NONE.alias("expires_at"))
-    paste = F.struct(F.lit("derivation").alias("type"), NONE.alias("uri"), NONE.alias("range"), NONE.alias("digest"), F.lit("paste").alias("method"), F.lit(IMPLEMENTATION).alias("by"))
+    handle = F.struct(F.lit(provider).alias("provider_id"), F.concat(F.lit(f"context://{provider}/artifacts/"), "digest").alias("uri"), _none().alias("expires_at"))
+    paste = F.struct(F.lit("derivation").alias("type"), _none().alias("uri"), _none().alias("range"), _none().alias("digest"), F.lit("paste").alias("method"), F.lit(IMPLEMENTATION).alias("by"))
     return a.select(
         *(c for c in a.columns if c in ("doc_id", "block", "representation")) if "representation" in a.columns else ("doc_id", "block", r.alias("representation")),
         F.lit(provider).alias("provider_id"), "frame_id", F.col("frame_kind").alias("kind"), "title", "citation_label", "score", content.alias("content"),

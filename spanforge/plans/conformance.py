@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import expr as X
 from spanforge.functions import vocabulary as V
 from spanforge.operators import audit, compose, conformance, registry, retrieve, scan, verify
-from spanforge.plans.frames import _LEGS, _O, _OFF, _P, _frames, _offers, _providers
+from spanforge.plans.frames import _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
 from spanforge.plans.sources import _J, _wire
 from spanforge.plans.streams import _BROKEN
 from spanforge.sources import files, ndjson
@@ -183,6 +183,10 @@ _REACT = "('bad_request', 'do_not_retry'), ('unsupported_kind', 'narrow_or_skip'
 _DECIDED = f"""{_P}, dm AS (SELECT provider_id, len({_OFF}) AS off, coalesce(egress, false) AS egress, coalesce(verify, false) AND NOT coalesce(resolve, false) AS agreed, len(list_filter({_OFF}, lambda s: s IS DISTINCT FROM egress_scopes[1])) AS missing FROM p),
 dc AS (SELECT provider_id, CASE WHEN off = 0 AND (agreed OR NOT egress) THEN 'permitted' WHEN off = 0 THEN 'needs_consent' WHEN missing = 0 THEN 'permitted' ELSE 'needs_receipts' END AS decision FROM dm)"""
 _CHECKS = ", ".join(f"('{c}')" for c in ("handshake", "frame_validity", "verify_honesty", "consent_scope", "budget_honesty", "as_of", "kinds_filter", "anchor_relevance", "provenance", "malformed_input", "embedding_fingerprint", "correlation", "shutdown"))
+_ANCHORS = f"""WITH {_P}, f AS (SELECT * FROM frames QUALIFY row_number() OVER (PARTITION BY frame_no) = 1), g AS (SELECT provider_id, frame_no, arrival, score, uri, [r.target_uri FOR r IN relations IF r.target_uri IS NOT NULL] AS ts FROM f),
+a AS (SELECT provider_id, coalesce(first(ts[1] ORDER BY arrival, frame_no) FILTER (len(ts) > 0), first(uri ORDER BY arrival, frame_no) FILTER (uri IS NOT NULL)) AS anchor FROM g GROUP BY 1),
+h AS (SELECT provider_id, any_value(anchor) AS anchor, count(*) FILTER (uri = anchor OR list_contains(ts, anchor)) AS n, first(coalesce(uri = anchor OR list_contains(ts, anchor), false) ORDER BY coalesce(score, -1.0) DESC, frame_no) AS top FROM g JOIN a USING (provider_id) GROUP BY 1)
+SELECT provider_id, CASE WHEN NOT coalesce(graph, false) OR anchor IS NULL THEN 'skipped' WHEN n > 0 THEN 'pass' ELSE 'fail' END AS status, coalesce(n, 0)::BIGINT AS anchored, coalesce(top, false) AS ranked_first FROM p LEFT JOIN h USING (provider_id)"""
 _CURRENT = "cu AS (SELECT provider_id, frame_id, first(content_digest ORDER BY arrival DESC, frame_no DESC) AS current FROM f GROUP BY ALL)"
 
 SQL = {
@@ -231,4 +235,7 @@ SELECT provider_id, c AS "check", CASE WHEN c = 'handshake' THEN CASE WHEN greet
 WHEN c = 'frame_validity' THEN CASE WHEN invalid = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'consent_scope' THEN CASE WHEN consistent AND scoped THEN 'pass' ELSE 'fail' END WHEN c = 'budget_honesty' THEN CASE WHEN lies = 0 THEN 'pass' ELSE 'fail' END
 WHEN c = 'as_of' AND pinned > 0 THEN CASE WHEN early = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'kinds_filter' AND narrowed > 0 THEN CASE WHEN off = 0 THEN 'pass' ELSE 'fail' END
 WHEN c = 'verify_honesty' AND verify AND held > 0 THEN CASE WHEN bad1 = 0 AND bad2 = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'anchor_relevance' AND graph AND places > 0 THEN 'pass' WHEN c = 'provenance' AND seen > 0 THEN CASE WHEN bad = 0 THEN 'pass' ELSE 'fail' END ELSE 'skipped' END AS status FROM a, k""",
+    "anchor_checks": _ANCHORS,
+    "included_verification": _PACK + " SELECT g.query_id, CASE WHEN content_digest IS NULL THEN 'unverifiable' ELSE 'verifiable' END AS state, count(*) AS frames FROM g JOIN f ON f.frame_no = g.frame_no WHERE keep GROUP BY ALL",
 }
+SQL["conformance_tally"] = f"SELECT provider_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'fail') = 0 AS ok FROM ({SQL['conformance_report']}) GROUP BY 1"
