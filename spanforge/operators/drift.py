@@ -42,12 +42,11 @@ MILLISECONDS = 10**11
 VALUE_SLOTS, WORD_SLOTS = 4096, 256
 
 
+_TYPES = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+
+
 def raw_type(value) -> str:
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, (int, float)):
-        return "number"
-    return {str: "string", list: "array", dict: "object"}[type(value)]
+    return _TYPES[type(value)]
 
 
 def path_values(node: dict, prefix: str = ""):
@@ -73,16 +72,32 @@ def _slot(kind: str, text: str, slots: int) -> str:
     return f"{kind}{zlib.crc32(text.encode('utf-8', 'replace')) % slots}"
 
 
+REMEMBERED = 200_000
+_TEXTS: dict[str, list[str]] = {}
+_WORD, _MARK = re.compile(r"[^\W\d_]*"), re.compile(r"[^\w]")
+
+
+def _text_features(value: str) -> list[str]:
+    word = _WORD.match(value).group()
+    return [_slot("v", value, VALUE_SLOTS), _slot("w", word, WORD_SLOTS), "u" + "".join(sorted(set(_MARK.findall(value)))), f"l{len(value).bit_length()}"]
+
+
 def features(value) -> list[str]:
     """The kinds of a value that its sketch counts."""
+    if isinstance(value, str):
+        known = _TEXTS.get(value)
+        if known is None:
+            known = _text_features(value)
+            if len(value) <= 64:
+                if len(_TEXTS) >= REMEMBERED:
+                    _TEXTS.clear()
+                _TEXTS[value] = known
+        return known
     if isinstance(value, bool):
         return [f"v{value}"]
     if isinstance(value, (int, float)):
         size = abs(value)
         return [_slot("v", repr(value), VALUE_SLOTS), f"l{-99 if size == 0 else max(-20, min(200, len(bin(int(size))) - 2 if size >= 1 else -int(1 / size).bit_length()))}", f"u{float(value).is_integer()}{value < 0}"]
-    if isinstance(value, str):
-        word = re.match(r"[^\W\d_]*", value).group()
-        return [_slot("v", value, VALUE_SLOTS), _slot("w", word, WORD_SLOTS), "u" + "".join(sorted(set(re.findall(r"[^\w]", value)))), f"l{len(value).bit_length()}"]
     if isinstance(value, dict):
         return [_slot("m", k, VALUE_SLOTS) for k in value if value[k] is not None]
     out = []
@@ -91,6 +106,43 @@ def features(value) -> list[str]:
     return out
 
 
+_PATHS: dict[tuple[str, str], str] = {}
+
+
+def _count(node: dict, prefix: str, sketch: dict) -> None:
+    """Add the path and type of each value below an object to its file's sketch; what ``path_values`` gives, counted."""
+    for name, value in node.items():
+        if value is None or (not prefix and name == "type"):
+            continue
+        path = _PATHS.get((prefix, name))
+        if path is None:
+            if len(_PATHS) >= REMEMBERED:
+                _PATHS.clear()
+            path = _PATHS[prefix, name] = _clean(f"{prefix}.{name}" if prefix else name)
+        kinds = sketch.get(path)
+        if kinds is None:
+            kinds = sketch[path] = {}
+        kind = raw_type(value)
+        counts = kinds.get(kind)
+        if counts is None:
+            counts = kinds[kind] = Counter()
+        counts[""] += 1
+        for feature in features(value):
+            counts[feature] += 1
+        if kind == "object":
+            _count(value, path, sketch)
+        elif kind == "array":
+            _count_items(value, path + "[]", sketch)
+
+
+def _count_items(items: list, prefix: str, sketch: dict) -> None:
+    for item in items:
+        if isinstance(item, dict):
+            _count(item, prefix, sketch)
+        elif isinstance(item, list):
+            _count_items(item, prefix + "[]", sketch)
+
+
 SKETCH = "stream string, file_no long, msg_type string, salt int, sketch binary"
 
 
@@ -122,11 +174,10 @@ def file_statistics(lines: DataFrame, salts: int = 8) -> DataFrame:
                 node = load_json(payload)
                 if not isinstance(node, dict) or not isinstance(node.get("type"), str) or stream is None or no is None:
                     continue
-                sketch = seen.setdefault((stream, no, _clean(node["type"]), salt), {})
-                for path, kind, value in path_values(node):
-                    counts = sketch.setdefault(_clean(path), {}).setdefault(kind, Counter())
-                    counts[""] += 1
-                    counts.update(features(value))
+                sketch = seen.get(key := (stream, no, _clean(node["type"]), salt))
+                if sketch is None:
+                    sketch = seen[key] = {}
+                _count(node, "", sketch)
             if len(seen) > HELD:
                 yield out(seen)
                 seen = {}

@@ -62,7 +62,7 @@ def serve(candidates: DataFrame, queries: DataFrame, provider_id: str) -> DataFr
     rows = (candidates if "token_cost" in candidates.columns else full_frames(candidates)).where("frame_id IS NOT NULL")
     frames = rows.withColumns({"provider_id": F.lit(provider_id), "arrival": F.monotonically_increasing_id(), "frame_no": F.xxhash64("query_id", "frame_id", "content")})
     ready = retrieve.valid_as_of(retrieve.of_kind(retrieve.offers(frames, queries))).withColumn("anchored", retrieve.anchored(None))
-    return retrieve.prefix_budget(ready, F.desc("anchored"), F.desc_nulls_last("score"), F.asc("frame_id"), F.asc("frame_no"))
+    return retrieve.prefix_budget(ready, F.desc("anchored"), F.desc_nulls_last("score"), F.asc("frame_id"), F.asc("frame_no"), part=retrieve.by_score())
 
 
 class Registry:

@@ -1,8 +1,9 @@
 """Retrieval: filters, ranking and budgets over the frames offered for queries.
 
-Frames meet their queries in one shuffle on ``query_id``; the window and the fold after it keep that partitioning. The budget that
-stops at the first frame that does not fit is a running sum; the one that skips it is a fold over sorted rows that holds two
-numbers per query, so a query of any size streams through its task.
+Frames meet their queries in one shuffle on ``query_id``. Ranks, and the budget that stops at the first frame that does not fit, come in
+two steps over parts of a query's frames (``ranked``). The budget that skips what does not fit depends on every frame before: it is a fold
+over sorted rows that holds two numbers per query, so a query of any size streams through its task, but through one: at a
+million frames a second a query of 10^8 frames takes some minutes.
 
 Null budgets and frame limits mean no limit, null costs 0; exact duplicate rows count once.
 """
@@ -72,11 +73,37 @@ def relevant_providers(queries: DataFrame, providers: DataFrame) -> DataFrame:
     return q.join(p, q["kind"].eqNullSafe(p["own_kind"])).select("query_id", "provider_id").distinct()
 
 
-def prefix_budget(df: DataFrame, *order) -> DataFrame:
-    """Rows up to the first that exceeds the query's tokens or frames, with ``rank`` and ``running_tokens``."""
-    w = Window.partitionBy("query_id").orderBy(*order)
-    ranked = df.withColumn("rank", F.row_number().over(w)).withColumn("running_tokens", F.sum(F.coalesce("token_cost", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.where("rank <= q_frames AND running_tokens <= q_tokens")
+def by_arrival(rows: int = 4096):
+    """A number that grows along an order by arrival: which run of ``rows`` arrivals a row is in."""
+    return F.floor(F.coalesce("arrival", F.lit(-1)) / rows).cast("long")
+
+
+def by_score(parts: int = 64):
+    """A number that grows along an order by falling score, unknown scores last."""
+    return F.when(F.col("score").isNull(), parts).otherwise(F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((1 - F.col("score")) * parts)))).cast("long")
+
+
+def ranked(df: DataFrame, order: list, part, anchored_first: bool = False) -> DataFrame:
+    """``df`` with ``rank`` and ``running_tokens`` of each query's rows in ``order``, in two steps, so that no task orders all rows of a query.
+
+    ``part`` must grow along the order (after ``anchored``, where that comes first): parts are ordered each by itself, and one row per
+    part gives what came before.
+    """
+    part = part + F.when(F.col("anchored"), 0).otherwise(1 << 50) if anchored_first else part
+    rows = df.withColumn("_part", part)
+    inside = Window.partitionBy("query_id", "_part").orderBy(*order)
+    earlier = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cost = F.coalesce("token_cost", F.lit(0))
+    sums = rows.groupBy("query_id", "_part").agg(F.count("*").alias("_n"), F.sum(cost).alias("_t"))
+    before = sums.select("query_id", "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", "_t")))
+    near = rows.withColumns({"rank": F.row_number().over(inside), "running_tokens": F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    far = near.join(before, ["query_id", "_part"])
+    return far.withColumns({"rank": (F.col("rank") + F.col("_n")).cast("long"), "running_tokens": F.col("running_tokens") + F.col("_t")}).drop("_part", "_n", "_t")
+
+
+def prefix_budget(df: DataFrame, *order, part=None) -> DataFrame:
+    """Rows up to the first that exceeds the query's tokens or frames, with ``rank`` and ``running_tokens``; the order begins with ``anchored``."""
+    return ranked(df, list(order), F.lit(0).cast("long") if part is None else part, True).where("rank <= q_frames AND running_tokens <= q_tokens")
 
 
 def fold_budget(df: DataFrame, order: list, cost: str, extra: list[str]) -> DataFrame:

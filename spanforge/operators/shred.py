@@ -20,8 +20,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def parse_path(path: str) -> list[str]:
@@ -177,6 +179,41 @@ def element_table(by_path: dict[str, Levels], depth: int) -> dict[str, np.ndarra
     return out
 
 
+def only(column: Column, kind: T.DataType, steps: list[str]) -> Column:
+    """``column`` with nothing but the leaf at ``steps`` (as ``parse_path`` gives them) and all that is absent on the way to it still absent."""
+    if not steps:
+        return column
+    if steps[0] == "[]":
+        return F.transform(column, lambda x: only(x, kind.elementType, steps[1:]))
+    inner = only(column[steps[0]], kind[steps[0]].dataType, steps[1:])
+    return F.when(column.isNotNull(), F.struct(inner.alias(steps[0])))
+
+
+def typed_elements(df: DataFrame, key: str, column: str, members: dict[str, str], places: str = "pos1") -> DataFrame:
+    """A flat table of the elements of a column that is a list: key, place, and the members (path to name) with their own types.
+
+    Null and empty lists have no elements; a null element has a row without members. The path ``''`` is the element itself.
+    """
+    kind = df.schema[column].dataType
+
+    def type_of(steps: list[str]) -> T.DataType:
+        at = kind.elementType
+        for step in steps:
+            at = at[step].dataType
+        return at
+
+    types = {name: type_of(parse_path(path)) for path, name in members.items()}
+
+    def run(batches):
+        for b in batches:
+            got = element_table({name: shred_arrow(b.column(1), f"[].{path}" if path else "[]") for path, name in members.items()}, 1)
+            values = [pa.array(got[name], to_arrow_type(types[name])) for name in members.values()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(got["record"])), pa.array(got["pos1"].astype(np.int64)), *values], names=[key, places, *members.values()])
+
+    schema = T.StructType([df.schema[key], T.StructField(places, T.LongType()), *(T.StructField(n, t) for n, t in types.items())])
+    return df.select(key, column).where(F.size(column) > 0).mapInArrow(run, schema)
+
+
 def children(df: DataFrame, key: str, column: str, paths: dict[str, tuple[int | None, int | None]], is_json: bool) -> DataFrame:
     """(parent_id, frame_pos, child_pos, ref): each whole value of each path, with its record's key.
 
@@ -261,7 +298,8 @@ def element_members(df: DataFrame, column: str, list_path: str) -> list[str]:
 def nested_children(wire: DataFrame, frames: DataFrame, journal: DataFrame) -> DataFrame:
     """(tbl, parent_id, frame_pos, child_pos, ref): every frame and provenance link of the three tables with its parent and place."""
     w = children(wire.where("payload IS NOT NULL"), "msg_id", "payload", {"result.frames[].id": (1, None), "result.frames[].provenance[].uri": (1, 2)}, True)
-    f = children(frames.select("frame_no", F.col("provenance.uri").alias("uris")).where("size(uris) > 0"), "frame_no", "uris", {"[]": (None, 1)}, False)
-    j = children(journal.select("delivery_id", F.col("frames.frame.frame_id").alias("ids")).where("size(ids) > 0"), "delivery_id", "ids", {"[]": (1, None)}, False)
+    leaf = lambda df, key, column, path: df.where(F.size(column) > 0).select(key, only(F.col(column), df.schema[column].dataType, parse_path(path)).alias(column))
+    f = children(leaf(frames, "frame_no", "provenance", "[].uri"), "frame_no", "provenance", {"[].uri": (None, 1)}, False)
+    j = children(leaf(journal, "delivery_id", "frames", "[].frame.frame_id"), "delivery_id", "frames", {"[].frame.frame_id": (1, None)}, False)
     once = w.withColumn("tbl", F.lit("wire_messages")).unionByName(f.withColumn("tbl", F.lit("frames"))).dropDuplicates()
     return once.unionByName(j.withColumn("tbl", F.lit("journal"))).select("tbl", "parent_id", "frame_pos", "child_pos", "ref")

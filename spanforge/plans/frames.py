@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanforge.functions import expr as X
 from spanforge.operators import audit, compose, retrieve, verify
@@ -109,8 +108,8 @@ def as_of_filter(spark, d):
 
 
 def anchor_rank(spark, d):
-    w = Window.partitionBy("query_id").orderBy(F.desc("anchored"), "arrival", "frame_no")
-    return retrieve.of_kind(_offers(spark, d)).withColumn("anchored", retrieve.anchored(None)).select("query_id", "frame_no", "anchored", F.row_number().over(w).cast("long").alias("rank"))
+    rows = retrieve.of_kind(_offers(spark, d)).withColumn("anchored", retrieve.anchored(None))
+    return retrieve.ranked(rows, [F.desc("anchored"), F.asc("arrival"), F.asc("frame_no")], retrieve.by_arrival(), True).select("query_id", "frame_no", "anchored", "rank")
 
 
 def lexical_relevance(spark, d):
@@ -118,13 +117,13 @@ def lexical_relevance(spark, d):
 
 
 def three_key_rank(spark, d):
-    w = Window.partitionBy("query_id").orderBy(F.desc("anchored"), F.desc_nulls_last("score"), F.asc_nulls_last("frame_id"), "frame_no")
-    return _offers(spark, d).withColumn("anchored", retrieve.anchored(None)).select("query_id", "frame_no", F.row_number().over(w).cast("long").alias("rank"))
+    rows = _offers(spark, d).withColumn("anchored", retrieve.anchored(None))
+    return retrieve.ranked(rows, [F.desc("anchored"), F.desc_nulls_last("score"), F.asc_nulls_last("frame_id"), F.asc("frame_no")], retrieve.by_score(), True).select("query_id", "frame_no", "rank")
 
 
 def retrieve_prefix_budget(spark, d):
     df = retrieve.valid_as_of(retrieve.of_kind(_offers(spark, d))).withColumn("anchored", retrieve.anchored(None))
-    return retrieve.prefix_budget(df, F.desc("anchored"), F.asc("arrival"), F.asc("frame_no")).select("query_id", "frame_no", F.col("rank").cast("long").alias("rank"), "running_tokens")
+    return retrieve.prefix_budget(df, F.desc("anchored"), F.asc("arrival"), F.asc("frame_no"), part=retrieve.by_arrival()).select("query_id", "frame_no", "rank", "running_tokens")
 
 
 def retrieve_greedy_budget(spark, d):
@@ -134,8 +133,7 @@ def retrieve_greedy_budget(spark, d):
 
 
 def frame_cap(spark, d):
-    w = Window.partitionBy("query_id").orderBy("arrival", "frame_no")
-    return _offers(spark, d).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= q_frames").select("query_id", "frame_no", "rank")
+    return retrieve.ranked(_offers(spark, d), [F.asc("arrival"), F.asc("frame_no")], retrieve.by_arrival()).where("rank <= q_frames").select("query_id", "frame_no", "rank")
 
 
 def provider_prune(spark, d):

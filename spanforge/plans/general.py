@@ -57,13 +57,29 @@ def p3_wire_link_members(spark, sf_dir):
 def p3_frame_links(spark, sf_dir):
     """The provenance links of the frames, with all members and their places."""
     frames = table(spark, sf_dir, "frames").dropDuplicates(["frame_no"])
-    return frames.select("frame_no", F.posexplode("provenance").alias("pos", "p")).select("frame_no", F.col("pos").cast("long").alias("child_pos"), "p.*")
+    return shred.typed_elements(frames, "frame_no", "provenance", {m: m for m in ("type", "uri", "range", "digest", "method", "by")}, "child_pos")
+
+
+def p3_frame_relations(spark, sf_dir):
+    """The relations of the frames, with all members and their places."""
+    frames = table(spark, sf_dir, "frames").dropDuplicates(["frame_no"])
+    return shred.typed_elements(frames, "frame_no", "relations", {m: m for m in ("rel", "target_uri", "display_name")}, "child_pos")
+
+
+def p3_query_lists(spark, sf_dir):
+    """The kinds, anchors and preferences of the queries, one row for each, with its place."""
+    queries = table(spark, sf_dir, "queries").dropDuplicates(["query_id"])
+    out = None
+    for name in ("kinds", "anchors", "representation_preferences"):
+        part = shred.typed_elements(queries, "query_id", name, {"": "value"}, "pos").withColumn("list", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def p3_journal_frames(spark, sf_dir):
     """The frames of every delivery, with all members and their places."""
-    flat = table(spark, sf_dir, "journal").select("delivery_id", F.posexplode("frames").alias("pos", "e"))
-    return flat.select("delivery_id", F.col("pos").cast("long").alias("frame_pos"), "e.frame.*", "e.*").drop("frame")
+    members = {f"frame.{m}": m for m in ("provider_id", "frame_id", "content_digest")} | {m: m for m in ("representation", "token_cost", "citation_label")}
+    return shred.typed_elements(table(spark, sf_dir, "journal"), "delivery_id", "frames", members, "frame_pos")
 
 
 def p5_found(spark, sf_dir):
@@ -89,7 +105,7 @@ _NTH_COPY = f"""row_number() OVER (PARTITION BY {_IDENTIFIED}, session, effect_i
 ORDER BY received_at, delivery_id)"""
 
 QUERIES = {"p2_found": p2_found, "p2_lines": p2_lines, "p2_failed_casts": p2_failed_casts, "p3_found": p3_found, "p3_wire_frames": p3_wire_frames, "p3_wire_links": p3_wire_links, "p5_found": p5_found, "p5_once": p5_once}
-QUERIES |= {f.__name__: f for f in (p3_wire_frame_members, p3_wire_link_members, p3_frame_links, p3_journal_frames)}
+QUERIES |= {f.__name__: f for f in (p3_wire_frame_members, p3_wire_link_members, p3_frame_links, p3_frame_relations, p3_query_lists, p3_journal_frames)}
 
 SQL = {
     "p3_found": f"""WITH {_ENVELOPES}, {_FRAMES}, {_LINKS},
@@ -107,6 +123,9 @@ SELECT msg_id, frame_pos, fr ->> '$.id' AS id, fr ->> '$.kind' AS kind, fr ->> '
 SELECT msg_id, frame_pos, child_pos, link ->> '$.type' AS type, link ->> '$.uri' AS uri, link ->> '$.range' AS "range", link ->> '$.digest' AS digest, link ->> '$.method' AS method, link ->> '$.by' AS "by" FROM p""",
     "p3_frame_links": """WITH f AS (SELECT DISTINCT frame_no, provenance FROM frames), p AS (SELECT frame_no, i - 1 AS child_pos, provenance[i] AS p FROM f, LATERAL (SELECT unnest(range(1, len(provenance) + 1)) AS i))
 SELECT frame_no, child_pos, p.type AS type, p.uri AS uri, p."range" AS "range", p.digest AS digest, p.method AS method, p."by" AS "by" FROM p""",
+    "p3_frame_relations": """WITH f AS (SELECT DISTINCT frame_no, relations FROM frames), p AS (SELECT frame_no, i - 1 AS child_pos, relations[i] AS p FROM f, LATERAL (SELECT unnest(range(1, len(relations) + 1)) AS i))
+SELECT frame_no, child_pos, p.rel AS rel, p.target_uri AS target_uri, p.display_name AS display_name FROM p""",
+    "p3_query_lists": " UNION ALL ".join(f"SELECT query_id, i - 1 AS pos, {c}[i] AS value, '{c}' AS list FROM (SELECT DISTINCT query_id, {c} FROM queries), LATERAL (SELECT unnest(range(1, len({c}) + 1)) AS i)" for c in ("kinds", "anchors", "representation_preferences")),
     "p3_journal_frames": """WITH j AS (SELECT delivery_id, i - 1 AS frame_pos, frames[i] AS e FROM journal, LATERAL (SELECT unnest(range(1, len(frames) + 1)) AS i))
 SELECT delivery_id, frame_pos, e.frame.provider_id AS provider_id, e.frame.frame_id AS frame_id, e.frame.content_digest AS content_digest, e.representation AS representation, e.token_cost AS token_cost, e.citation_label AS citation_label FROM j""",
     "p5_found": f"SELECT delivery_id FROM (SELECT delivery_id, {_NTH_COPY} AS n FROM journal) WHERE n > 1",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one on a session of one machine, and an error on any other."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root is None:
         root = spark.conf.get("spanforge.shared.dir", None)
     if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spanforge_")
         spark.conf.set("spanforge.shared.dir", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -26,9 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    own = f"{shared_dir(spark)}/spanforge/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return own
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/spanforge/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, for as long as the application runs."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -42,7 +56,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def ship_file(spark: SparkSession, label: str, content: bytes) -> str:
     """Put ``content`` into the shared folder and have each executor fetch it once; gives the name for ``SparkFiles.get``."""
     name = f"{label}-{uuid.uuid4().hex}.bin"
-    uri = f"{shared_dir(spark)}/spanforge/files/{name}"
+    uri = f"{_own_dir(spark)}/files/{name}"
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(path, True)
