@@ -148,8 +148,11 @@ def honest_frames(spark: SparkSession, rows: list[tuple[str, str, int, float]],
     return spark.createDataFrame(made, OFFER).withColumn("content_digest", X.digest_of("content"))
 
 
-def host_scenarios(spark: SparkSession) -> DataFrame:
-    """(suite, scenario, status): what a host must do with providers that do not behave, and what a composer must keep to."""
+def host_scenarios(spark: SparkSession, composer=compose.audit) -> DataFrame:
+    """(suite, scenario, status): what a host must do with providers that do not behave, and what a composer must keep to.
+
+    ``composer`` makes of offers one row per frame with its fate (query_id, frame_no, fate, other), as ``compose.audit`` does.
+    """
     one = lambda df, ok: df.agg(from_bool(F.expr(ok)).alias("status"))
     outcome = "count(*) = 1 AND bool_and(outcome = '{0}')"
     providers = spark.createDataFrame([("egress", True, []), ("scoped", True, ["local-only", "third-party-model", "org-tenant"]), ("local", False, ["local-only"])], "provider_id string, egress boolean, egress_scopes array<string>")
@@ -167,8 +170,9 @@ def host_scenarios(spark: SparkSession) -> DataFrame:
     three = honest_frames(spark, [("a", f"f{i}", 400, 0.9 - i / 10) for i in range(3)], 1000)
     flood = honest_frames(spark, [("loud", f"l{i}", 1, 0.9) for i in range(9)] + [("calm", "c", 5, 0.1)], 1000)
     accepted = audit.accepted(flood)
-    fates = compose.audit(four)
-    again = compose.audit(four.orderBy(F.desc("frame_no")))
+    fates = composer(four)
+    again = composer(four.orderBy(F.desc("frame_no")))
+    bound = composer(three).join(three.select("frame_no", "token_cost"), "frame_no")
     rows = {
         ("host", "version_reject"): one(spark.range(1).withColumn("ok", ~X.same_family(F.lit("2.0"), F.lit(FAMILY))), "bool_and(ok)"),
         ("host", "budget_drop"): one(audit.legs(honest_frames(spark, [("a", "x", 600, 0.5), ("a", "y", 600, 0.4)], 1000)), outcome.format("budget_lie")),
@@ -179,7 +183,7 @@ def host_scenarios(spark: SparkSession) -> DataFrame:
         ("host", "content_quoting"): one(spark.range(1).withColumn("b", block).withColumn("ok", V.fenced_between("b", "loud") & (F.regexp_count("b", F.lit("</frame>")) == 1) & (F.regexp_count("b", F.lit("<frame ")) == 1)), "bool_and(ok)"),
         ("host", "composition_audit"): one(fates.join(four.select("frame_no", "frame_id"), "frame_no"), "count(*) = 4 AND count_if(frame_id IN ('kept', 'small') AND fate = 'included') = 2 AND count_if(frame_id = 'copy' AND fate = 'duplicate' AND other = 0) = 1 AND count_if(frame_id = 'large' AND fate = 'over_budget') = 1"),
         ("host", "crash_isolation"): one(legs.join(served.select("provider_id", F.lit(1).alias("one")), "provider_id", "left"), "count(*) = 3 AND count_if(outcome = 'failed' AND one IS NULL) = 2 AND count_if(provider_id = 'good' AND outcome = 'frames' AND one = 1) = 1"),
-        ("composition", "budget_bound"): one(compose.packed(three), "count_if(keep) = 2 AND sum(CASE WHEN keep THEN cost END) <= 1000"),
+        ("composition", "budget_bound"): one(bound, "count_if(fate = 'included') = 2 AND sum(CASE WHEN fate = 'included' THEN token_cost END) <= 1000"),
         ("composition", "total_partition"): one(fates, "count(*) = 4 AND count(DISTINCT frame_no) = 4"),
         ("composition", "quarantine"): one(accepted, "count(*) = 1 AND bool_and(provider_id = 'calm')"),
         ("composition", "determinism"): one(fates.select("frame_no", "fate", "other").exceptAll(again.select("frame_no", "fate", "other")), "count(*) = 0"),

@@ -7,7 +7,8 @@ false matches, whatever the data. Identifiers longer than a width go to the next
 
 Scale: the permutation spreads skewed keys (one session may hold a third of all rows) evenly over the shards. Copies of one
 identifier are combined inside each Arrow batch before the shuffle, so a message delivered very often reaches its shard about
-once a batch. The number of shards follows the number of rows; one shard is about ``rows_per_shard`` rows.
+once a batch. The number of shards follows the number of rows; one shard is about ``rows_per_shard`` rows. Batches that come one
+after the other are inserted into stored tables (``insert_batch``).
 
 Defined cases: a null identifier is never surplus; a null order column sorts last; rows that tie in all order columns keep one;
 an empty input gives an empty result; other columns are not read.
@@ -20,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.sources.tables import materialise
+
 LAST = np.iinfo(np.int64).max
 ROWS_PER_SHARD = 32_768
 
@@ -178,11 +181,48 @@ def mark_surplus(df: DataFrame, identifier: Column, row: str, order: list[Column
     return spread.groupBy("shard").applyInArrow(_gather, "row long, surplus boolean")
 
 
+def _met():
+    """A shard's new rows against what its table has stored: (row, surplus, shard, rem)."""
+
+    def run(new: pa.Table, stored: pa.Table) -> pa.Table:
+        marked = _gather(new)
+        known = set(stored.column("rem").to_pylist())
+        rem, surplus = new.column("rem"), np.array(marked.column("surplus"), bool)
+        if known:
+            surplus |= np.fromiter((r is not None and r in known for r in rem.to_pylist()), bool, len(rem))
+        return pa.table({"row": new.column("row"), "surplus": pa.array(surplus), "shard": new.column("shard"), "rem": rem})
+
+    return run
+
+
+def insert_batch(batch: DataFrame, identifier: Column, row: str, order: list[Column], store: str, shards: int = 4096) -> DataFrame:
+    """(row, surplus) of a batch of rows against all batches before it, whose identifiers ``store`` (a folder) holds; those of this batch are added.
+
+    What came in an earlier batch came first. ``shards`` (a power of two) is that of the store and must stay; a shard's task holds the
+    remainders of its shard, so it should be about the expected identifiers by ``ROWS_PER_SHARD``. If a run is lost before the end,
+    nothing of it is in the store.
+    """
+    spark = batch.sparkSession
+    keyed = batch.select(identifier.cast("binary").alias("id"), order[0].cast("long").alias("o1"), order[1].cast("long").alias("o2"), F.col(row).alias("row"))
+    new = keyed.mapInArrow(_scatter(shards.bit_length() - 1), "shard int, rem binary, o1 long, o2 long, row long, surplus boolean")
+    at = spark._jvm.org.apache.hadoop.fs.Path(store)
+    exists = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    stored = spark.read.schema("shard int, rem binary").parquet(store) if exists else spark.createDataFrame([], "shard int, rem binary")
+    marked = materialise(new.groupBy("shard").cogroup(stored.groupBy("shard")).applyInArrow(_met(), "row long, surplus boolean, shard int, rem binary"), "delivered")
+    marked.where("NOT surplus AND rem IS NOT NULL").select("shard", "rem").write.mode("append").parquet(store)
+    return marked.select("row", "surplus")
+
+
 def journal_surplus(journal: DataFrame) -> DataFrame:
     """(row, surplus) of the journal's deliveries: messages by (session, seq), side effects by (session, effect_id)."""
     return mark_surplus(journal, message_identifier(), "delivery_id", [F.unix_micros(F.col("received_at").cast("timestamp")), F.col("delivery_id")])
 
 
+def journal_batch(batch: DataFrame, store: str) -> DataFrame:
+    """As ``journal_surplus``, for one batch of the journal against the batches before it."""
+    return insert_batch(batch, message_identifier(), "delivery_id", [F.unix_micros(F.col("received_at").cast("timestamp")), F.col("delivery_id")], store, 64)
+
+
 def deliver_once(journal: DataFrame) -> DataFrame:
     """The first delivery of each message, whole rows; rows whose identifier has a null all stay."""
     surplus = journal_surplus(journal).where("surplus").select(F.col("row").alias("delivery_id"))

@@ -59,6 +59,22 @@ def anchored(df: DataFrame):
     return F.coalesce(F.array_contains("q_anchors", F.col("uri")), F.lit(False)) | F.coalesce(F.arrays_overlap("q_anchors", F.col("relations.target_uri")), F.lit(False))
 
 
+#: fixed values: the kinds of frames, and what a request is given that names no limits
+KINDS = ["snippet", "symbol", "fact", "doc", "memory", "episode", "graph"]
+DEFAULT_TOKENS, DEFAULT_FRAMES = 4096, 8
+
+
+def parsed_requests(requests: DataFrame) -> DataFrame:
+    """Requests (goal, query_text, kinds, max_frames, max_tokens) with defaults in place, unknown kinds left out, and ``error`` where there is no goal."""
+    none = F.array().cast("array<string>")
+    return requests.withColumns({
+        "kinds": F.filter(F.coalesce("kinds", none), lambda k: F.coalesce(k.isin(KINDS), F.lit(False))),
+        "max_frames": F.coalesce("max_frames", F.lit(DEFAULT_FRAMES)).cast("long"),
+        "max_tokens": F.coalesce("max_tokens", F.lit(DEFAULT_TOKENS)).cast("long"),
+        "error": F.when(X.is_blank("goal"), F.lit("a goal is required")),
+    })
+
+
 def relevant_providers(queries: DataFrame, providers: DataFrame) -> DataFrame:
     """(query_id, provider_id): the providers a query goes to: all where it names no kinds, else those that declare one of them.
 

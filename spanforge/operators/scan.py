@@ -34,6 +34,11 @@ def first_lines(documents: DataFrame) -> DataFrame:
     return lines(documents).where(F.trim(F.regexp_replace("line", "[\t\r]", " ")) != "").groupBy("doc_id").agg(F.min_by("line", "line_no").alias("line"), F.min("line_no").alias("line_no"))
 
 
+def matches(found: DataFrame, walked: DataFrame) -> DataFrame:
+    """(doc_id, line_no): the places that a first scan found, or, where it found none at all, those of a second; each once."""
+    return (walked if found.isEmpty() else found).select("doc_id", "line_no").distinct()
+
+
 def runs(documents: DataFrame) -> DataFrame:
     """Runs of equal lines: (doc_id, line_no of the first, line, repeats)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")

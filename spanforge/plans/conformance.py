@@ -158,6 +158,19 @@ def conformance_tally(spark, d):
     return conformance.tally(materialise(conformance_report(spark, d), "report"), "provider_id")
 
 
+def conformance_documents(spark, d):
+    """The report of each provider as one JSON document, as the report sink writes it."""
+    checks = F.array_sort(F.collect_list(F.struct("check", "status")))
+    by = conformance_report(spark, d).groupBy("provider_id").agg(checks.alias("checks"))
+    return by.select("provider_id", F.to_json(F.struct(F.col("provider_id").alias("target"), "checks")).alias("document"))
+
+
+def parsed_requests(spark, d):
+    """Queries on the wire as a tool would read them: defaults in place, kinds that are none left out."""
+    rows = ndjson.parsed(_wire(spark, d), "payload", ndjson.ENVELOPE).where("broken IS NULL AND type = 'query'").select("msg_id", "query.*")
+    return retrieve.parsed_requests(rows).select("msg_id", F.array_join("kinds", ",").alias("kinds"), "max_frames", "max_tokens", "error")
+
+
 def anchor_checks(spark, d):
     return conformance.anchor_relevance(_providers(spark, d), _frames(spark, d))
 
@@ -175,7 +188,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         error_reactions, record_error_vocabulary, scope_classes, embedding_matches, embedding_errors, wire_kinds, bridge_flows, leg_outcomes, single_provider, tool_summaries, included_verification,
-        unknown_verdicts, registry_answers, wire_handshakes, wire_survival, conformance_report, conformance_tally, anchor_checks, host_scenarios, misbehaviour,
+        unknown_verdicts, registry_answers, wire_handshakes, wire_survival, conformance_report, conformance_documents, conformance_tally, parsed_requests, anchor_checks, host_scenarios, misbehaviour,
     )
 }
 
@@ -236,6 +249,9 @@ WHEN c = 'frame_validity' THEN CASE WHEN invalid = 0 THEN 'pass' ELSE 'fail' END
 WHEN c = 'as_of' AND pinned > 0 THEN CASE WHEN early = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'kinds_filter' AND narrowed > 0 THEN CASE WHEN off = 0 THEN 'pass' ELSE 'fail' END
 WHEN c = 'verify_honesty' AND verify AND held > 0 THEN CASE WHEN bad1 = 0 AND bad2 = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'anchor_relevance' AND graph AND places > 0 THEN 'pass' WHEN c = 'provenance' AND seen > 0 THEN CASE WHEN bad = 0 THEN 'pass' ELSE 'fail' END ELSE 'skipped' END AS status FROM a, k""",
     "anchor_checks": _ANCHORS,
+    "parsed_requests": f"""WITH {_J} SELECT msg_id, array_to_string(list_filter(coalesce(CAST(CASE WHEN json_type(j, '$.query.kinds') = 'ARRAY' THEN json_extract(j, '$.query.kinds') END AS VARCHAR[]), []), lambda k: k IN ('snippet', 'symbol', 'fact', 'doc', 'memory', 'episode', 'graph')), ',') AS kinds,
+coalesce(try_cast(j ->> '$.query.max_frames' AS BIGINT), 8) AS max_frames, coalesce(try_cast(j ->> '$.query.max_tokens' AS BIGINT), 4096) AS max_tokens, CASE WHEN coalesce(trim(j ->> '$.query.goal'), '') = '' THEN 'a goal is required' END AS error FROM j WHERE j ->> '$.type' = 'query'""",
     "included_verification": _PACK + " SELECT g.query_id, CASE WHEN content_digest IS NULL THEN 'unverifiable' ELSE 'verifiable' END AS state, count(*) AS frames FROM g JOIN f ON f.frame_no = g.frame_no WHERE keep GROUP BY ALL",
 }
 SQL["conformance_tally"] = f"SELECT provider_id, count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'fail') AS failed, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'fail') = 0 AS ok FROM ({SQL['conformance_report']}) GROUP BY 1"
+SQL["conformance_documents"] = f"""SELECT provider_id, '{{"target":"' || provider_id || '","checks":[' || string_agg('{{"check":"' || "check" || '","status":"' || status || '"}}', ',' ORDER BY "check") || ']}}' AS document FROM ({SQL['conformance_report']}) GROUP BY provider_id"""

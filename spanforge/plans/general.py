@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.operators import drift, exactly_once, shred
-from spanforge.sources.tables import materialise, table
+from spanforge.sources.tables import materialise, scratch, table
 
 
 def p2_found(spark, sf_dir):
@@ -86,6 +86,19 @@ def p5_found(spark, sf_dir):
     return exactly_once.journal_surplus(table(spark, sf_dir, "journal")).where("surplus").select(F.col("row").alias("delivery_id"))
 
 
+def p5_batches(spark, sf_dir):
+    """As ``p5_found``, the journal coming in three batches by ``batch_no``, each inserted into what the ones before left."""
+    journal, store, out = table(spark, sf_dir, "journal"), scratch(spark, "delivered-store"), None
+    low, high = journal.agg(F.min("batch_no"), F.max("batch_no")).first()
+    edges = [low + (high + 1 - low) * i // 3 for i in range(4)] if low is not None else []
+    for a, b in zip(edges, edges[1:]):
+        part = exactly_once.journal_batch(journal.where((F.col("batch_no") >= a) & (F.col("batch_no") < b)), store)
+        out = part if out is None else out.unionByName(part)
+    rest = exactly_once.journal_batch(journal.where("batch_no IS NULL"), store)
+    out = rest if out is None else out.unionByName(rest)
+    return out.where("surplus").select(F.col("row").alias("delivery_id"))
+
+
 def p5_once(spark, sf_dir):
     journal = table(spark, sf_dir, "journal").select("delivery_id", "received_at", "session", "seq", "effect_id", "last_seq_seen", F.lower(F.trim("event")).alias("event"))
     return exactly_once.deliver_once(journal)
@@ -104,7 +117,7 @@ _IDENTIFIED = "session IS NOT NULL AND (effect_id IS NOT NULL OR seq IS NOT NULL
 _NTH_COPY = f"""row_number() OVER (PARTITION BY {_IDENTIFIED}, session, effect_id, CASE WHEN effect_id IS NULL THEN seq END, CASE WHEN NOT ({_IDENTIFIED}) THEN delivery_id END
 ORDER BY received_at, delivery_id)"""
 
-QUERIES = {"p2_found": p2_found, "p2_lines": p2_lines, "p2_failed_casts": p2_failed_casts, "p3_found": p3_found, "p3_wire_frames": p3_wire_frames, "p3_wire_links": p3_wire_links, "p5_found": p5_found, "p5_once": p5_once}
+QUERIES = {"p2_found": p2_found, "p2_lines": p2_lines, "p2_failed_casts": p2_failed_casts, "p3_found": p3_found, "p3_wire_frames": p3_wire_frames, "p3_wire_links": p3_wire_links, "p5_found": p5_found, "p5_once": p5_once, "p5_batches": p5_batches}
 QUERIES |= {f.__name__: f for f in (p3_wire_frame_members, p3_wire_link_members, p3_frame_links, p3_frame_relations, p3_query_lists, p3_journal_frames)}
 
 SQL = {
@@ -129,6 +142,7 @@ SELECT frame_no, child_pos, p.rel AS rel, p.target_uri AS target_uri, p.display_
     "p3_journal_frames": """WITH j AS (SELECT delivery_id, i - 1 AS frame_pos, frames[i] AS e FROM journal, LATERAL (SELECT unnest(range(1, len(frames) + 1)) AS i))
 SELECT delivery_id, frame_pos, e.frame.provider_id AS provider_id, e.frame.frame_id AS frame_id, e.frame.content_digest AS content_digest, e.representation AS representation, e.token_cost AS token_cost, e.citation_label AS citation_label FROM j""",
     "p5_found": f"SELECT delivery_id FROM (SELECT delivery_id, {_NTH_COPY} AS n FROM journal) WHERE n > 1",
+    "p5_batches": f"SELECT delivery_id FROM (SELECT delivery_id, {_NTH_COPY} AS n FROM journal) WHERE n > 1",
     "p5_once": f"""SELECT delivery_id, received_at, session, seq, effect_id, last_seq_seen, event FROM
 (SELECT delivery_id, received_at, session, seq, effect_id, last_seq_seen, lower(trim(event)) AS event, {_NTH_COPY} AS n FROM journal) WHERE n = 1""",
 }

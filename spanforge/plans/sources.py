@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanforge.functions import expr as X
+from spanforge.functions import vocabulary as V
 from spanforge.operators import audit, compose, ingest, quality, retrieve, symbols
 from spanforge.plans.frames import _BASE, _F, _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
 from spanforge.plans.streams import _BROKEN
@@ -81,11 +82,16 @@ def prompt_costs(spark, d):
 
 
 def tool_results(spark, d):
-    """One JSON document per query: what its prompt holds and what each leg came to. Bounded by the query's budget and providers."""
-    kept = compose.placed(compose.packed(audit.accepted(_offers(spark, d)))).join(_frames(spark, d).select("frame_no", "provider_id", "frame_id", X.citation("citation_label", "title").alias("cite")), "frame_no")
-    frames = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", "provider_id", "frame_id", "cite"))).alias("frames"))
-    legs = audit.legs(_offers(spark, d)).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("provider_id", "outcome"))).alias("legs"))
-    return legs.join(frames, "query_id", "left").select("query_id", F.to_json(F.struct("frames", "legs")).alias("result"))
+    """One JSON document per query: the frames of its prompt with their members and citations, what each leg came to, and the budget. Bounded by the query's budget and providers."""
+    offers = _offers(spark, d)
+    member = _frames(spark, d).select("frame_no", "provider_id", F.col("frame_id").alias("id"), "kind", "title", "content", "uri", "score", "token_cost", X.citation("citation_label", "title").alias("citation_label"), "provenance")
+    kept = compose.placed(compose.packed(audit.accepted(offers))).join(member, "frame_no")
+    frames = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("position", *(c for c in member.columns if c != "frame_no")))).alias("frames"))
+    outcome = F.struct("provider_id", V.outcome_label("outcome").alias("outcome"), "tokens")
+    legs = audit.legs(offers).groupBy("query_id").agg(F.array_sort(F.collect_list(outcome)).alias("legs"))
+    budget = audit.usage(offers).join(offers.groupBy("query_id").agg(F.max("q_tokens").alias("q_tokens")), "query_id")
+    asked = F.struct(F.when(F.col("q_tokens") < retrieve.UNLIMITED, F.col("q_tokens")).alias("budget_requested"), F.col("tokens_consumed").alias("budget_consumed"), "frames_served", "frames_rejected").alias("budget_audit")
+    return legs.join(budget, "query_id").join(frames, "query_id", "left").select("query_id", F.to_json(F.struct("frames", "legs", asked)).alias("result"))
 
 
 def global_budget(spark, d):
@@ -197,6 +203,5 @@ UNION ALL SELECT provider_id, 'kinds', CASE WHEN n = 0 OR NOT (declares OR narro
 UNION ALL SELECT provider_id, 'as_of', CASE WHEN pinned = 0 THEN 'skipped' WHEN early > 0 THEN 'fail' ELSE 'pass' END FROM k""",
     "global_budget": f"""WITH {_O}, l AS (SELECT query_id, provider_id, any_value(q_tokens) AS q_tokens, sum(coalesce(token_cost, 0))::BIGINT AS tokens FROM o WHERE q_tokens < 4611686018427387904 GROUP BY ALL), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id ORDER BY provider_id NULLS FIRST) - 1 AS i FROM l),
 s AS (SELECT query_id, provider_id, tokens, (q_tokens // n + CASE WHEN i < q_tokens % n THEN 1 ELSE 0 END)::BIGINT AS share FROM n) SELECT query_id, provider_id, share, tokens, tokens <= share AS within FROM s""",
-    "composition_checks": "SELECT unnest(['budget', 'partition', 'quarantine']) AS \"check\", 0::BIGINT AS failures",
 }
 

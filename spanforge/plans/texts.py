@@ -37,6 +37,12 @@ def grep_lines(spark, d):
     return scan.grep(_docs(spark, d), ["budget", "provider"])
 
 
+def match_places(spark, d):
+    """Where the texts speak of budgets or providers: by expression, or by walking the lines where that finds nothing."""
+    docs = _docs(spark, d)
+    return scan.matches(scan.lines(docs).where(F.col("line").rlike(r"(?i)budget|provider")), scan.grep(docs, ["budget", "provider"]))
+
+
 def first_lines(spark, d):
     return scan.first_lines(_docs(spark, d))
 
@@ -76,7 +82,7 @@ def record_hashes(spark, d):
     return records.canonical_hashes(table(spark, d, "wire_messages").dropDuplicates(["msg_id"]), "msg_id", "payload")
 
 
-QUERIES = {f.__name__: f for f in (ingest_blocks, ingest_kinds, ingest_artifacts, table_types, grep_lines, first_lines, line_runs, definitions, imports, calls, record_problems, lineage_latest, idempotent_append, record_hashes)}
+QUERIES = {f.__name__: f for f in (ingest_blocks, ingest_kinds, ingest_artifacts, table_types, grep_lines, match_places, first_lines, line_runs, definitions, imports, calls, record_problems, lineage_latest, idempotent_append, record_hashes)}
 
 _LINES = "l AS (SELECT doc_id, i AS line_no, CASE WHEN i < n AND suffix(ls[i], chr(13)) THEN left(ls[i], length(ls[i]) - 1) ELSE ls[i] END AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, n + CASE WHEN ls[n] = '' THEN 0 ELSE 1 END)) AS i))"
 _QUALIFIED = "^\\s*(?:pub\\(crate\\) |pub )?(?:async )?"
@@ -85,6 +91,7 @@ _USE = "(?s)" + _QUALIFIED + "use (.*)$"
 
 SQL = {
     "grep_lines": f"WITH {_LINES} SELECT doc_id, line_no, line FROM l WHERE contains(lower(line), 'budget') OR contains(lower(line), 'provider')",
+    "match_places": f"WITH {_LINES} SELECT doc_id, line_no FROM l WHERE contains(lower(line), 'budget') OR contains(lower(line), 'provider')",
     "first_lines": f"WITH {_LINES} SELECT doc_id, arg_min(line, line_no) AS line, min(line_no) AS line_no FROM l WHERE trim(translate(line, chr(9) || chr(13), '  '), ' ') <> '' GROUP BY doc_id",
     "line_runs": f"WITH {_LINES}, m AS (SELECT *, CASE WHEN lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) = line THEN 0 ELSE 1 END AS new FROM l), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM m) SELECT doc_id, min(line_no) AS line_no, min(line) AS line, count(*) AS repeats FROM r GROUP BY doc_id, run",
     "definitions": f"WITH {_LINES} SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS keyword, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')",

@@ -51,6 +51,46 @@ def test_surplus_with_nulls_ties_and_long_identifiers(spark):
     assert exactly_once.deliver_once(df).count() == len(rows) - len(got)
 
 
+def test_batches_meet_what_came_before(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, f"2026-01-{1 + i // 40:02d} 00:00:{rng.randrange(60):02d}", rng.choice(["a", "b", None, "s" * 5000]), rng.choice([1, 2, 3, None]), rng.choice([None, None, "e", "f"])) for i in range(160)]
+    df = spark.createDataFrame(rows, "delivery_id long, received_at string, session string, seq long, effect_id string").withColumn("received_at", F.to_timestamp("received_at"))
+    whole = {r.row for r in exactly_once.journal_surplus(df).where("surplus").collect()}
+    got = [r.row for i in (0, 40, 80, 120) for r in exactly_once.journal_batch(df.where(f"delivery_id >= {i} AND delivery_id < {i + 40}"), f"{tmp_path}/store").where("surplus").collect()]
+    assert set(got) == whole and len(got) == len(whole) and exactly_once.journal_batch(df.where("false"), f"{tmp_path}/store").count() == 0
+
+
+def test_typed_columns_keep_what_is_absent(spark):
+    rows = [(1, [("u", ("x", 1)), None, (None, None), ("w", (None, 2))]), (2, []), (3, None), (4, [None])]
+    df = spark.createDataFrame(rows, "id long, l array<struct<a:string,b:struct<c:string,d:bigint>>>")
+    got = [tuple(r) for r in shred.typed_elements(df, "id", "l", {"a": "a", "b.c": "c", "b.d": "d"}).orderBy("id", "pos1").collect()]
+    assert got == [(1, 0, "u", "x", 1), (1, 1, None, None, None), (1, 2, None, None, None), (1, 3, "w", None, 2), (4, 0, None, None, None)]
+    leaf = df.select("id", shred.only(F.col("l"), df.schema["l"].dataType, ["[]", "b", "c"]).alias("l"))
+    levels = shred.shred_arrow(leaf.orderBy("id").select("l").toArrow().column(0).combine_chunks(), "[].b.c")
+    assert levels.defn.tolist() == [levels.top, 2, 3, 4, 1, 0, 2] and levels.rep.tolist() == [0, 1, 1, 1, 0, 0, 0]
+    words = spark.createDataFrame([(1, ["x", None]), (2, None)], "id long, l array<string>")
+    assert [tuple(r) for r in shred.typed_elements(words, "id", "l", {"": "value"}).collect()] == [(1, 0, "x"), (1, 1, None)]
+
+
+def test_distinct_values_are_told_at_any_size():
+    rng = random.Random(6)
+    for n, d in ((30, 30), (4000, 4000), (20_000, 20_000), (200_000, 200_000), (200_000, 50), (200_000, 3000), (50_000, 20_000)):
+        slots = drift.Counter(drift._slot("v", str(rng.randrange(10**9) if d == n else i % d), drift.VALUE_SLOTS) for i in range(n))
+        assert 0.8 * d <= drift.distinct(slots) <= 1.25 * d, (n, d, drift.distinct(slots))
+
+
+def test_counted_is_what_the_paths_say():
+    node = {"type": "query", "a": {"type": "x", "b": [1, {"c": None, "d": True}, [{"e": "f"}]]}, "g": None, "h": 1.5}
+    sketch: dict = {}
+    drift._count(node, "", sketch)
+    want: dict = {}
+    for path, kind, value in drift.path_values(node):
+        counts = want.setdefault(path, {}).setdefault(kind, drift.Counter())
+        counts.update(["", *drift.features(value)])
+    assert sketch == want and drift.convert("12.0", "bigint") == 12 and drift.convert(1_700_000_000_000, "timestamp") == drift.convert(1_700_000_000, "timestamp")
+    assert drift.convert(str(2**62 + 1), "bigint") == 2**62 + 1
+
+
 def test_shards_are_even():
     ids = [f"s15:sess_0000000{i % 7:03}{i}".encode() for i in range(20_000)]
     lengths = np.array([len(i) for i in ids], np.int64)
