@@ -364,7 +364,7 @@ def background_counts(table: DataFrame) -> tuple[list[str], Counts]:
     def as_stated(b):
         f = Flat(b.column("ids"))
         lang = np.array([number[s] for s in b.column("stated").to_pylist()], np.int32)[f.doc]
-        return no_class(lang), lang, f.before, f.word
+        return no_class(lang), lang, np.full(len(lang), START), f.word  # words alone tell languages apart
 
     stated = Counts(counted(table, ["stated", "ids"], as_stated, MIN_SEEN))
     to = _one_name(names, stated)
