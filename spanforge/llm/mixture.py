@@ -1,62 +1,93 @@
 """Sources mixed to target shares of the total size.
 
-Method: each source's documents, one after the other, are cut into blocks of ``BLOCK`` tokens. The total is the largest at which every
-source that has documents reaches its share without a block being taken more than ``max_repeats`` times (or a smaller one that is
-asked for). Each output shard of ``SHARD_BLOCKS`` blocks draws its source counts from a multinomial over what is still to be placed:
+Method: each source's documents, one after the other, are cut into blocks of ``BLOCK`` tokens (the last of a source in an input task may
+be shorter). The total is the largest at which every source that has documents reaches its share without a block being taken more than
+``max_repeats`` times (or a smaller one that is asked for). Each output shard of ``SHARD_BLOCKS`` blocks draws its source counts from a multinomial over what is still to be placed:
 the shards are halved again and again, each half drawing from what its parent has, so that shards differ at random, totals come out
-exactly, and a task finds the draws of its shards alone, in steps as many as their number has digits. A source's slots are numbered through all shards; slot j takes, in repetition j div n, the block that a
-pseudorandom permutation of the source's n blocks gives for j mod n, and slots and blocks are joined by (source, block).
+exactly, and a task finds the draws of its shards alone, in steps as many as their number has digits. A source's slots are numbered
+through all shards; slot j takes, in repetition j div n, the block that a pseudorandom permutation of the source's n blocks gives for
+j mod n, and slots and blocks are joined by (source, block).
 
-Scale: token offsets are summed in two steps over hashed sub-blocks, so a source of a third of all documents meets no single task; the
-driver holds one row per source; shards grow in number, not in size, and are drawn and filled with slots in the tasks.
+Scale: blocks are cut where the texts are read, without a shuffle, so a source of a third of all documents meets no single task; the
+blocks taken are shuffled once, to their places. The driver holds one row per source; shards grow in number, not in size, and are
+drawn and filled with slots in the tasks.
 
 Defined cases: sources are compared trimmed and in lower case; documents of null or untargeted sources, and with no tokens, take no
 part; a source without documents gets nothing and is reported, the others keep their proportions; the report names the source that bounds
 the total (``bounds``: no larger mixture keeps all shares within its repeats); a zero ``target_share`` or
-``max_repeats`` takes nothing; a source's last block may be short; repeated documents count each.
+``max_repeats`` takes nothing; repeated documents count each.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.llm import token_ids
-from spanforge.llm.containers import numbered
 from spanforge.sources.tables import materialise
 
 BLOCK, SHARD_BLOCKS, SEED = 256, 256, 17
 
 
 def token_blocks(documents: DataFrame, targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(source, block_no, ids): the tokens of each targeted source in blocks; written to the shared folder."""
+    """(source, block_no, ids): the tokens of each targeted source in blocks; written to the shared folder.
+
+    Each task cuts what it reads; blocks are numbered through all tasks by one row per task and source.
+    """
     name = F.lower(F.trim("source"))
     wanted = targets.select(name.alias("source")).where("source is not null").distinct()
-    own = documents.select("doc_id", name.alias("source"), "text").join(wanted, "source")
-    sized = materialise(_encoded(own).where("size(ids) > 0"), "mixture-ids")
-    placed = numbered(sized, ["source"], "doc_id", F.size("ids"), "start", blocks=1024)
-    pieces = placed.withColumn("block_no", F.explode(F.expr(f"sequence(start div {block}, (start + size(ids) - 1) div {block})"))).select(
-        "source",
-        "block_no",
-        F.greatest("start", F.col("block_no") * block).alias("at"),
-        F.expr(f"slice(ids, cast(greatest(block_no * {block} - start, 0) + 1 as int), cast(least(start + size(ids), (block_no + 1) * {block}) - greatest(start, block_no * {block}) as int))").alias("piece"),
-    )
-    whole = pieces.groupBy("source", "block_no").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p")).select("source", "block_no", F.flatten("p.piece").alias("ids"))
-    return materialise(whole, "mixture-blocks")
-
-
-def _encoded(own: DataFrame) -> DataFrame:
+    own = documents.select(name.alias("source"), "text").join(F.broadcast(wanted), "source")  # a row per target, which the driver holds too
+    cut = materialise(_cut(own, block), "mixture-blocks")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    made = cut.groupBy("source", "part").agg(F.count("*").alias("n"))
+    starts = made.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return cut.join(starts, ["source", "part"]).select("source", (F.col("start") + F.col("at")).alias("block_no"), "ids")
+
+
+def _cut(own: DataFrame, block: int) -> DataFrame:
     make = token_ids.compile_encoder(own)
 
     def run(batches):
-        encoder = make()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), encoder.batch(b.column("text").to_pylist())], names=["doc_id", "source", "ids"])
+        encoder, part = make(), TaskContext.get().partitionId()
+        held: dict[str, np.ndarray] = {}
+        made: dict[str, int] = {}
+
+        def out(cuts: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
+            """Of each source's tokens as many blocks as they have, the last one as it is."""
+            source, at, sizes = [], [], []
+            for name, ids in cuts:
+                n = -(-len(ids) // block)
+                first = made.get(name, 0)
+                made[name] = first + n
+                source += [name] * n
+                at.append(np.arange(first, first + n))
+                sizes.append(np.minimum(block, len(ids) - block * np.arange(n)))
+            flat = np.concatenate([ids for _, ids in cuts]) if cuts else np.zeros(0, np.int32)
+            offsets = np.concatenate([[0], *map(np.asarray, sizes)]).cumsum().astype(np.int32)
+            numbers = np.concatenate(at) if at else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(np.full(len(source), part, np.int32)), pa.array(numbers.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["source", "part", "at", "ids"])
 
-    return own.mapInArrow(run, "doc_id long, source string, ids array<int>")
+        for b in batches:
+            ids = encoder.batch(b.column("text").to_pylist())
+            values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+            rows: dict[str, list[np.ndarray]] = {}
+            for i, name in enumerate(b.column("source").to_pylist()):
+                if offsets[i + 1] > offsets[i]:
+                    rows.setdefault(name, []).append(values[offsets[i] : offsets[i + 1]])
+            cuts = []
+            for name, pieces in rows.items():
+                tokens = np.concatenate([held.get(name, values[:0]), *pieces])
+                whole = len(tokens) // block * block
+                held[name] = tokens[whole:].copy()
+                cuts.append((name, tokens[:whole]))
+            yield out(cuts)
+        yield out([(name, tokens) for name, tokens in held.items() if len(tokens)])
+
+    return own.mapInArrow(run, "source string, part int, at long, ids array<int>")
 
 
 def bound(tokens: dict[str, int], shares: dict[str, float], repeats: dict[str, int]) -> tuple[str | None, float]:
