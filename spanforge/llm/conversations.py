@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from spanforge.sources.tables import scratch, stream_parquet
 
-BLOCK, SHARDS, ROWS_PER_SHARD, BATCHES = 512, 4096, 3000, 6
+BLOCK, SHARDS, ROWS_PER_SHARD, BATCHES = 512, 4096, 3000, 4
 DAY_MS = 24 * 3600 * 1000
 LATENESS, TIMEOUT_MS = "7 days", 14 * DAY_MS
 #: a record is emitted no earlier than the watermark of its batch, so the second watermark, kept a day further back, passes none
