@@ -134,6 +134,12 @@ def first_supported(preferences, supported) -> Column:
     return F.try_element_at(F.filter(prefs, lambda p: F.coalesce(F.array_contains(sup, p), F.lit(False))), F.lit(1))
 
 
+def representations_consistent(representations, resolve) -> Column:
+    """A provider that cannot resolve must not offer what needs resolving."""
+    needs = F.coalesce(F.arrays_overlap(_c(representations), F.array(F.lit("compact"), F.lit("reference"))), F.lit(False))
+    return F.coalesce(_c(resolve), F.lit(False)) | ~needs
+
+
 def representation_problem(representation, content, content_digest, content_ref) -> Column:
     """The first broken rule of a frame's representation, or null."""
     r = F.coalesce(_c(representation), F.lit("full"))

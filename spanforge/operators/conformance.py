@@ -167,7 +167,7 @@ def host_scenarios(spark: SparkSession, composer=compose.audit) -> DataFrame:
     registry.register("raises", lambda s, q: 1 / 0)
     registry.register("breaks", lambda s, q: q.select("query_id", F.lit("b").alias("frame_id"), F.raise_error(F.lit("no")).cast("string").alias("content")))
     served, legs = registry.ask_all(probe_query(spark), none.withColumn("scope", F.lit("")), none)
-    three = honest_frames(spark, [("a", f"f{i}", 400, 0.9 - i / 10) for i in range(3)], 1000)
+    three = honest_frames(spark, [("a", x, 400, 0.9 - i / 10) for i, x in enumerate("xyz")], 1000)
     flood = honest_frames(spark, [("loud", f"l{i}", 1, 0.9) for i in range(9)] + [("calm", "c", 5, 0.1)], 1000)
     accepted = audit.accepted(flood)
     fates = composer(four)

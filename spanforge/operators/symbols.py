@@ -25,7 +25,7 @@ def symbol_frames(documents: DataFrame) -> DataFrame:
     """One frame per definition: (doc_id, frame_id, title, content, score, target_uri)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     found = scan.definitions(documents).withColumn("rank", F.row_number().over(w) - 1)
-    return found.select("doc_id", "line_no", F.concat(F.lit("sym:"), F.col("doc_id").cast("string"), F.lit("#"), "name").alias("frame_id"), F.concat_ws(" ", "keyword", "name").alias("title"), F.trim("line").alias("content"), decayed(F.col("rank"), SYMBOL).alias("score"), F.concat(F.lit("symbol://"), F.col("doc_id").cast("string"), F.lit("#"), "name").alias("target_uri"))
+    return found.select("doc_id", "line_no", F.concat(F.lit("sym:"), F.col("doc_id").cast("string"), F.lit("#"), "name").alias("frame_id"), F.concat_ws(" ", "keyword", "name").alias("title"), F.trim("line").alias("content"), decayed(F.col("rank"), SYMBOL).alias("score"), symbol_uri(F.col("doc_id").cast("string"), F.col("name")).alias("target_uri"))
 
 
 def graph_summaries(documents: DataFrame) -> DataFrame:
@@ -36,6 +36,18 @@ def graph_summaries(documents: DataFrame) -> DataFrame:
     return parts.select("doc_id", text.alias("summary"))
 
 
+def symbol_uri(path: Column, name) -> Column:
+    return F.concat(F.lit("symbol://"), path, F.lit("#"), name)
+
+
+def graph_edges(documents: DataFrame) -> DataFrame:
+    """(doc_id, rel, target_uri, display_name): the edges of each text to what it defines, imports and calls."""
+    path = F.col("doc_id").cast("string")
+    edge = lambda df, rel, target: df.select("doc_id", F.lit(rel).alias("rel"), target.alias("target_uri"), F.col("name").alias("display_name"))
+    own = symbol_uri(path, F.col("name"))
+    return edge(scan.definitions(documents), "code.defines", own).unionByName(edge(scan.imports(documents), "code.imports", F.concat(F.lit("symbol://"), "name"))).unionByName(edge(scan.calls(documents), "code.calls", own))
+
+
 def grep_frames(documents: DataFrame, terms: list[str]) -> DataFrame:
     """A snippet frame per matching line, by document and line; where nothing matches anywhere, the first line of every text."""
     hits = scan.grep(documents, terms)

@@ -70,7 +70,7 @@ def provenance_digests(spark, d):
 
 def relation_edges(spark, d):
     edges = _frames(spark, d).select("frame_no", "uri", F.posexplode("relations").alias("pos", "r")).where("r IS NOT NULL")
-    return edges.select("frame_no", "uri", F.col("pos").cast("long").alias("pos"), F.col("r.rel").alias("rel"), F.col("r.target_uri").alias("target_uri"), (~X.is_blank("r.display_name")).alias("named"), F.coalesce(F.col("r.rel").isin(X.RELATIONS), F.lit(False)).alias("recommended"))
+    return edges.select("frame_no", "uri", F.col("pos").cast("long").alias("pos"), F.col("r.rel").alias("rel"), F.col("r.target_uri").alias("target_uri"), (~X.is_blank("r.display_name")).alias("named"), (~X.is_blank("r.target_uri")).alias("targeted"), F.coalesce(F.col("r.rel").isin(X.RELATIONS), F.lit(False)).alias("recommended"))
 
 
 def provider_scopes(spark, d):
@@ -89,6 +89,12 @@ def representation_choice(spark, d):
     return offers.join(q, "query_id").join(_providers(spark, d), "provider_id").select("query_id", "provider_id", X.first_supported("representation_preferences", "representations").alias("chosen"))
 
 
+def provider_representations(spark, d):
+    """What each provider offers, and whether it can keep to it: compact and reference need a provider that resolves."""
+    offered = F.when(F.coalesce(F.size("representations"), F.lit(0)) <= 0, F.array(F.lit("full"))).otherwise(F.col("representations"))
+    return _providers(spark, d).select("provider_id", F.array_join(offered, ",").alias("offered"), X.representations_consistent("representations", "resolve").alias("consistent"))
+
+
 def embedding_dimension_check(spark, d):
     p = _providers(spark, d).select("provider_id", X.fingerprint_dimensions("embeddings_fingerprint").alias("dim")).where("dim IS NOT NULL")
     sizes = table(spark, d, "embeddings").groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("vectors"))
@@ -260,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         frame_costs, frame_digests, frame_instants, journal_instants, frame_scores, frame_citations, frame_fences, frame_representation, frame_uris, provenance_digests,
-        relation_edges, provider_scopes, provider_fingerprints, representation_choice, embedding_dimension_check, kinds_filter, as_of_filter, anchor_rank, lexical_relevance,
+        relation_edges, provider_scopes, provider_fingerprints, representation_choice, provider_representations, embedding_dimension_check, kinds_filter, as_of_filter, anchor_rank, lexical_relevance,
         three_key_rank, retrieve_prefix_budget, retrieve_greedy_budget, frame_cap, provider_prune, budget_split, leg_audit, accepted_frames, usage_report, usage_consistency,
         dishonest_costs, consent_gate, attribution_share, dedup_identity, dedup_leader, compose_pack, edge_placement, render_prompt, composition_audit, composition_totals,
         served_digests, verify_verdicts, verify_outcomes, neighbors_two_hops,
@@ -326,10 +332,11 @@ WHEN representation = 'reference' AND content IS NOT NULL THEN 'reference with c
 WHEN representation = 'reference' AND content_digest IS NOT NULL THEN 'reference with content digest' END AS problem FROM f""",
     "frame_uris": f"WITH {_F} SELECT frame_no, {_BASE} AS base, 'frm_mcp_' || regexp_replace({_BASE}, '[^A-Za-z0-9]', '_', 'g') AS derived_id FROM f",
     "provenance_digests": f"WITH {_F}, b AS (SELECT frame_no, list_filter(list_transform(coalesce(provenance, []), lambda p, i: CASE WHEN p.type = 'file' AND coalesce(NOT regexp_matches(p.digest, '{_DIGEST}'), true) THEN i - 1 END), lambda i: i IS NOT NULL) AS bad FROM f) SELECT frame_no, array_to_string(bad, ',') AS links, len(bad) AS n FROM b",
-    "relation_edges": f"WITH {_F}, e AS (SELECT frame_no, uri, i - 1 AS pos, relations[i] AS r FROM f, LATERAL (SELECT unnest(range(1, len(relations) + 1)) AS i)) SELECT frame_no, uri, pos, r.rel AS rel, r.target_uri AS target_uri, NOT ({_BLANK.format('r.display_name')}) AS named, coalesce(r.rel IN ('code.calls', 'code.imports', 'code.defines', 'code.references', 'doc.documents', 'episode.follows'), false) AS recommended FROM e WHERE r IS NOT NULL",
+    "relation_edges": f"WITH {_F}, e AS (SELECT frame_no, uri, i - 1 AS pos, relations[i] AS r FROM f, LATERAL (SELECT unnest(range(1, len(relations) + 1)) AS i)) SELECT frame_no, uri, pos, r.rel AS rel, r.target_uri AS target_uri, NOT ({_BLANK.format('r.display_name')}) AS named, NOT ({_BLANK.format('r.target_uri')}) AS targeted, coalesce(r.rel IN ('code.calls', 'code.imports', 'code.defines', 'code.references', 'doc.documents', 'episode.follows'), false) AS recommended FROM e WHERE r IS NOT NULL",
     "provider_scopes": f"WITH {_P} SELECT provider_id, array_to_string({_OFF}, ',') AS off_machine, len(list_filter(coalesce(egress_scopes, []), lambda s: NOT coalesce(s IN ('local-only', 'org-tenant', 'third-party-index', 'third-party-model') OR {_CUSTOM}, false))) = 0 AND (len({_OFF}) = 0 OR coalesce(egress, false)) AS consistent, coalesce(egress, false) OR len({_OFF}) > 0 AS needs_consent FROM p",
     "provider_fingerprints": f"WITH {_P} SELECT provider_id, try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dimensions, coalesce(embeddings_fingerprint, '') <> '' AS declared, string_split(version, '.')[1] = '1' AS same_family FROM p",
     "representation_choice": f"WITH {_F}, {_P}, {_Q}, x AS (SELECT DISTINCT query_id, provider_id FROM f) SELECT query_id, provider_id, list_filter(CASE WHEN coalesce(len(representation_preferences), 0) = 0 THEN ['full'] ELSE representation_preferences END, lambda r: coalesce(list_contains(CASE WHEN coalesce(len(representations), 0) = 0 THEN ['full'] ELSE representations END, r), false))[1] AS chosen FROM x JOIN q USING (query_id) JOIN p USING (provider_id)",
+    "provider_representations": f"WITH {_P} SELECT provider_id, array_to_string(CASE WHEN coalesce(len(representations), 0) = 0 THEN ['full'] ELSE representations END, ',') AS offered, coalesce(resolve, false) OR NOT coalesce(list_has_any(representations, ['compact', 'reference']), false) AS consistent FROM p",
     "embedding_dimension_check": f"WITH {_P}, a AS (SELECT try_cast(string_split(embeddings_fingerprint, '/')[2] AS INT) AS dim, count(*) AS providers FROM p GROUP BY ALL), b AS (SELECT len(embedding)::INT AS size, count(*) AS vectors FROM embeddings GROUP BY ALL) SELECT coalesce(dim, size) AS dim, providers, vectors FROM (SELECT * FROM a WHERE dim IS NOT NULL) FULL JOIN b ON dim = size",
     "kinds_filter": f"WITH {_O} SELECT query_id, frame_no, kind FROM o WHERE {_KIND}",
     "as_of_filter": f"WITH {_O} SELECT query_id, frame_no, valid_from FROM o WHERE {_AS_OF}",

@@ -77,7 +77,7 @@ def normalised_frames(spark, d):
 
 
 def neighbors_by_relation(spark, d):
-    """Frames at most two steps from each query's anchors over two relations only, within the query's budget."""
+    """Frames at most two steps from each query's anchors over two relations only."""
     q = table(spark, d, "queries").dropDuplicates(["query_id"])
     starts = q.select("query_id", F.explode(F.array_distinct("anchors")).alias("uri")).where("uri IS NOT NULL")
     return retrieve.neighbors(_frames(spark, d), starts, 2, ["code.calls", "doc.documents"]).select("query_id", "frame_no", "hops")

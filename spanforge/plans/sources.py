@@ -63,6 +63,10 @@ def graph_summaries(spark, d):
     return symbols.graph_summaries(table(spark, d, "documents"))
 
 
+def graph_edges(spark, d):
+    return symbols.graph_edges(table(spark, d, "documents"))
+
+
 def grep_frames(spark, d):
     """What a grep provider finds in the texts for the words of the first query."""
     first = table(spark, d, "queries").where("query_id IS NOT NULL").orderBy("query_id").limit(1).select(X.grep_terms("query_text", "goal")).first()
@@ -153,7 +157,7 @@ def composition_checks(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        envelope_types, envelope_queries, envelope_unknown_members, correlation_echo, file_uris, provenance_check, symbol_frames, graph_summaries, grep_frames, resource_frames, prompt_costs,
+        envelope_types, envelope_queries, envelope_unknown_members, correlation_echo, file_uris, provenance_check, symbol_frames, graph_summaries, graph_edges, grep_frames, resource_frames, prompt_costs,
         tool_results, global_budget, served_representations, provider_checks, composition_checks,
     )
 }
@@ -172,6 +176,10 @@ FROM u WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') LIKE '{{%}}'""",
     "grep_frames": f"""WITH {_LINES}, q1 AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(query_text, goal), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), lambda w: lower(w)))) AS ts FROM queries WHERE query_id IS NOT NULL ORDER BY query_id LIMIT 1),
 h AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l, q1 WHERE len(list_filter(ts, lambda t: contains(lower(line), t))) > 0 AND trim(line, ' ') <> '')
 SELECT doc_id, line_no, trim(line, ' ') AS content, least(greatest((0.95::FLOAT - 0.03::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, ((strlen(trim(line, ' ')) + 3) // 4)::BIGINT AS token_cost FROM h""",
+    "graph_edges": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS kw, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')),
+im AS (SELECT doc_id, trim(rtrim(trim(regexp_extract(line, '{_USE}', 1), ' ' || chr(9)), ';'), ' ' || chr(9)) AS name FROM l WHERE regexp_matches(line, '{_USE}'))
+SELECT doc_id, 'code.defines' AS rel, 'symbol://' || doc_id || '#' || name AS target_uri, name AS display_name FROM df UNION ALL SELECT doc_id, 'code.imports', 'symbol://' || name, name FROM im WHERE name <> ''
+UNION ALL SELECT DISTINCT df.doc_id, 'code.calls', 'symbol://' || df.doc_id || '#' || df.name, df.name FROM df JOIN l ON l.doc_id = df.doc_id AND contains(l.line, df.name || '(') WHERE kw = 'fn' AND l.line_no <> df.line_no""",
     "graph_summaries": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS kw, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')),
 im AS (SELECT doc_id, line_no, trim(rtrim(trim(regexp_extract(line, '{_USE}', 1), ' ' || chr(9)), ';'), ' ' || chr(9)) AS name FROM l WHERE regexp_matches(line, '{_USE}')),
 ca AS (SELECT df.doc_id, df.name, min(df.line_no) AS line_no FROM df JOIN l ON l.doc_id = df.doc_id AND contains(l.line, df.name || '(') WHERE kw = 'fn' AND l.line_no <> df.line_no GROUP BY ALL),
