@@ -41,8 +41,9 @@ def consent(providers: DataFrame, receipts: DataFrame, records: DataFrame | None
     looked at); where only ``egress`` is, a consent record that holds (see ``latest_records``), else ``needs_consent``; others are local.
     """
     held = records if records is not None else providers.sparkSession.createDataFrame([], "provider_id string")
+    egress = F.coalesce("egress", F.lit(False)) if "egress" in providers.columns else F.lit(False)
     agreed = held.where("provider_id IS NOT NULL").select("provider_id", F.lit(True).alias("agreed")).distinct()
-    gaps = missing_receipts(providers, receipts).join(providers.select("provider_id", F.size(X.off_machine("egress_scopes")).alias("n_off"), F.coalesce("egress", F.lit(False)).alias("egress")), "provider_id").join(agreed, "provider_id", "left")
+    gaps = missing_receipts(providers, receipts).join(providers.select("provider_id", F.size(X.off_machine("egress_scopes")).alias("n_off"), egress.alias("egress")), "provider_id").join(agreed, "provider_id", "left")
     decision = F.when(F.col("n_off") > 0, F.when(F.size("missing") > 0, "needs_receipts").otherwise("permitted")).when(F.col("egress") & F.col("agreed").isNull(), "needs_consent").otherwise("permitted")
     return gaps.select("provider_id", decision.alias("decision"), "missing")
 

@@ -2,8 +2,8 @@
 
 Frames of one query are duplicates if they share a digest or cite the same file region. The scan that finds them takes frames in identity
 order and keeps the best of each cluster, which depends on that order; it runs inside connected components of the evidence graph,
-whose edges are stars (each frame to the least frame with its key), never all pairs. Components come from min-label rounds, cut by
-checkpoints; a component is scanned as a sorted stream.
+whose edges are stars (each frame to the least frame with its key), never all pairs. Components come from what each task can join by
+itself and min-label rounds over the rest; a component is scanned as a sorted stream.
 """
 
 from __future__ import annotations
@@ -37,20 +37,56 @@ def evidence_keys(offers: DataFrame) -> DataFrame:
     return digest.unionByName(region).distinct()
 
 
-def components(keys: DataFrame) -> DataFrame:
-    """(query_id, frame_no, component) of all frames that share a key with another, by min-label rounds with pointer jumping, until none changes."""
+def _least(batches):
+    """The nodes of a task's edges (query_id, a, b), each with the least node it hangs together with by them."""
+    parent: dict[tuple[int, int], int] = {}
+
+    def root(q: int, x: int) -> int:
+        top = x
+        while (up := parent.get((q, top), top)) != top:
+            top = up
+        while (up := parent.get((q, x), x)) != top:
+            parent[q, x], x = top, up
+        return top
+
+    for b in batches:
+        for q, x, y in zip(*(b.column(c).to_pylist() for c in ("query_id", "a", "b"))):
+            x, y = root(q, x), root(q, y)
+            parent.setdefault((q, x), x)
+            parent.setdefault((q, y), y)
+            parent[q, max(x, y)] = min(x, y)
+    nodes = list(parent)
+    columns = ([q for q, _ in nodes], [x for _, x in nodes], [root(q, x) for q, x in nodes])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "a", "b"])
+
+
+def components(keys: DataFrame, parts: int = 16) -> DataFrame:
+    """(query_id, frame_no, component) of all frames that share a key with another.
+
+    Each task first joins what hangs together by its own edges (a query's edges lie in up to ``parts`` tasks, so that a hot query
+    meets no single one); then min-label rounds with pointer jumping over what is left, only of labels that still change, until none does.
+    """
     w = Window.partitionBy("query_id", "key")
     stars = keys.withColumn("hub", F.min("frame_no").over(w)).where("hub <> frame_no").select("query_id", F.col("frame_no").alias("a"), F.col("hub").alias("b")).distinct()
-    edges = materialise(stars.unionByName(stars.select("query_id", F.col("b").alias("a"), F.col("a").alias("b"))), "evidence-edges")
-    label = materialise(edges.groupBy("query_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "frame_no"), "labels")
+    spread = stars.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(parts))).repartition("query_id", "_part").select("query_id", "a", "b")
+    near = materialise(spread.mapInArrow(_least, "query_id long, a long, b long"), "evidence-near")
+    # a node that lies in several tasks ties their roots together; all others have their label but for what its root becomes
+    tied = near.groupBy("query_id", "a").agg(F.min("b").alias("low"), F.collect_set("b").alias("roots")).where("size(roots) > 1")
+    edges = materialise(tied.select("query_id", "low", F.explode("roots").alias("b")).where("low <> b").distinct(), "evidence-ties")
+    both = edges.select("query_id", F.col("b").alias("a"), F.col("low").alias("b")).unionByName(edges.select("query_id", F.col("low").alias("a"), "b")).distinct()
+    label = both.groupBy("query_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
+    label = materialise(label, "labels")
     while True:
-        near = edges.join(label.select("query_id", F.col("frame_no").alias("b"), F.col("component").alias("c")), ["query_id", "b"]).groupBy("query_id", F.col("a").alias("frame_no")).agg(F.min("c").alias("c"))
-        lower = label.join(near, ["query_id", "frame_no"]).select("query_id", "frame_no", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        jump = lower.select("query_id", F.col("frame_no").alias("component"), F.col("component").alias("further"))
-        new = materialise(lower.join(jump, ["query_id", "component"], "left").select("query_id", "frame_no", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
+        seen = both.join(label.select("query_id", F.col("a").alias("b"), F.col("to").alias("c")), ["query_id", "b"]).groupBy("query_id", "a").agg(F.min("c").alias("c"))
+        lower = label.join(seen, ["query_id", "a"]).select("query_id", "a", F.col("to").alias("old"), F.least("to", "c").alias("to"))
+        jump = lower.select("query_id", F.col("a").alias("to"), F.col("to").alias("further"))
+        new = materialise(lower.join(jump, ["query_id", "to"], "left").select("query_id", "a", "old", F.least("to", F.coalesce("further", "to")).alias("to")), "labels")
         label = new.drop("old")
-        if new.where("old <> component").isEmpty():
-            return label
+        if new.where("old <> to").isEmpty():
+            break
+    own = near.groupBy("query_id", "a").agg(F.min("b").alias("b"))
+    found = own.join(label.withColumnsRenamed({"a": "b"}), ["query_id", "b"], "left")
+    return found.select("query_id", F.col("a").alias("frame_no"), F.coalesce("to", "b").alias("component"))
 
 
 def leaders(offers: DataFrame) -> DataFrame:

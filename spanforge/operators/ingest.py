@@ -250,7 +250,13 @@ def instant(line: str) -> str | None:
 
 
 def blocks(text: str | None):
-    """(block, kind, first_line, lines, digest, tokens, compact, compact_tokens, valid_from, valid_to, columns, content) of each block."""
+    """(block, kind, first_line, lines, digest, tokens, compact, compact_tokens, valid_from, valid_to, columns) of each block."""
+    for *row, _ in whole_blocks(text):
+        yield tuple(row)
+
+
+def whole_blocks(text: str | None):
+    """As ``blocks``, with each block's own text at the end."""
     for n, (fenced, start, lines) in enumerate(split_blocks(text)):
         kind, full = classify(fenced, lines), "\n".join(lines)
         short = COMPACT[kind](lines) if kind in COMPACT and tokens(full) > COMPACT_OVER else None
@@ -275,7 +281,7 @@ def ingest(documents: DataFrame, key: str = "doc_id", with_content: bool = False
 
     def run(batches):
         for b in batches:
-            rows = [(i, *row) for i, text in enumerate(b.column(1).to_pylist()) for row in blocks(text)]
+            rows = [(i, *row) for i, text in enumerate(b.column(1).to_pylist()) for row in whole_blocks(text)]
             got = list(zip(*rows)) if rows else [[]] * 13
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(got[0], pa.int64())), *(pa.array(g, k) for g, k in zip(got[1 : len(names) + 1], kinds))], names=[key, *names])
 

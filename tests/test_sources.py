@@ -55,7 +55,7 @@ def test_line_ranges_and_digests(spark):
 def test_symbols(spark):
     code = "use std::io;\npub fn alpha(x: u8) {}\nasync fn beta() { alpha(1); }\nstruct Gamma;\n"
     df = spark.createDataFrame([(1, code), (2, None), (3, "prose")], "doc_id long, text string")
-    assert symbols.graph_summaries(df).collect() == [(1, "defines Gamma, alpha, beta; imports std::io; calls alpha")]
+    assert symbols.graph_summaries(df).collect() == [(1, "defines alpha, beta, Gamma; imports std::io; calls alpha")]
     got = symbols.symbol_frames(df).orderBy("line_no").collect()
     assert [(r.title, round(r.score, 2)) for r in got] == [("fn alpha", 0.9), ("fn beta", 0.88), ("struct Gamma", 0.86)]
     assert symbols.grep_frames(df, ["ALPHA"]).count() == 2 and symbols.grep_frames(df, ["nothing"]).count() == 2
