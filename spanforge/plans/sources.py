@@ -9,7 +9,7 @@ from spanforge.functions import vocabulary as V
 from spanforge.operators import audit, compose, ingest, quality, retrieve, symbols
 from spanforge.plans.frames import _BASE, _F, _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
 from spanforge.plans.streams import _BROKEN
-from spanforge.plans.texts import _DEF, _LINES, _USE
+from spanforge.plans.texts import _BLOCKS, _DEF, _LINES, _USE
 from spanforge.sources import files, ndjson
 from spanforge.sources.tables import materialise, table
 
@@ -176,6 +176,7 @@ FROM u WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') LIKE '{{%}}'""",
     "grep_frames": f"""WITH {_LINES}, q1 AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(query_text, goal), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), lambda w: lower(w)))) AS ts FROM queries WHERE query_id IS NOT NULL ORDER BY query_id LIMIT 1),
 h AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l, q1 WHERE len(list_filter(ts, lambda t: contains(lower(line), t))) > 0 AND trim(line, ' ') <> '')
 SELECT doc_id, line_no, trim(line, ' ') AS content, least(greatest((0.95::FLOAT - 0.03::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, ((strlen(trim(line, ' ')) + 3) // 4)::BIGINT AS token_cost FROM h""",
+    "served_representations": _BLOCKS + "SELECT kind, sum(tokens)::BIGINT AS \"full\", sum(coalesce(compact_tokens, tokens))::BIGINT AS compact, 0::BIGINT AS reference, count(compact) AS shortened FROM bk WHERE kind <> 'path' GROUP BY kind",
     "graph_edges": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS kw, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')),
 im AS (SELECT doc_id, trim(rtrim(trim(regexp_extract(line, '{_USE}', 1), ' ' || chr(9)), ';'), ' ' || chr(9)) AS name FROM l WHERE regexp_matches(line, '{_USE}'))
 SELECT doc_id, 'code.defines' AS rel, 'symbol://' || doc_id || '#' || name AS target_uri, name AS display_name FROM df UNION ALL SELECT doc_id, 'code.imports', 'symbol://' || name, name FROM im WHERE name <> ''
