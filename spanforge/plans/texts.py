@@ -184,8 +184,8 @@ m4 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, g ORDER BY i) - 1 AS rw
 hd AS (SELECT doc_id, g, cs AS head FROM m4 WHERE rw = 0), dr AS (SELECT doc_id, g, count(*) AS n, string_agg(list_aggregate(cs, 'string_agg', ' | '), chr(10) ORDER BY rw) FILTER (rw <= 5) AS sample FROM m4 WHERE rw > 0 GROUP BY doc_id, g),
 cl AS (SELECT hd.doc_id, hd.g, p, hd.head[p] AS name, m4.rw AS rw, coalesce(m4.cs[p], '') AS c FROM hd, LATERAL (SELECT unnest(range(1, len(hd.head) + 1)) AS p) LEFT JOIN m4 ON m4.doc_id = hd.doc_id AND m4.g = hd.g AND m4.rw > 0),
 cv AS (SELECT *, rw IS NOT NULL AND lower(c) NOT IN ('', 'null', 'nil', 'none', 'n/a', 'na', 'nan', '-', '—') AS has, CASE WHEN starts_with(c, '(') AND suffix(c, ')') THEN c[2:length(c) - 1] ELSE c END AS bare FROM cl),
-ct AS (SELECT doc_id, g, p, any_value(name) AS name, CASE WHEN count(*) FILTER (has) = 0 THEN 'empty' ELSE CASE WHEN {_is("suffix(c, '%') AND regexp_matches(c, '^" + _NUMBER_RE + "(?:\\\\.[0-9]+)?" + _WS + "*%$')")} THEN 'percent' WHEN {_is("regexp_matches(bare, '" + _MONEY_RE + "')")} THEN 'currency' WHEN {_is("regexp_matches(c, '^" + _NUMBER_RE + "$')")} THEN 'int'
-WHEN {_is("regexp_matches(c, '^" + _NUMBER_RE + "(?:\\\\.[0-9]+)?$')")} THEN 'float' WHEN {_is("lower(c) IN ('true', 'false')")} THEN 'bool' WHEN {_is("length(c) >= 8 AND regexp_matches(c, '^[0-9]{4}-')")} THEN 'timestamp' ELSE 'text' END || CASE WHEN count(*) FILTER (has) < count(rw) THEN '?' ELSE '' END END AS type FROM cv GROUP BY doc_id, g, p),
+ct AS (SELECT doc_id, g, p, any_value(name) AS name, CASE WHEN count(*) FILTER (has) = 0 THEN 'empty' ELSE CASE WHEN {_is("suffix(c, '%') AND regexp_matches(c, '^" + _NUMBER_RE + "(?:\\.[0-9]+)?" + _WS + "*%$')")} THEN 'percent' WHEN {_is("regexp_matches(bare, '" + _MONEY_RE + "')")} THEN 'currency' WHEN {_is("regexp_matches(c, '^" + _NUMBER_RE + "$')")} THEN 'int'
+WHEN {_is("regexp_matches(c, '^" + _NUMBER_RE + "(?:\\.[0-9]+)?$')")} THEN 'float' WHEN {_is("lower(c) IN ('true', 'false')")} THEN 'bool' WHEN {_is("length(c) >= 8 AND regexp_matches(c, '^[0-9]{4}-')")} THEN 'timestamp' ELSE 'text' END || CASE WHEN count(*) FILTER (has) < count(rw) THEN '?' ELSE '' END END AS type FROM cv GROUP BY doc_id, g, p),
 cc AS (SELECT doc_id, g, string_agg(name || ' (' || type || ')', ', ' ORDER BY p) AS told, list(name || ':' || type ORDER BY p) AS columns FROM ct GROUP BY doc_id, g),
 tables AS (SELECT hd.doc_id, hd.g, columns, '[' || coalesce(n, 0) || ' rows × ' || len(head) || ' columns]' || chr(10) || 'columns: ' || told || chr(10) || 'sample:' || chr(10) || list_aggregate(head, 'string_agg', ' | ') || coalesce(chr(10) || sample, '') || CASE WHEN n > 5 THEN chr(10) || '… (' || (n - 5) || ' more rows)' ELSE '' END AS short FROM hd JOIN cc USING (doc_id, g) LEFT JOIN dr USING (doc_id, g)),
 ends AS (SELECT doc_id, g, {_instant("first(line ORDER BY i)")} AS a, {_instant("last(line ORDER BY i)")} AS z FROM x WHERE kind IN ('log', 'trace') GROUP BY doc_id, g),

@@ -53,10 +53,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_file(spark: SparkSession, label: str, content: bytes) -> str:
-    """Put ``content`` into the shared folder and have each executor fetch it once; gives the name for ``SparkFiles.get``."""
-    name = f"{label}-{uuid.uuid4().hex}.bin"
-    uri = f"{_own_dir(spark)}/files/{name}"
+def write_file(spark: SparkSession, uri: str, content: bytes) -> str:
+    """Write a file wherever Spark can; gives its whole address."""
     path = spark._jvm.org.apache.hadoop.fs.Path(uri)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(path, True)
@@ -66,7 +64,21 @@ def ship_file(spark: SparkSession, label: str, content: bytes) -> str:
             out.write(content[at : at + step])
     finally:
         out.close()
-    spark.sparkContext.addFile(fs.makeQualified(path).toString())
+    return fs.makeQualified(path).toString()
+
+
+def read_file(spark: SparkSession, uri: str) -> bytes | None:
+    """The content of a file wherever Spark can read it, or None where there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return bytes(spark.read.format("binaryFile").load(uri).select("content").first()[0])
+
+
+def ship_file(spark: SparkSession, label: str, content: bytes) -> str:
+    """Put ``content`` into the shared folder and have each executor fetch it once; gives the name for ``SparkFiles.get``."""
+    name = f"{label}-{uuid.uuid4().hex}.bin"
+    spark.sparkContext.addFile(write_file(spark, f"{_own_dir(spark)}/files/{name}", content))
     return name
 
 
