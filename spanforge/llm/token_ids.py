@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import lexicon
-from spanforge.sources.tables import ship_file
+from spanforge.sources.tables import read_file, ship_file, write_file
 
 #: fixed value: how the tokenizer splits text into words
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -230,15 +230,23 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def compile_encoder(documents: DataFrame, vocabulary: str | None = None, lexicon_size: int = LEXICON_SIZE):
-    """Count the corpus's words, compile and ship the lexicon; gives a function that makes the encoder inside a task."""
+def compile_encoder(documents: DataFrame, vocabulary: str | None = None, lexicon_size: int = LEXICON_SIZE, store: str | None = None):
+    """Count the corpus's words, compile and ship the lexicon; gives a function that makes the encoder inside a task.
+
+    With ``store``, a path, a lexicon that is there is used as it is and no words are counted (ids do not depend on what it holds, only on
+    the vocabulary, which must be the same); else the one that is made is put there.
+    """
     spark = documents.sparkSession
     with open(vocabulary or tokenizer_file(), "rb") as f:
         content = f.read()
     ranks, characters = read_ranks(content), Characters()
-    frequent = word_counts(documents.select("text"), characters).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
-    entries = {bytes(r.word): merge(bytes(r.word), ranks) for r in frequent}
-    names = ship_file(spark, "lexicon", lexicon.to_bytes(lexicon.build(entries))), ship_file(spark, "ranks", content)
+    compiled = None if store is None else read_file(spark, store)
+    if compiled is None:
+        frequent = word_counts(documents.select("text"), characters).orderBy(F.desc("n"), "word").limit(lexicon_size).collect()
+        compiled = lexicon.to_bytes(lexicon.build({bytes(r.word): merge(bytes(r.word), ranks) for r in frequent}))
+        if store is not None:
+            write_file(spark, store, compiled)
+    names = ship_file(spark, "lexicon", compiled), ship_file(spark, "ranks", content)
 
     def make() -> Encoder:
         if names[0] not in _ENCODERS:

@@ -211,6 +211,16 @@ def test_ids_are_the_library_s(spark, library):
     assert token_ids.encode(df.where("false")).count() == 0
 
 
+def test_a_stored_lexicon_serves_other_texts(spark, library, tmp_path, monkeypatch):
+    docs = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    store = f"{tmp_path}/lexicon.bin"
+    token_ids.compile_encoder(docs("some words to know", None), store=store)
+    monkeypatch.setattr(token_ids, "word_counts", None)
+    texts = ["other words  entirely", "some words", ""]
+    got = token_ids.encode(docs(*texts), make=token_ids.compile_encoder(docs(*texts), store=store)).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == [library(t) if t else [] for t in texts]
+
+
 # mixture
 
 
