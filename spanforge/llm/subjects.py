@@ -28,6 +28,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,10 +58,10 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDDEN = re.compile("[​-‏⁠﻿­‪-‮⁦-⁩]")
 
 
-def tokens(text: str | None) -> list[str]:
-    """Words as written, and between segments what ends them; entities, broken encoding, compounds of code are put right first."""
+def readable(text: str | None) -> str:
+    """A text with entities, broken encoding, odd forms of letters and hidden characters put right."""
     if not text or not text.strip():
-        return []
+        return ""
     if "&" in text:
         text = html.unescape(text)
     if "Ã" in text or "â€" in text:
@@ -70,6 +71,11 @@ def tokens(text: str | None) -> list[str]:
             pass
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
+    return text
+
+
+def tokens(text: str) -> list[str]:
+    """Words as written, those of compounds of code apart, and between segments what ends them."""
     return _TOKEN.findall(_CAMEL.sub(" ", text))
 
 
@@ -88,7 +94,7 @@ def normal(word: str) -> str:
 def segments(text: str | None) -> list[list[str]]:
     """The normalised words of each line or sentence."""
     out: list[list[str]] = [[]]
-    for token in tokens(text):
+    for token in tokens(readable(text)):
         if is_cut(token):
             out.append([])
         else:
@@ -115,15 +121,35 @@ class Words(dict):
         return found
 
 
+class Parts(dict):
+    """What stands between two blanks to its words' ids; remembered. A blank after the end of a sentence is a cut, no word goes over one."""
+
+    def __init__(self):
+        self.words = Words()
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        found = tuple(map(self.words.__getitem__, tokens(part)))
+        if part and part[-1] in ".;!?)":
+            found += (START,)
+        if len(self) >= 300_000:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = found
+        return found
+
+    def ids(self, text: str | None) -> list[int]:
+        return list(chain.from_iterable(map(self.__getitem__, readable(text).split(" "))))
+
+
 def word_table(documents: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, stated, known, ids): each document's words as ids, START before each segment; its stated language and labels, null without."""
 
     def run(batches):
-        words = Words()
+        parts = Parts()
         for b in batches:
-            look_up, found, sizes = words.__getitem__, [], np.zeros(b.num_rows + 1, np.int64)
+            found, sizes = [], np.zeros(b.num_rows + 1, np.int64)
             for i, text in enumerate(b.column("text").to_pylist()):
-                ids = list(map(look_up, tokens(text)))
+                ids = parts.ids(text)
                 if ids:
                     found.append(START)
                     found += ids

@@ -298,6 +298,20 @@ def test_subjects_on_held_out_documents(spark):
     assert subjects.subject_areas(df, names, spark.createDataFrame([], "doc_id long, subject string")).count() == 0
 
 
+def test_parts_have_the_words_of_their_segments():
+    rng, parts = random.Random(12), subjects.Parts()
+    pool = ["fooBar", "x_y", "Ends.", "(so)", "it's", "\n", "\\n", " ", "  ", "\t", "a.b", "Cafés;", "9a", "\u00a0", "&amp;", "é", "why?\n", "!", "HTTPServer"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(12)))
+        got = [[]]
+        for i in parts.ids(text):
+            if i == subjects.START:
+                got.append([])
+            else:
+                got[-1].append(i)
+        assert [x for x in got if x] == [[subjects.word_id(w) for w in s] for s in subjects.segments(text)], ascii(text)
+
+
 def test_segments():
     assert subjects.segments("Build_pipeline hashMaps.\nCafé &amp; bar ") == [["build", "pipeline", "hash", "map"], ["cafe", "bar"]]
     assert subjects.segments(None) == subjects.segments(" ") == []
