@@ -318,7 +318,22 @@ _CUR = "cur AS (SELECT provider_id, frame_id, arg_max(content_digest, (arrival,
 _HELD = "h AS (SELECT DISTINCT x.provider_id, x.frame_id, x.content_digest FROM (SELECT unnest(frames).frame AS x FROM journal) WHERE x.frame_id IS NOT NULL)"
 _VERDICT = "v AS (SELECT h.*, CASE WHEN cur.frame_id IS NULL THEN 'gone' WHEN h.content_digest IS NULL OR current IS NULL THEN 'unknown' WHEN h.content_digest = current THEN 'valid' ELSE 'stale' END AS status, CASE WHEN h.content_digest <> current THEN current END AS replacement_digest FROM h LEFT JOIN cur ON h.provider_id = cur.provider_id AND h.frame_id = cur.frame_id)"
 
+#: the scan for duplicates, query by query: clusters are a list that each frame finds its place in
+_LEADERS = f"""WITH RECURSIVE {_O}, lf AS MATERIALIZED (SELECT query_id, frame_no, content_digest AS dg, coalesce(score, 0)::FLOAT AS sc, [p.uri || chr(1) || coalesce('r' || p."range", '-') FOR p IN coalesce(provenance, []) IF p.type = 'file' AND p.uri IS NOT NULL] AS rg,
+row_number() OVER (PARTITION BY query_id ORDER BY provider_id NULLS FIRST, frame_id NULLS FIRST, content_digest NULLS FIRST, arrival, frame_no) AS i FROM o),
+st AS (SELECT query_id, 0::BIGINT AS i, []::STRUCT(kept BIGINT, dg VARCHAR, sc FLOAT, rg VARCHAR[])[] AS cl, []::STRUCT(f BIGINT, c BIGINT)[] AS asg FROM (SELECT DISTINCT query_id FROM lf)
+UNION ALL SELECT query_id, i, CASE WHEN place IS NULL THEN list_append(cl, {{'kept': frame_no, 'dg': dg, 'sc': sc, 'rg': rg}})
+ELSE list_transform(cl, lambda c, k: CASE WHEN k = place THEN {{'kept': CASE WHEN sc > c.sc THEN frame_no ELSE c.kept END, 'dg': CASE WHEN sc > c.sc THEN dg ELSE c.dg END, 'sc': greatest(sc, c.sc), 'rg': list_distinct(list_concat(c.rg, rg))}} ELSE c END) END, list_append(asg, {{'f': frame_no, 'c': coalesce(place, len(cl) + 1)}})
+FROM (SELECT st.query_id, lf.i, frame_no, dg, sc, rg, cl, asg, list_filter(list_transform(cl, lambda c, k: CASE WHEN coalesce(c.dg = dg, false) OR list_has_any(c.rg, rg) THEN k END), lambda k: k IS NOT NULL)[1] AS place FROM st JOIN lf ON lf.query_id = st.query_id AND lf.i = st.i + 1)),
+fin AS (SELECT query_id, cl, asg FROM st QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i DESC) = 1), le AS (SELECT query_id, a.f AS frame_no, cl[a.c].kept AS kept FROM (SELECT query_id, cl, unnest(asg) AS a FROM fin))"""
+_FATES = f"""{_LEADERS}, r AS MATERIALIZED (SELECT query_id, frame_no, row_number() OVER (PARTITION BY query_id ORDER BY {_VALUE}) AS rank, (CASE WHEN representation = 'reference' THEN 0 ELSE {_COST} END)::BIGINT AS cost, q_tokens FROM o WHERE (query_id, frame_no) IN (SELECT (query_id, frame_no) FROM le WHERE frame_no = kept)),
+g AS (SELECT query_id, frame_no, rank, q_tokens, cost <= q_tokens AS keep, CASE WHEN cost <= q_tokens THEN cost ELSE 0 END AS used FROM r WHERE rank = 1
+UNION ALL SELECT r.query_id, r.frame_no, r.rank, r.q_tokens, g.used + r.cost <= r.q_tokens, CASE WHEN g.used + r.cost <= r.q_tokens THEN g.used + r.cost ELSE g.used END FROM g JOIN r ON r.query_id = g.query_id AND r.rank = g.rank + 1)
+SELECT query_id, frame_no, 'duplicate' AS fate, kept AS other FROM le WHERE frame_no <> kept UNION ALL SELECT query_id, frame_no, CASE WHEN keep THEN 'included' ELSE 'over_budget' END, NULL::BIGINT FROM g"""
+
 SQL = {
+    "dedup_leader": _LEADERS + " SELECT query_id, frame_no, kept FROM le",
+    "composition_audit": _FATES,
     "frame_costs": f"WITH {_F} SELECT frame_no, {_COST} AS canonical, token_cost = {_COST} AS honest, floor(token_cost / 1.35::DOUBLE)::BIGINT AS model_tokens FROM f",
     "frame_digests": f"WITH {_F} SELECT frame_no, regexp_matches(content_digest, '{_DIGEST}') AS well_formed, content_digest IS NULL OR regexp_matches(content_digest, '{_DIGEST}') AS usable, 'sha256:' || sha256(content) AS actual, substr(content_digest, 8, 12) AS short FROM f",
     "frame_instants": f"WITH {_F}, b AS (SELECT frame_no, list_filter([{', '.join(f'CASE WHEN {c} IS NOT NULL AND NOT {_ok(c)} THEN ' + chr(39) + c + chr(39) + ' END' for c in ('valid_from', 'valid_to', 'recorded_at'))}], lambda x: x IS NOT NULL) AS bad FROM f) SELECT frame_no, array_to_string(bad, ',') AS invalid, len(bad) AS n_invalid FROM b",
