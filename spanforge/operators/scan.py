@@ -20,13 +20,22 @@ def lines(documents: DataFrame) -> DataFrame:
     return documents.where("text IS NOT NULL").select("doc_id", F.posexplode(whole).alias("at", "line")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
+def raw_lines(documents: DataFrame) -> DataFrame:
+    """As ``lines``, with each line's own bytes, its end included, as ``raw``."""
+    pieces = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\n]*\n|[^\n]+\z"), 0)).alias("at", "raw"))
+    return pieces.select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.regexp_replace("raw", r"\r?\n\z", "").alias("line"), "raw")
+
+
 def grep(documents: DataFrame, terms: list[str]) -> DataFrame:
     """Lines that hold any of the terms, in any letter case; no terms, no lines."""
-    low = F.lower("line")
-    hit = F.lit(False)
+    return lines(documents).where(has_any("line", terms)).select("doc_id", "line_no", "line")
+
+
+def has_any(line: str, terms: list[str]):
+    low, hit = F.lower(line), F.lit(False)
     for t in terms:
         hit = hit | F.contains(low, F.lit(t.lower()))
-    return lines(documents).where(hit).select("doc_id", "line_no", "line")
+    return hit
 
 
 def first_lines(documents: DataFrame) -> DataFrame:

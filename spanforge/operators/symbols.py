@@ -11,6 +11,8 @@ from spanforge.operators import scan
 
 #: fixed values: score of the first row, step by rank
 SNIPPET, SYMBOL, LEAST = (0.95, 0.03), (0.9, 0.02), 0.05
+#: ranks after which a snippet's score falls no further
+FALLS = 31
 #: fixed values: what the media type of code contains, or begins with
 CODE_TYPES, CODE_STARTS = ["rust", "javascript", "python", "typescript"], ["text/x-", "application/"]
 
@@ -22,10 +24,15 @@ def decayed(rank: Column, first_step: tuple[float, float]) -> Column:
 
 
 def symbol_frames(documents: DataFrame) -> DataFrame:
-    """One frame per definition: (doc_id, frame_id, title, content, score, target_uri)."""
+    """One frame per definition, its line as it is: (doc_id, line_no, frame_id, title, content, content_digest, token_cost, citation_label, score, target_uri)."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
-    found = scan.definitions(documents).withColumn("rank", F.row_number().over(w) - 1)
-    return found.select("doc_id", "line_no", F.concat(F.lit("sym:"), F.col("doc_id").cast("string"), F.lit("#"), "name").alias("frame_id"), F.concat_ws(" ", "keyword", "name").alias("title"), F.trim("line").alias("content"), decayed(F.col("rank"), SYMBOL).alias("score"), symbol_uri(F.col("doc_id").cast("string"), F.col("name")).alias("target_uri"))
+    path = F.col("doc_id").cast("string")
+    rows = scan.raw_lines(documents).where(F.col("line").rlike(scan.DEFINITION))
+    found = rows.select("doc_id", "line_no", "raw", F.regexp_extract("line", scan.DEFINITION, 1).alias("keyword"), F.regexp_extract("line", scan.DEFINITION, 2).alias("name")).withColumn("rank", F.row_number().over(w) - 1)
+    return found.select(
+        "doc_id", "line_no", F.concat(F.lit("sym:"), path, F.lit("#"), "name").alias("frame_id"), F.concat_ws(" ", "keyword", "name").alias("title"), F.col("raw").alias("content"), X.digest_of("raw").alias("content_digest"),
+        X.budget_tokens("raw").alias("token_cost"), F.concat(path, F.lit(" L"), F.col("line_no").cast("string")).alias("citation_label"), decayed(F.col("rank"), SYMBOL).alias("score"), symbol_uri(path, F.col("name")).alias("target_uri"),
+    )
 
 
 def graph_summaries(documents: DataFrame) -> DataFrame:
@@ -49,12 +56,21 @@ def graph_edges(documents: DataFrame) -> DataFrame:
 
 
 def grep_frames(documents: DataFrame, terms: list[str]) -> DataFrame:
-    """A snippet frame per matching line, by document and line; where nothing matches anywhere, the first line of every text."""
-    hits = scan.grep(documents, terms)
+    """A snippet frame per matching line, its line as it is; where nothing matches anywhere, the first line of every text.
+
+    Scores fall by rank over all matches, in order of document and line, down to LEAST; so only the first ``FALLS`` need a rank.
+    """
+    rows = scan.raw_lines(documents)
+    hits = rows.where(scan.has_any("line", terms))
     if hits.isEmpty():
-        hits = scan.first_lines(documents)
-    w = Window.partitionBy("doc_id").orderBy("line_no")
-    return hits.where(F.trim("line") != "").withColumn("rank", F.row_number().over(w) - 1).select("doc_id", "line_no", F.trim("line").alias("content"), decayed(F.col("rank"), SNIPPET).alias("score"), X.budget_tokens(F.trim("line")).alias("token_cost"))
+        hits = rows.join(scan.first_lines(documents).select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
+    order = ["doc_id", "line_no"]
+    first = hits.select(*order).orderBy(*order).limit(FALLS).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+    place = F.concat(F.col("doc_id").cast("string"), F.lit(" L"), F.col("line_no").cast("string"))
+    score = F.coalesce(decayed(F.col("rank"), SNIPPET), F.lit(LEAST).cast("float"))
+    return hits.where(~X.is_blank("line")).join(first, order, "left").select(
+        *order, F.concat(F.lit("rg:"), F.replace(place, F.lit(" "), F.lit("#"))).alias("frame_id"), place.alias("title"), F.col("raw").alias("content"), X.digest_of("raw").alias("content_digest"), X.budget_tokens("raw").alias("token_cost"), score.alias("score"),
+    )
 
 
 def kind_for(media_type: str) -> Column:

@@ -174,8 +174,8 @@ FROM u WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') LIKE '{{%}}'""",
     "correlation_echo": f"WITH {_J}, r AS (SELECT msg_id, conn_id, j ->> '$.id' AS id, j ->> '$.type' AS type FROM j WHERE j ->> '$.id' IS NOT NULL) SELECT msg_id, id FROM r WHERE type IN ('frames', 'error') AND NOT EXISTS (SELECT 1 FROM r a WHERE a.type = 'query' AND a.conn_id = r.conn_id AND a.id = r.id)",
     "file_uris": f"WITH {_F} SELECT frame_no, CASE WHEN regexp_matches(uri, '^file://(localhost)?/') THEN url_decode(replace(regexp_extract(uri, '^file://(?:localhost)?(/.*)$', 1), '+', '%2B')) END AS path FROM f",
     "grep_frames": f"""WITH {_LINES}, q1 AS (SELECT list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(coalesce(query_text, goal), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 3), lambda w: lower(w)))) AS ts FROM queries WHERE query_id IS NOT NULL ORDER BY query_id LIMIT 1),
-h AS (SELECT doc_id, line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l, q1 WHERE len(list_filter(ts, lambda t: contains(lower(line), t))) > 0 AND trim(line, ' ') <> '')
-SELECT doc_id, line_no, trim(line, ' ') AS content, least(greatest((0.95::FLOAT - 0.03::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, ((strlen(trim(line, ' ')) + 3) // 4)::BIGINT AS token_cost FROM h""",
+h AS (SELECT doc_id, line_no, raw, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS rank FROM l, q1 WHERE len(list_filter(ts, lambda t: contains(lower(line), t))) > 0)
+SELECT doc_id, line_no, 'rg:' || doc_id || '#L' || line_no AS frame_id, doc_id || ' L' || line_no AS title, raw AS content, 'sha256:' || sha256(raw) AS content_digest, ((strlen(raw) + 3) // 4)::BIGINT AS token_cost, least(greatest((0.95::FLOAT - 0.03::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score FROM h""",
     "served_representations": _BLOCKS + "SELECT kind, sum(tokens)::BIGINT AS \"full\", sum(coalesce(compact_tokens, tokens))::BIGINT AS compact, 0::BIGINT AS reference, count(compact) AS shortened FROM bk WHERE kind <> 'path' GROUP BY kind",
     "graph_edges": f"""WITH {_LINES}, df AS (SELECT doc_id, line_no, regexp_extract(line, '{_DEF}', 1) AS kw, regexp_extract(line, '{_DEF}', 2) AS name FROM l WHERE regexp_matches(line, '{_DEF}')),
 im AS (SELECT doc_id, trim(rtrim(trim(regexp_extract(line, '{_USE}', 1), ' ' || chr(9)), ';'), ' ' || chr(9)) AS name FROM l WHERE regexp_matches(line, '{_USE}'))
@@ -195,8 +195,9 @@ t AS (SELECT type, digest, CASE WHEN rg IS NULL THEN text WHEN a >= 1 AND b >= a
 s AS (SELECT CASE WHEN coalesce(type <> 'file', true) THEN 'not_file' WHEN part IS NULL OR digest IS NULL THEN 'unreadable' WHEN 'sha256:' || sha256(CASE WHEN cut THEN left(part, length(part) - 1) ELSE part END) <> digest THEN 'mismatch' ELSE 'verified' END AS status FROM t)
 SELECT status, count(*) AS links FROM s GROUP BY 1""",
     "prompt_costs": _PACK + " SELECT query_id, sum(cost)::BIGINT AS tokens, count(*) AS frames FROM g WHERE keep GROUP BY query_id",
-    "symbol_frames": f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, line, regexp_extract(line, '{_DEF}', 1) AS keyword, regexp_extract(line, '{_DEF}', 2) AS name, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l WHERE regexp_matches(line, '{_DEF}'))
-SELECT doc_id, line_no, 'sym:' || doc_id || '#' || name AS frame_id, keyword || ' ' || name AS title, trim(line, ' ') AS content, least(greatest((0.9::FLOAT - 0.02::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, 'symbol://' || doc_id || '#' || name AS target_uri FROM s""",
+    "symbol_frames": f"""WITH {_LINES}, s AS (SELECT doc_id, line_no, raw, regexp_extract(line, '{_DEF}', 1) AS keyword, regexp_extract(line, '{_DEF}', 2) AS name, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS rank FROM l WHERE regexp_matches(line, '{_DEF}'))
+SELECT doc_id, line_no, 'sym:' || doc_id || '#' || name AS frame_id, keyword || ' ' || name AS title, raw AS content, 'sha256:' || sha256(raw) AS content_digest, ((strlen(raw) + 3) // 4)::BIGINT AS token_cost, doc_id || ' L' || line_no AS citation_label,
+least(greatest((0.9::FLOAT - 0.02::FLOAT * rank::FLOAT)::FLOAT, 0.05::FLOAT), 1::FLOAT) AS score, 'symbol://' || doc_id || '#' || name AS target_uri FROM s""",
     "resource_frames": f"""SELECT 'frm_mcp_' || regexp_replace({_BASE}, '[^A-Za-z0-9]', '_', 'g') AS frame_id, uri, CASE WHEN uri LIKE '%.rs' OR uri LIKE '%.json' OR uri LIKE '%.py' THEN 'snippet' ELSE 'doc' END AS kind, coalesce(nullif(trim(citation_label, ' '), ''), {_BASE}) AS title,
 'sha256:' || sha256(text) AS content_digest, ((strlen(text) + 3) // 4)::BIGINT AS token_cost, uri || '#overview' AS overview, CASE WHEN starts_with(uri, 'file://') THEN 2 ELSE 1 END AS links FROM documents WHERE uri IS NOT NULL AND text IS NOT NULL""",
     "provider_checks": f"""{_BROKEN}, {_P}, {_O[len(_F) + 2 :]}, {_LEGS}, i AS (SELECT provider_id, count(*) AS n FROM b WHERE rule <> 'cost' GROUP BY 1), h AS (SELECT provider_id, count(*) AS frames, count(*) FILTER (token_cost <> (strlen(coalesce(content, '')) + 3) // 4) AS dishonest FROM f GROUP BY 1),

@@ -89,7 +89,7 @@ def record_hashes(spark, d):
 
 QUERIES = {f.__name__: f for f in (ingest_blocks, ingest_segments, ingest_kinds, ingest_artifacts, table_types, grep_lines, match_places, first_lines, line_runs, definitions, imports, calls, record_problems, lineage_latest, idempotent_append, record_hashes)}
 
-_LINES = "l AS (SELECT doc_id, i AS line_no, CASE WHEN i < n AND suffix(ls[i], chr(13)) THEN left(ls[i], length(ls[i]) - 1) ELSE ls[i] END AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, n + CASE WHEN ls[n] = '' THEN 0 ELSE 1 END)) AS i))"
+_LINES = "l AS (SELECT doc_id, i AS line_no, CASE WHEN i < n AND suffix(ls[i], chr(13)) THEN left(ls[i], length(ls[i]) - 1) ELSE ls[i] END AS line, ls[i] || CASE WHEN i < n THEN chr(10) ELSE '' END AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, n + CASE WHEN ls[n] = '' THEN 0 ELSE 1 END)) AS i))"
 _QUALIFIED = "^\\s*(?:pub\\(crate\\) |pub )?(?:async )?"
 _DEF = _QUALIFIED + "(fn|struct|enum|trait|mod|type|const) ([\\p{L}\\p{N}_]+)"
 _USE = "(?s)" + _QUALIFIED + "use (.*)$"
