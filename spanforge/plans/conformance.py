@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import expr as X
 from spanforge.functions import vocabulary as V
 from spanforge.operators import audit, compose, conformance, registry, retrieve, scan, verify
-from spanforge.plans.frames import _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
+from spanforge.plans.frames import _LEGS, _O, _OFF, _P, _PACK, _Q, _frames, _offers, _providers
 from spanforge.plans.sources import _J, _wire
 from spanforge.plans.streams import _BROKEN
 from spanforge.sources import files, ndjson
@@ -249,6 +249,7 @@ WHEN c = 'frame_validity' THEN CASE WHEN invalid = 0 THEN 'pass' ELSE 'fail' END
 WHEN c = 'as_of' AND pinned > 0 THEN CASE WHEN early = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'kinds_filter' AND narrowed > 0 THEN CASE WHEN off = 0 THEN 'pass' ELSE 'fail' END
 WHEN c = 'verify_honesty' AND verify AND held > 0 THEN CASE WHEN bad1 = 0 AND bad2 = 0 THEN 'pass' ELSE 'fail' END WHEN c = 'anchor_relevance' AND graph AND places > 0 THEN 'pass' WHEN c = 'provenance' AND seen > 0 THEN CASE WHEN bad = 0 THEN 'pass' ELSE 'fail' END ELSE 'skipped' END AS status FROM a, k""",
     "anchor_checks": _ANCHORS,
+    "registry_answers": f"WITH {_Q}, n AS (SELECT count(*) AS legs FROM q WHERE query_id IS NOT NULL AND coalesce(len(q_kinds), 0) = 0) SELECT provider_id, outcome, legs FROM (VALUES ('tables', 'frames'), ('titles', 'frames'), ('away', 'needs_consent'), ('broken', 'failed')) t(provider_id, outcome), n",
     "parsed_requests": f"""WITH {_J} SELECT msg_id, array_to_string(list_filter(coalesce(CAST(CASE WHEN json_type(j, '$.query.kinds') = 'ARRAY' THEN json_extract(j, '$.query.kinds') END AS VARCHAR[]), []), lambda k: k IN ('snippet', 'symbol', 'fact', 'doc', 'memory', 'episode', 'graph')), ',') AS kinds,
 coalesce(try_cast(j ->> '$.query.max_frames' AS BIGINT), 8) AS max_frames, coalesce(try_cast(j ->> '$.query.max_tokens' AS BIGINT), 4096) AS max_tokens, CASE WHEN coalesce(trim(j ->> '$.query.goal'), '') = '' THEN 'a goal is required' END AS error FROM j WHERE j ->> '$.type' = 'query'""",
     "included_verification": _PACK + " SELECT g.query_id, CASE WHEN content_digest IS NULL THEN 'unverifiable' ELSE 'verifiable' END AS state, count(*) AS frames FROM g JOIN f ON f.frame_no = g.frame_no WHERE keep GROUP BY ALL",

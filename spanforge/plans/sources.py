@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import expr as X
 from spanforge.functions import vocabulary as V
 from spanforge.operators import audit, compose, ingest, quality, retrieve, symbols
-from spanforge.plans.frames import _BASE, _F, _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
+from spanforge.plans.frames import _ACC, _BASE, _COST, _F, _FATES, _LEGS, _O, _OFF, _P, _PACK, _frames, _offers, _providers
 from spanforge.plans.streams import _BROKEN
 from spanforge.plans.texts import _BLOCKS, _DEF, _LINES, _USE
 from spanforge.sources import files, ndjson
@@ -215,3 +215,8 @@ UNION ALL SELECT provider_id, 'as_of', CASE WHEN pinned = 0 THEN 'skipped' WHEN
 s AS (SELECT query_id, provider_id, tokens, (q_tokens // n + CASE WHEN i < q_tokens % n THEN 1 ELSE 0 END)::BIGINT AS share FROM n) SELECT query_id, provider_id, share, tokens, tokens <= share AS within FROM s""",
 }
 
+_ACCEPTED_FATES = _FATES.replace(_O, f"{_O}, {_LEGS}, {_ACC}").replace(" AS i FROM o)", " AS i FROM acc)").replace("FROM o WHERE (query_id", "FROM acc WHERE (query_id")
+SQL["composition_checks"] = f"""WITH fx AS MATERIALIZED ({_ACCEPTED_FATES}), {_O}, {_LEGS}, {_ACC}, bu AS (SELECT o.query_id FROM fx JOIN o ON o.query_id = fx.query_id AND o.frame_no = fx.frame_no WHERE fate = 'included' GROUP BY o.query_id HAVING sum(CASE WHEN representation = 'reference' THEN 0 ELSE {_COST} END) > any_value(q_tokens))
+SELECT 'budget' AS "check", (SELECT count(*) FROM bu) AS failures
+UNION ALL SELECT 'partition', (SELECT count(*) FROM (SELECT query_id, frame_no FROM acc EXCEPT ALL SELECT query_id, frame_no FROM fx)) + (SELECT count(*) FROM (SELECT query_id, frame_no FROM fx EXCEPT ALL SELECT query_id, frame_no FROM acc))
+UNION ALL SELECT 'quarantine', (SELECT count(*) FROM fx JOIN o ON o.query_id = fx.query_id AND o.frame_no = fx.frame_no JOIN legs ON legs.query_id = o.query_id AND legs.provider_id = o.provider_id WHERE outcome <> 'frames')"""
