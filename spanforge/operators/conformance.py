@@ -128,10 +128,10 @@ def mutations(frames: DataFrame) -> DataFrame:
     """(mutation, frames, caught): of all frames, made to misbehave in each way, how many the rule for it catches."""
     out = None
     for name, (change, rule) in MISBEHAVIOUR.items():
-        caught = quality.frame_problems(change(frames)).where(F.col("rule") == rule).agg(F.countDistinct("frame_no").alias("caught"))
-        row = frames.agg(F.count("*").alias("frames")).join(caught).select(F.lit(name).alias("mutation"), "frames", "caught")  # one row with one row
+        caught = quality.frame_problems(change(frames)).where(F.col("rule") == rule).select("frame_no").distinct().withColumn("caught", F.lit(1))
+        row = frames.select("frame_no").join(caught, "frame_no", "left").agg(F.count("*").alias("frames"), F.count("caught").alias("caught")).withColumn("mutation", F.lit(name))
         out = row if out is None else out.unionByName(row)
-    return out
+    return out.select("mutation", "frames", "caught")
 
 
 # scenarios of the host

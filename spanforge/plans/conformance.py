@@ -39,16 +39,16 @@ def scope_classes(spark, d):
 def embedding_matches(spark, d):
     """Providers that embeddings of the host may go to; the host's fingerprint is the least that a provider declares."""
     p = _providers(spark, d)
-    host = p.where("embeddings_fingerprint <> ''").agg(F.min("embeddings_fingerprint").alias("host"))
-    return p.join(F.broadcast(host)).select("provider_id", V.fingerprints_match("host", "embeddings_fingerprint").alias("matches"))  # host is one row
+    host = p.where("embeddings_fingerprint <> ''").agg(F.min("embeddings_fingerprint")).first()[0]
+    return p.select("provider_id", V.fingerprints_match(F.lit(host).cast("string"), "embeddings_fingerprint").alias("matches"))
 
 
 def embedding_errors(spark, d):
     """Per provider that declares a size: how many of the vectors have another."""
     p = _providers(spark, d).select("provider_id", X.fingerprint_dimensions("embeddings_fingerprint").alias("dim")).where("dim IS NOT NULL")
     sizes = table(spark, d, "embeddings").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("total"))
-    return p.join(sizes, "dim", "left").join(F.broadcast(total)).select("provider_id", "dim", (F.col("total") - F.coalesce("n", F.lit(0))).alias("wrong"))  # total is one row
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return p.join(sizes, "dim", "left").select("provider_id", "dim", (F.lit(total) - F.coalesce("n", F.lit(0))).alias("wrong"))
 
 
 def wire_kinds(spark, d):
