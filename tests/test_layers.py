@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import expr as X
 from spanforge.functions import vocabulary as V
 from spanforge.operators import artifacts as A
-from spanforge.operators import audit, conformance, ingest, journal, records, registry, scan, symbols
+from spanforge.operators import audit, conformance, ingest, journal, records, registry, retrieve, scan, symbols
 from spanforge.sources import ndjson
 from spanforge.streaming import journal as S
 
@@ -232,3 +232,18 @@ def test_streams_of_several_files(spark, tmp_path):
     assert [tuple(r) for r in S.drain(spark, S.receipt_log(stream), "update", "t", ["provider_id", "scope"]).collect()] == [("p", "s", 2, "1", "2")]
     held = spark.createDataFrame([("p", "a", "d"), ("p", "a", "d"), ("q", "b", "e")], "provider_id string, frame_id string, content_digest string")
     assert [tuple(r) for r in S.drain(spark, S.invalidated(stream, held), "append", "t").collect()] == [("p", "a", "d", "changed")] * 2
+
+
+# graph
+
+
+def test_neighbors(spark):
+    rel = lambda *to: [("code.calls", t, None) for t in to]
+    rows = [(1, "a", rel("b")), (2, "b", rel("c", None)), (3, "c", rel("d")), (4, "d", None), (5, "x", [("doc.documents", "a", None)]), (6, None, rel("e")), (7, "e", rel("e", "a")), (8, "far", [])]
+    frames = spark.createDataFrame(rows, f"frame_no long, uri string, relations {registry.RELATIONS}")
+    starts = spark.createDataFrame([(1, "a"), (1, "a"), (2, "nowhere"), (3, "d")], "query_id long, uri string")
+    hops = lambda depth, rels=None: {(r.query_id, r.frame_no): r.hops for r in retrieve.neighbors(frames, starts, depth, rels).collect()}
+    assert hops(1) == {(1, 1): 1, (1, 5): 1, (1, 7): 1, (3, 4): 1, (3, 3): 1}
+    assert hops(2) == hops(1) | {(1, 2): 2, (1, 6): 2, (3, 2): 2}
+    assert hops(1, ["doc.documents"]) == {(1, 1): 1, (1, 5): 1, (3, 4): 1}
+    assert hops(5)[1, 4] == 4 and (1, 8) not in hops(5)
