@@ -21,9 +21,9 @@ from spanforge.sources.tables import materialise
 UNLIMITED = 1 << 62
 
 
-def offers(frames: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each frame with its query: kinds, anchors, as_of and limits as ``q_*``."""
-    q = queries.dropDuplicates(["query_id"]).select(
+def wanted(queries: DataFrame) -> DataFrame:
+    """What each query asks for: kinds, anchors, as_of and limits as ``q_*``."""
+    return queries.dropDuplicates(["query_id"]).select(
         "query_id",
         "goal",
         "query_text",
@@ -33,7 +33,11 @@ def offers(frames: DataFrame, queries: DataFrame) -> DataFrame:
         F.coalesce("max_tokens", F.lit(UNLIMITED)).alias("q_tokens"),
         F.col("as_of").alias("q_as_of"),
     )
-    return frames.dropDuplicates(["frame_no"]).join(q, "query_id")
+
+
+def offers(frames: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each frame with what its query asks for."""
+    return frames.dropDuplicates(["frame_no"]).join(wanted(queries), "query_id")
 
 
 def asked_kind(kinds: str = "q_kinds"):
@@ -99,21 +103,21 @@ def by_score(parts: int = 64):
     return F.when(F.col("score").isNull(), parts).otherwise(F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((1 - F.col("score")) * parts)))).cast("long")
 
 
-def ranked(df: DataFrame, order: list, part, anchored_first: bool = False) -> DataFrame:
+def ranked(df: DataFrame, order: list, part, anchored_first: bool = False, by: str = "query_id") -> DataFrame:
     """``df`` with ``rank`` and ``running_tokens`` of each query's rows in ``order``, in two steps, so that no task orders all rows of a query.
 
     ``part`` must grow along the order (after ``anchored``, where that comes first): parts are ordered each by itself, and one row per
-    part gives what came before.
+    part gives what came before. ``by`` names another column to rank within.
     """
     part = part + F.when(F.col("anchored"), 0).otherwise(1 << 50) if anchored_first else part
     rows = df.withColumn("_part", part)
-    inside = Window.partitionBy("query_id", "_part").orderBy(*order)
-    earlier = Window.partitionBy("query_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(by, "_part").orderBy(*order)
+    earlier = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     cost = F.coalesce("token_cost", F.lit(0))
-    sums = rows.groupBy("query_id", "_part").agg(F.count("*").alias("_n"), F.sum(cost).alias("_t"))
-    before = sums.select("query_id", "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", "_t")))
+    sums = rows.groupBy(by, "_part").agg(F.count("*").alias("_n"), F.sum(cost).alias("_t"))
+    before = sums.select(by, "_part", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in ("_n", "_t")))
     near = rows.withColumns({"rank": F.row_number().over(inside), "running_tokens": F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    far = near.join(before, ["query_id", "_part"])
+    far = near.join(before, [by, "_part"])
     return far.withColumns({"rank": (F.col("rank") + F.col("_n")).cast("long"), "running_tokens": F.col("running_tokens") + F.col("_t")}).drop("_part", "_n", "_t")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import expr as X
 from spanforge.functions import vocabulary as V
-from spanforge.operators import audit, compose, conformance, registry, retrieve, scan, verify
+from spanforge.operators import audit, compose, conformance, registry, retrieve, verify
 from spanforge.plans.frames import _LEGS, _O, _OFF, _P, _PACK, _Q, _frames, _offers, _providers
 from spanforge.plans.sources import _J, _wire
 from spanforge.plans.streams import _BROKEN
@@ -107,18 +107,10 @@ def unknown_verdicts(spark, d):
 def registry_answers(spark, d):
     """Three registered sources asked together: frames of the tables, lines that hold a query's words, and one that fails."""
     queries = table(spark, d, "queries").dropDuplicates(["query_id"]).where("query_id IS NOT NULL")
-    frames, docs = _frames(spark, d), table(spark, d, "documents")
+    frames, docs = table(spark, d, "frames"), table(spark, d, "documents")
     r = registry.Registry(spark)
-    r.register("tables", lambda s, q: frames.join(q.select("query_id"), "query_id", "left_semi").where("frame_id IS NOT NULL AND content IS NOT NULL"))
-
-    def titles(s, q):
-        """Documents whose first line holds a word of a query, met by word."""
-        words = q.select("query_id", F.explode(X.grep_terms("query_text", "goal")).alias("word"))
-        first = scan.first_lines(docs).select(F.col("doc_id"), "line", F.explode(F.array_distinct(F.split(F.lower("line"), r"[^\p{IsAlphabetic}\p{N}]+"))).alias("word"))
-        hits = words.join(first, "word").select("query_id", "doc_id", "line").distinct()
-        return hits.select("query_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("frame_id"), F.col("line").alias("content"))
-
-    r.register("titles", titles, egress=False)
+    r.register("tables", lambda s, q: frames.where("frame_id IS NOT NULL AND content IS NOT NULL").join(q.select("query_id"), "query_id", "left_semi").dropDuplicates(["query_id", "frame_no"]))
+    r.register("titles", lambda s, q: registry.title_frames(docs, q), egress=False)
     r.register("away", lambda s, q: frames, egress=True)
     r.register("broken", lambda s, q: q.select("query_id"))
     none = spark.createDataFrame([], "provider_id string, scope string")
